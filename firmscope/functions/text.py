@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 # without stop words). Same pattern is used by the DuckDB oracle.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
-# Python's str.strip() removes every whitespace character at both ends.
-_STRIP = r"^\s+|\s+$"
+# Python's str.strip() removes every whitespace character (str.isspace) at both ends.
+# Fixed value: that character set, written out so Java and RE2 read it the same way.
+PY_WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIP = f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$"
 
 
 def _c(c: str | Column) -> Column:

@@ -1 +1,164 @@
-"""Registered queries (filled in below)."""
+"""Registered structured-search queries: A9, C1–C4, C6, C8–C10, C13 on the company
+stand-ins (part; customer ⋈ nation)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.search import SearchRequest, batch_search, name_index, search
+from ..sources.tables import companies_from_customer, companies_from_part, read_table
+from .registry import register
+from .sqlparts import CUSTOMER_COMPANIES, PART_COMPANIES, bm25_ctes, bm25_terms_cte, qterms_cte
+
+OUT = ["company_id", "name", "industry", "size_range", "country", "year_founded", "score", "rank"]
+
+
+def _filter_sql(base: str, where: str, offset: int, size: int) -> str:
+    return f"""SELECT company_id, name, industry, size_range, country, year_founded, NULL::DOUBLE AS score,
+  CAST(row_number() OVER (ORDER BY company_id) AS INTEGER) AS rank
+FROM (SELECT * FROM ({base}) WHERE {where} ORDER BY company_id LIMIT {size} OFFSET {offset})"""
+
+
+def _name_sql(base: str, name: str, where: str, offset: int, size: int) -> str:
+    return f"""WITH co AS ({base}),
+{bm25_ctes('nm', 'SELECT * FROM co', 'company_id', 'name')},
+{qterms_cte('qt', f"SELECT 0 AS qid, '{name}' AS q", 'qid', 'q')},
+{bm25_terms_cte('st', 'nm', 'qt', 1.0)},
+sc AS (SELECT doc_id AS company_id, round(sum(score), 6) AS score FROM st GROUP BY ALL),
+hits AS (SELECT co.*, sc.score FROM co JOIN sc USING (company_id) WHERE {where}
+         ORDER BY score DESC, company_id LIMIT {size} OFFSET {offset})
+SELECT company_id, name, industry, size_range, country, year_founded, score,
+  CAST(row_number() OVER (ORDER BY score DESC, company_id) AS INTEGER) AS rank FROM hits"""
+
+
+def _run(companies, req):
+    idx = name_index(companies) if req.name else None
+    return search(companies, req, idx).select(*OUT)
+
+
+@register("a9_match_all_page", _filter_sql(PART_COMPANIES, "TRUE", 0, 10))
+def a9_match_all(spark, sf_dir):
+    """No criteria → all companies, first page by id."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest())
+
+
+@register("c1_name_match", _name_sql(PART_COMPANIES, "Red Widget", "TRUE", 0, 10))
+def c1_name_match(spark, sf_dir):
+    """BM25 match on the name field (stats over all companies), score desc then id."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(name="Red Widget"))
+
+
+@register("c2_industry_filter", _filter_sql(PART_COMPANIES, "industry = 'economy'", 0, 10))
+def c2_industry(spark, sf_dir):
+    """Industry equals the lower-cased argument."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(industry="ECONOMY"))
+
+
+@register("c3_size_range_filter", _filter_sql(PART_COMPANIES, "size_range = '5001-10000'", 10, 10))
+def c3_size(spark, sf_dir):
+    """Size range equals; second page."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(size_range="5001-10000", page=2))
+
+
+@register("c4_country_filter", _filter_sql(CUSTOMER_COMPANIES, "country = 'nation_7'", 0, 10))
+def c4_country(spark, sf_dir):
+    """C4: country equals (customer ⋈ nation)."""
+    return _run(companies_from_customer(spark, sf_dir), SearchRequest(country="NATION_7"))
+
+
+@register("c6_year_range", _filter_sql(PART_COMPANIES, "year_founded >= 1990 AND year_founded <= 2000", 0, 10))
+def c6_year_range(spark, sf_dir):
+    """Inclusive year range."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(year_from=1990, year_to=2000))
+
+
+@register("c6_year_to_only", _filter_sql(PART_COMPANIES, "year_founded <= 1960", 0, 10))
+def c6_year_to_only(spark, sf_dir):
+    """One-sided bound; year_from=0 is falsy, so no lower bound."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(year_from=0, year_to=1960))
+
+
+@register("c8_pagination", _filter_sql(PART_COMPANIES, "industry = 'promo'", 40, 20))
+def c8_pagination(spark, sf_dir):
+    """Page 3 of size 20 → offset 40."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(industry="promo", page=3, size=20))
+
+
+@register("c10_country_and_industry",
+          _filter_sql(CUSTOMER_COMPANIES, "country = 'nation_3' AND industry = 'building'", 0, 10))
+def c10_multi(spark, sf_dir):
+    """Conjunction of two equality terms."""
+    return _run(companies_from_customer(spark, sf_dir), SearchRequest(country="Nation_3", industry="Building"))
+
+
+@register("c1_name_and_filters", _name_sql(CUSTOMER_COMPANIES, "Customer 000000042",
+                                           "country = 'nation_2' AND year_founded >= 1950", 0, 10))
+def c1_name_and_filters(spark, sf_dir):
+    """C1+C4+C6: scored name match inside filters (filters do not change BM25 stats)."""
+    return _run(companies_from_customer(spark, sf_dir),
+                SearchRequest(name="Customer 000000042", country="NATION_2", year_from=1950))
+
+
+@register("c13_empty_result", _name_sql(PART_COMPANIES, "zzzznonexistent9999", "TRUE", 0, 10))
+def c13_empty(spark, sf_dir):
+    """No match → empty result with the same schema."""
+    return _run(companies_from_part(spark, sf_dir), SearchRequest(name="zzzznonexistent9999"))
+
+
+def _requests(spark, sf_dir):
+    """Batch requests derived from nation / region: country-only (page 1 and 2), country +
+    industry + year, and name requests."""
+    n = read_table(spark, sf_dir, "nation")
+    r = read_table(spark, sf_dir, "region")
+    cols = ["request_id", "name", "industry", "size_range", "country", "year_from", "year_to", "tags", "page",
+            "size"]
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+    tags = F.lit(None).cast("array<string>")
+    a = n.select(F.col("n_nationkey").cast("long").alias("request_id"), none_s.alias("name"),
+                 none_s.alias("industry"), none_s.alias("size_range"), F.col("n_name").alias("country"),
+                 none_i.alias("year_from"), none_i.alias("year_to"), tags.alias("tags"),
+                 F.lit(1).alias("page"), F.lit(5).alias("size"))
+    b = a.withColumn("request_id", F.col("request_id") + 100).withColumn("page", F.lit(2))
+    c = n.select((F.col("n_nationkey") + 200).cast("long").alias("request_id"), none_s.alias("name"),
+                 F.lit("MACHINERY").alias("industry"), none_s.alias("size_range"), F.col("n_name").alias("country"),
+                 (F.lit(1950) + F.col("n_regionkey") * 10).cast("int").alias("year_from"), none_i.alias("year_to"),
+                 tags.alias("tags"), F.lit(1).alias("page"), F.lit(5).alias("size"))
+    d = r.select((F.col("r_regionkey") + 300).cast("long").alias("request_id"),
+                 F.concat(F.lit("customer "), F.lpad(F.col("r_regionkey").cast("string"), 9, "0")).alias("name"),
+                 none_s.alias("industry"), none_s.alias("size_range"), none_s.alias("country"),
+                 none_i.alias("year_from"), none_i.alias("year_to"), tags.alias("tags"),
+                 F.lit(1).alias("page"), F.lit(5).alias("size"))
+    return a.select(*cols).unionByName(b.select(*cols)).unionByName(c.select(*cols)).unionByName(d.select(*cols))
+
+
+C9_SQL = f"""WITH co AS ({CUSTOMER_COMPANIES}),
+req AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS request_id, NULL AS name, NULL AS industry, n_name AS country,
+         NULL::INTEGER AS year_from, 1 AS page, 5 AS size FROM nation
+  UNION ALL SELECT n_nationkey + 100, NULL, NULL, n_name, NULL, 2, 5 FROM nation
+  UNION ALL SELECT n_nationkey + 200, NULL, 'MACHINERY', n_name, CAST(1950 + n_regionkey * 10 AS INTEGER), 1, 5
+            FROM nation
+  UNION ALL SELECT r_regionkey + 300, 'customer ' || lpad(CAST(r_regionkey AS VARCHAR), 9, '0'), NULL, NULL, NULL,
+            1, 5 FROM region),
+{bm25_ctes('nm', 'SELECT * FROM co', 'company_id', 'name')},
+{qterms_cte('qt', "SELECT * FROM req WHERE name IS NOT NULL AND name <> ''", 'request_id', 'name')},
+{bm25_terms_cte('st', 'nm', 'qt', 1.0)},
+sc AS (SELECT query_id AS request_id, doc_id AS company_id, round(sum(score), 6) AS score FROM st GROUP BY ALL),
+j AS (SELECT r.request_id, r.page, r.size, co.*, sc.score
+      FROM req r JOIN co ON (r.industry IS NULL OR co.industry = lower(r.industry))
+                        AND (r.country IS NULL OR co.country = lower(r.country))
+                        AND (coalesce(r.year_from, 0) = 0 OR co.year_founded >= r.year_from)
+      LEFT JOIN sc ON sc.request_id = r.request_id AND sc.company_id = co.company_id
+      WHERE r.name IS NULL OR sc.score IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, company_id) AS rn FROM j)
+SELECT request_id, CAST(rn - (page - 1) * size AS INTEGER) AS rank, company_id, name, industry, country,
+       year_founded, score
+FROM rk WHERE rn > (page - 1) * size AND rn <= page * size"""
+
+
+@register("c9_batch_search", C9_SQL)
+def c9_batch(spark, sf_dir):
+    """85 requests (filters, paging, name scoring) answered in one plan."""
+    co = companies_from_customer(spark, sf_dir)
+    res = batch_search(co, _requests(spark, sf_dir), name_index(co))
+    return res.select("request_id", "rank", "company_id", "name", "industry", "country", "year_founded", "score")

@@ -35,3 +35,31 @@ def bm25_terms_cte(name: str, prefix: str, qterms: str, boost: float) -> str:
       {boost} * q.qtf * ln(1 + (cs.n_docs - d.df + 0.5) / (d.df + 0.5))
       * (po.tf / (po.tf + 1.2 * (0.25 + 0.75 * po.dl / cs.avgdl))) AS score
     FROM {qterms} q JOIN {p}_post po ON po.term = q.term JOIN {p}_df d ON d.term = q.term CROSS JOIN {p}_cs cs)"""
+
+
+def py_strip(x: str) -> str:
+    from ..functions.text import PY_WHITESPACE
+    return f"regexp_replace({x}, '^{PY_WHITESPACE}+|{PY_WHITESPACE}+$', '', 'g')"
+
+
+def size_bucket(x: str) -> str:
+    from ..functions.buckets import SIZE_BUCKETS
+    parts = [f"WHEN {x} <= {u} THEN '{lab}'" for u, lab in SIZE_BUCKETS if u is not None]
+    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(parts)} ELSE '{SIZE_BUCKETS[-1][1]}' END"
+
+
+def initcap2(x: str) -> str:
+    """Spark ``initcap`` for space-separated words."""
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')")
+
+
+PART_COMPANIES = f"""SELECT CAST(p_partkey AS VARCHAR) AS company_id, lower(p_name) AS name, lower(p_brand) AS domain,
+  lower(p_type) AS industry, '' AS locality, '' AS country, {size_bucket('p_size * 300')} AS size_range,
+  CAST(1950 + p_partkey % 75 AS INTEGER) AS year_founded FROM part"""
+
+CUSTOMER_COMPANIES = f"""SELECT CAST(c_custkey AS VARCHAR) AS company_id, lower(c_name) AS name, '' AS domain,
+  lower(c_mktsegment) AS industry, '' AS locality, lower(n_name) AS country,
+  {size_bucket('CAST(floor(abs(c_acctbal)) AS INTEGER)')} AS size_range,
+  CAST(1900 + c_custkey % 120 AS INTEGER) AS year_founded
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
