@@ -80,17 +80,23 @@ def resolve_aliases(df: DataFrame) -> DataFrame:
     return out
 
 
-def hashed_embedding(text: str | Column, dim: int = 64) -> Column:
+def with_hashed_embedding(df: DataFrame, text: str | Column, out: str = "embedding", dim: int = 64) -> DataFrame:
     """D10 built-in encoder (model-free): bag of tokens hashed into ``dim`` slots
     (slot = first 8 hex digits of md5(token) mod dim), L2-normalised; all zeros when the
-    text has no token. A real encoder plugs in through ``embed_with`` instead."""
-    toks = tokens(text)
-    slots = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"),
-                                               F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    text has no token. A real encoder plugs in through ``embed_with`` instead.
+
+    Computed in three projections (slots → counts → normalised) so that no array
+    expression is re-evaluated per element.
+    """
+    slots = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"),
+                                                       F.lit(dim)).cast("int"))
+    d = df.withColumn("__slots", slots)
+    d = d.withColumn("__counts", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                             lambda i: F.size(F.filter("__slots", lambda x: x == i)).cast("double")))
+    d = d.withColumn("__norm", F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda acc, x: acc + x * x)))
+    emb = F.transform("__counts", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm"))
+                      .otherwise(F.lit(0.0)).cast("float"))
+    return d.withColumn(out, emb).drop("__slots", "__counts", "__norm")
 
 
 def embed_with(df: DataFrame, text_col: str, model_fn, out: str = "embedding") -> DataFrame:
@@ -139,9 +145,11 @@ def clean_companies(raw: DataFrame, id_mode: str = "natural", missing_year: int
         docs = (docs.groupBy("company_id")
                 .agg(F.max_by(F.struct(*doc_cols[1:]), F.col("_ordinal")).alias("d"))
                 .select("company_id", *[F.col(f"d.{c}").alias(c) for c in doc_cols[1:]]))
-    text = embed_text("name", "industry", "locality", strip=True)
-    emb = hashed_embedding(text, embed_dim) if embed_dim else F.lit(None).cast("array<float>")
-    return docs.select(*doc_cols, F.array().cast("array<string>").alias("tags"), emb.alias("embedding"))
+    docs = docs.withColumn("tags", F.array().cast("array<string>"))
+    if embed_dim:
+        return with_hashed_embedding(docs, embed_text("name", "industry", "locality", strip=True), "embedding",
+                                     embed_dim)
+    return docs.withColumn("embedding", F.lit(None).cast("array<float>"))
 
 
 def conform(df: DataFrame, schema: T.StructType = COMPANY_SCHEMA) -> DataFrame:
@@ -209,4 +217,4 @@ def synthetic_companies(spark: SparkSession, n: int, seed: int = 42) -> DataFram
 
 __all__ = ["COMPANY_SCHEMA", "SIZE_LABELS", "read_company_csv", "clean_companies", "with_ordinal", "conform",
            "write_companies", "upsert", "delete", "lookup", "drop_table", "compact", "synthetic_companies",
-           "hashed_embedding", "embed_with", "resolve_aliases"]
+           "with_hashed_embedding", "embed_with", "resolve_aliases"]

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sizing import attach_scalars
+
 # Fixed values that must equal the reference: endpoint name canonicalisation and the
 # row names that are dropped.
 ENDPOINT_NAMES = {
@@ -45,7 +47,7 @@ def endpoint_stats(log: DataFrame, exact: bool = True) -> DataFrame:
         F.avg(ok_lat).alias("avg_latency"), F.min(ok_lat).alias("min_latency"), F.max(ok_lat).alias("max_latency"),
         pct.alias("_p"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return g.crossJoin(F.broadcast(span)).select(
+    return attach_scalars(g, span).select(
         "endpoint", "request_count", "failure_count",
         z(F.col("avg_latency")).alias("avg_latency"),
         z(F.col("min_latency").cast("double")).alias("min_latency"),

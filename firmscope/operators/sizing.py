@@ -22,3 +22,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate (e.g. corpus statistics) to every row of
+    ``df``: a broadcast hash join on a constant key, never a cross product."""
+    return (df.withColumn("__one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one"))

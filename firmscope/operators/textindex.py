@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import materialize as _materialize
-from .sizing import bounded_broadcast
+from .sizing import attach_scalars, bounded_broadcast
 
 K1 = 1.2
 B = 0.75
@@ -80,7 +80,7 @@ def bm25_term_scores(index: TextIndex, qterms: DataFrame, boost: float = 1.0,
     terms = qterms.select("term").distinct()
     stats = index.term_stats.join(terms, "term", "left_semi")
     cs = index.corpus_stats
-    idf = (stats.crossJoin(F.broadcast(cs))  # one-row side
+    idf = (attach_scalars(stats, cs)
            .select("term", F.ln(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
                    F.col("avgdl")))
     qside = bounded_broadcast(qterms.join(idf, "term"), max_broadcast_rows)

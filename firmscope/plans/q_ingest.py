@@ -1 +1,186 @@
-"""Registered queries (filled in below)."""
+"""Registered ingest and projection queries: A1, A3–A5, A8, A10–A12, B1, B6, B8–B11,
+B13, D10, D11 (the CSV is derived from ``part`` by Spark; see sources.company_csv)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.buckets import size_bucket
+from ..functions.text import (display_founded, display_location, display_tags, embed_text, highlight,
+                              normalise_all_strings, query_cache_key, raw_cache_key, title_case)
+from ..operators.sizing import attach_scalars
+from ..operators.ingest import (clean_companies, delete, lookup, with_hashed_embedding, read_company_csv, upsert)
+from ..sources.company_csv import company_csv_path
+from ..sources.tables import companies_from_customer, companies_from_part, read_table, user_queries
+from .registry import register
+from .sqlparts import CUSTOMER_COMPANIES, PART_COMPANIES, initcap2, py_strip, size_bucket as sql_bucket, tokens
+
+# the CSV rows as DuckDB derives them from part (same rules as sources.company_csv)
+CSV_ROWS = f"""SELECT CAST(p_partkey AS VARCHAR) AS "_c0", {initcap2('p_name')} AS name,
+  CASE WHEN p_size < 3 THEN NULL ELSE lower(replace(p_brand, '#', '')) || '.com' END AS domain,
+  CASE WHEN p_size > 45 THEN NULL WHEN p_size = 13 THEN 'abc'
+       ELSE CAST(1950 + p_partkey % 75 AS VARCHAR) || '.0' END AS "year founded",
+  p_type AS industry, {sql_bucket('p_size * 300')} AS "size range",
+  'City ' || CAST(p_size AS VARCHAR) || ', State' AS locality, 'United States' AS country, NULL AS "linkedin url",
+  CAST(p_size * 300 AS VARCHAR) AS "current employee estimate",
+  CAST(p_size * 450 AS VARCHAR) AS "total employee estimate", p_partkey AS _ord FROM part"""
+
+CLEAN = f"""SELECT CAST(row_number() OVER (ORDER BY _ord) - 1 AS BIGINT) AS ordinal,
+  coalesce(domain, lower(name)) AS natural_key, lower(name) AS name, coalesce(domain, '') AS domain,
+  lower(industry) AS industry, lower(locality) AS locality, lower(country) AS country,
+  "size range" AS size_range, TRY_CAST(TRY_CAST("year founded" AS DOUBLE) AS INTEGER) AS year_founded
+FROM ({CSV_ROWS})"""
+
+DOC_COLS = ["company_id", "name", "domain", "industry", "locality", "country", "size_range", "year_founded"]
+
+
+def _raw(spark, sf_dir):
+    return read_company_csv(spark, company_csv_path(spark, sf_dir))
+
+
+@register("a1_tolerant_csv_scan", f"""SELECT * EXCLUDE (_ord) FROM ({CSV_ROWS})""")
+def a1_csv_scan(spark, sf_dir):
+    """A1: header CSV read as strings; blank header → _c0; empty cells → NULL."""
+    return _raw(spark, sf_dir).drop("_file", "_block", "_mid")
+
+
+@register("a3_ingest_row_limit", f"""SELECT CAST(ordinal AS VARCHAR) AS company_id, name, domain, industry, locality,
+  country, size_range, year_founded FROM ({CLEAN}) WHERE ordinal < 1000""")
+def a3_limit(spark, sf_dir):
+    """Ordinal ids in file order, exactly the first 1,000 rows."""
+    return clean_companies(_raw(spark, sf_dir), id_mode="ordinal", limit=1000, embed_dim=None).select(*DOC_COLS)
+
+
+@register("a5_ordinal_ids", f"""SELECT CAST(ordinal AS VARCHAR) AS company_id, name, domain, industry, locality,
+  country, size_range, year_founded FROM ({CLEAN})""")
+def a5_ordinal(spark, sf_dir):
+    """A5: dense running ids over the whole file (distributed offsets per file split)."""
+    return clean_companies(_raw(spark, sf_dir), id_mode="ordinal", embed_dim=None).select(*DOC_COLS)
+
+
+@register("a4_natural_key_last_wins", f"""SELECT natural_key AS company_id, name, domain, industry, locality, country,
+  size_range, year_founded FROM (SELECT *, row_number() OVER (PARTITION BY natural_key ORDER BY ordinal DESC) AS r
+  FROM ({CLEAN}) WHERE natural_key IS NOT NULL AND natural_key <> '') WHERE r = 1""")
+def a4_natural(spark, sf_dir):
+    """id = domain else name; a later row with the same id replaces the earlier."""
+    return clean_companies(_raw(spark, sf_dir), id_mode="natural", embed_dim=None).select(*DOC_COLS)
+
+
+@register("a8_count_and_head", """SELECT (SELECT count(*) FROM part) AS n_rows, CAST(p_partkey AS VARCHAR) AS
+  company_id FROM part ORDER BY p_partkey LIMIT 5""")
+def a8_count_head(spark, sf_dir):
+    """Row count of the table next to its first five ids."""
+    co = companies_from_part(spark, sf_dir)
+    n = co.agg(F.count(F.lit(1)).alias("n_rows"))
+    head = co.orderBy(F.col("company_id").cast("long")).limit(5).select("company_id")
+    return attach_scalars(head, n).select("n_rows", "company_id")
+
+
+@register("a10_lookup_many_ids", f"""SELECT company_id, name, industry FROM ({PART_COMPANIES})
+  WHERE company_id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity >= 49)""")
+def a10_lookup(spark, sf_dir):
+    """A10: lookup of many ids — parts ordered in quantity >= 49 — as a semi join."""
+    ids = read_table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49).select(
+        F.col("l_partkey").cast("string").alias("company_id"))
+    return lookup(companies_from_part(spark, sf_dir), ids).select("company_id", "name", "industry")
+
+
+@register("a12_put_and_delete", f"""WITH co AS ({PART_COMPANIES}),
+upd AS (SELECT CAST(p_partkey AS VARCHAR) AS company_id, upper(p_name) AS name FROM part WHERE p_size = 50),
+del AS (SELECT CAST(p_partkey AS VARCHAR) AS company_id FROM part WHERE p_size = 1)
+SELECT co.company_id, coalesce(upd.name, co.name) AS name FROM co LEFT JOIN upd USING (company_id)
+WHERE co.company_id NOT IN (SELECT company_id FROM del)""")
+def a12_put_delete(spark, sf_dir):
+    """Upsert changed documents (size 50 renamed) and delete others (size 1) by id."""
+    p = read_table(spark, sf_dir, "part")
+    co = companies_from_part(spark, sf_dir).select("company_id", "name")
+    upd = p.where(F.col("p_size") == 50).select(F.col("p_partkey").cast("string").alias("company_id"),
+                                                F.upper("p_name").alias("name"))
+    dels = p.where(F.col("p_size") == 1).select(F.col("p_partkey").cast("string").alias("company_id"))
+    return delete(upsert(co, upd), dels)
+
+
+@register("b1_normalise_strings", """SELECT c_custkey, coalesce(lower(c_name), '') AS c_name, c_nationkey, c_acctbal,
+  coalesce(lower(c_mktsegment), '') AS c_mktsegment FROM customer""")
+def b1_normalise(spark, sf_dir):
+    """B1: every string column lower-cased, NULL → ''."""
+    return normalise_all_strings(read_table(spark, sf_dir, "customer"))
+
+
+@register("b6_embed_text", f"""SELECT company_id, {py_strip("concat_ws(' ', name, industry, locality)")} AS text
+  FROM ({CUSTOMER_COMPANIES})""")
+def b6_embed_text(spark, sf_dir):
+    """B6: '{name} {industry} {locality}', stripped."""
+    co = companies_from_customer(spark, sf_dir)
+    return co.select("company_id", embed_text().alias("text"))
+
+
+@register("b8_size_bucket", f"""SELECT p_partkey, p_size * 300 AS employees, {sql_bucket('p_size * 300')} AS size_range
+  FROM part""")
+def b8_size_bucket(spark, sf_dir):
+    """Employee count → size bucket label."""
+    p = read_table(spark, sf_dir, "part")
+    return p.select("p_partkey", (F.col("p_size") * 300).alias("employees"),
+                    size_bucket(F.col("p_size") * 300).alias("size_range"))
+
+
+@register("b9_b10_cache_keys", f"""SELECT conv_id * 1000 + turn AS query_id,
+  'intent:' || md5(lower({py_strip('text')})) AS intent_key, 'search:' || md5(lower({py_strip('text')})) AS search_key,
+  'news_cache:' || md5(text) AS news_key FROM conversations WHERE role = 'user'""")
+def b9_keys(spark, sf_dir):
+    """Normalised query hash keys and the raw evidence-cache key."""
+    q = user_queries(spark, sf_dir)
+    return q.select("query_id", query_cache_key("intent:", "query").alias("intent_key"),
+                    query_cache_key("search:", "query").alias("search_key"),
+                    raw_cache_key("news_cache:", "query").alias("news_key"))
+
+
+@register("b11_highlight", f"""SELECT company_id, CASE WHEN name IS NULL OR name = '' THEN 'Unknown'
+  ELSE regexp_replace(name, '(?i)(\\QRing\\E)', '**\\1**', 'g') END AS highlighted FROM ({PART_COMPANIES})""")
+def b11_highlight(spark, sf_dir):
+    """Case-insensitive literal highlight of 'Ring' in company names."""
+    co = companies_from_part(spark, sf_dir)
+    return co.select("company_id", highlight("name", F.lit("Ring")).alias("highlighted"))
+
+
+@register("b12_title_case")
+def b12_title(spark, sf_dir):
+    """Title-cased names (initcap; differs from Python title() after apostrophes)."""
+    co = companies_from_customer(spark, sf_dir)
+    return co.select("company_id", title_case("name").alias("title"))
+
+
+@register("b13_display_lines", f"""SELECT company_id, locality || ', ' || country AS location,
+  'Founded: ' || coalesce(CAST(year_founded AS VARCHAR), 'None') || ' | Size: ' || coalesce(size_range, 'None')
+  AS founded, '' AS tag_line FROM ({CUSTOMER_COMPANIES})""")
+def b13_display(spark, sf_dir):
+    """Display lines of a result card."""
+    co = companies_from_customer(spark, sf_dir)
+    return co.select("company_id", display_location().alias("location"), display_founded().alias("founded"),
+                     display_tags().alias("tag_line"))
+
+
+def _hashed_sql(text_sql: str, key: str, src: str, dim: int = 64) -> str:
+    return f"""WITH t AS (SELECT {key} AS id, {tokens(text_sql)} AS toks FROM ({src})),
+s AS (SELECT id, list_transform(toks, lambda w: CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS INTEGER))
+      AS slots FROM t),
+c AS (SELECT id, list_transform(range({dim}), lambda i: CAST(len(list_filter(slots, lambda s: s = i)) AS DOUBLE))
+      AS counts FROM s),
+n AS (SELECT id, counts, sqrt(list_sum(list_transform(counts, lambda x: x * x))) AS norm FROM c)
+SELECT id AS {key}, list_transform(counts, lambda x: CAST(CASE WHEN norm > 0 THEN x / norm ELSE 0.0 END AS FLOAT))
+  AS embedding FROM n"""
+
+
+@register("d10_hashed_embedding", _hashed_sql(py_strip("concat_ws(' ', name, industry, locality)"), "company_id",
+                                              CUSTOMER_COMPANIES))
+def d10_embed(spark, sf_dir):
+    """Built-in hashed bag-of-tokens encoder on the company embed text (64 dims)."""
+    co = companies_from_customer(spark, sf_dir)
+    return with_hashed_embedding(co, embed_text(), "embedding", 64).select("company_id", "embedding")
+
+
+@register("d11_query_embedding", _hashed_sql("text", "item_id", "SELECT * FROM benchmark"))
+def d11_query_embed(spark, sf_dir):
+    """The same encoder on whole query texts (benchmark items)."""
+    b = read_table(spark, sf_dir, "benchmark")
+    return with_hashed_embedding(b, "text", "embedding", 64).select("item_id", "embedding")
