@@ -1 +1,324 @@
-"""Registered queries (filled in below)."""
+"""Registered intent / routing / cache queries over the query log (user turns of
+``conversations``), ``part`` (extractor answers) and ``events`` (request log)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import query_cache_key
+from ..operators.cache import cache_fill, cache_lookup, label_ttl_hits, single_flight
+from ..operators.intent import (FAST_PATH_RULES, INTENT_FIELDS, dictionary_intents, keyword_intent, parse_intent,
+                                resolve_intents, rule_intent)
+from ..sources.tables import events_utc, read_table, user_queries
+from .registry import register
+from .sqlparts import py_strip, tokens
+
+# Stand-in rule set: the reference's fast-path rules followed by phrases that occur in
+# the test query log (so every branch of the rule CASE is exercised).
+TEST_RULES = FAST_PATH_RULES + [
+    ("der", {"country": "DE", "requires_agent": False}),
+    ("and", {"industry": "Retail", "requires_agent": True}),
+    ("the", {"industry": "Media", "size_range": "51-200"}),
+]
+
+UQ = (f"SELECT conv_id * 1000 + turn AS query_id, conv_id, text AS query, lower({py_strip('text')}) AS qn "
+      "FROM conversations WHERE role = 'user'")
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+_TYPES = {"name": "VARCHAR", "industry": "VARCHAR", "size_range": "VARCHAR", "country": "VARCHAR",
+          "year_from": "INTEGER", "year_to": "INTEGER", "requires_agent": "BOOLEAN"}
+
+
+def _rule_case(field: str, rules, qn: str = "qn") -> str:
+    whens = " ".join(f"WHEN contains({qn}, {_lit(p.lower())}) THEN "
+                     f"CAST({_lit(i.get(field, False if field == 'requires_agent' else None))} AS {_TYPES[field]})"
+                     for p, i in rules)
+    return f"CASE {whens} ELSE NULL END"
+
+
+def _flat(df, col="intent"):
+    return df.select("query_id", *[F.col(f"{col}.{f}").alias(f) for f in INTENT_FIELDS])
+
+
+E1_SQL = f"""SELECT query_id, {', '.join(f'{_rule_case(f, TEST_RULES)} AS {f}' for f in INTENT_FIELDS)},
+  ({' OR '.join(f"contains(qn, {_lit(p.lower())})" for p, _ in TEST_RULES)}) AS rule_hit FROM ({UQ})"""
+
+
+@register("e1_fast_path_rules", E1_SQL)
+def e1_rules(spark, sf_dir):
+    """First contained phrase of the rule list wins (reference rules + stand-in phrases)."""
+    q = user_queries(spark, sf_dir)
+    intent, hit = rule_intent("query", TEST_RULES)
+    return _flat(q.withColumn("intent", F.when(hit, intent))).join(
+        q.select("query_id", hit.alias("rule_hit")), "query_id")
+
+
+@register("e2_keyword_rule", f"""SELECT query_id, 'Software' AS industry,
+  (contains(lower(query), 'recent') OR contains(lower(query), 'who')) AS requires_agent FROM ({UQ})""")
+def e2_keyword(spark, sf_dir):
+    """Industry Software; requires_agent iff the query contains 'recent' or 'who'."""
+    q = user_queries(spark, sf_dir)
+    k = keyword_intent("query")
+    return q.select("query_id", k["industry"].alias("industry"), k["requires_agent"].alias("requires_agent"))
+
+
+# extractor answers built from part: every 7th truncated, every 11th a bad year type,
+# every 13th a null requires_agent (which the validator rejects)
+RAW_SQL = """SELECT p_partkey AS query_id, CASE
+  WHEN p_partkey % 7 = 0 THEN '{"name": "' || p_name
+  WHEN p_partkey % 11 = 0 THEN '{"name": "' || p_name || '", "year_from": "abc"}'
+  WHEN p_partkey % 13 = 0 THEN '{"industry": "' || p_type || '", "requires_agent": null}'
+  ELSE '{"name": "' || p_name || '", "industry": "' || p_type || '", "year_from": ' || CAST(1900 + p_size AS VARCHAR)
+       || ', "requires_agent": ' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || ', "extra": [1, 2]}' END
+  AS raw FROM part"""
+
+
+def _raw_answers(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    good = F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('", "industry": "'), F.col("p_type"),
+                    F.lit('", "year_from": '), (F.lit(1900) + F.col("p_size")).cast("string"),
+                    F.lit(', "requires_agent": '), F.when(F.col("p_size") > 25, "true").otherwise("false"),
+                    F.lit(', "extra": [1, 2]}'))
+    raw = (F.when(k % 7 == 0, F.concat(F.lit('{"name": "'), F.col("p_name")))
+           .when(k % 11 == 0, F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('", "year_from": "abc"}')))
+           .when(k % 13 == 0, F.concat(F.lit('{"industry": "'), F.col("p_type"), F.lit('", "requires_agent": null}')))
+           .otherwise(good))
+    return p.select(F.col("p_partkey").alias("query_id"), raw.alias("raw"))
+
+
+def _sql_valid(raw: str) -> str:
+    """DuckDB: is ``raw`` a valid intent answer (same rules as parse_intent)."""
+    return (f"CASE WHEN coalesce(json_valid({raw}), false) THEN json_type({raw}) = 'OBJECT' "
+            f"AND coalesce(json_type({raw}, '$.year_from') IN ('BIGINT', 'UBIGINT', 'NULL'), true) "
+            f"AND coalesce(json_type({raw}, '$.year_to') IN ('BIGINT', 'UBIGINT', 'NULL'), true) "
+            f"AND coalesce(json_type({raw}, '$.requires_agent') = 'BOOLEAN', "
+            f"json_type({raw}, '$.requires_agent') IS NULL) ELSE false END")
+
+
+def _sql_field(raw: str, f: str) -> str:
+    """DuckDB: one intent field of a JSON answer."""
+    if f == "requires_agent":
+        return f"coalesce(CAST(json_extract({raw}, '$.requires_agent') AS BOOLEAN), false)"
+    if f.startswith("year"):
+        return f"CAST(json_extract({raw}, '$.{f}') AS INTEGER)"
+    return f"json_extract_string({raw}, '$.{f}')"
+
+
+def _sql_parse(raw: str) -> str:
+    v = _sql_valid(raw)
+    cols = [f"CASE WHEN {v} THEN {_sql_field(raw, f)} ELSE {'false' if f == 'requires_agent' else 'NULL'} END AS {f}"
+            for f in INTENT_FIELDS]
+    return ", ".join(cols) + f", {v} AS valid"
+
+
+@register("e3_parse_intent", f"SELECT query_id, {_sql_parse('raw')} FROM ({RAW_SQL})")
+def e3_parse(spark, sf_dir):
+    """JSON answers validated against the intent schema; failures → default intent."""
+    r = _raw_answers(spark, sf_dir)
+    intent, ok = parse_intent("raw")
+    return _flat(r.withColumn("intent", intent)).join(r.select("query_id", ok.alias("valid")), "query_id")
+
+
+NOW = "2024-01-02 00:00:00"
+
+
+def _cache_entries(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    value = F.when(F.col("conv_id") % 7 == 3, F.lit("not json")).otherwise(
+        F.lit('{"industry": "cached", "requires_agent": false}'))
+    filled = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(hours=(F.col("conv_id") % 48).cast("int"))
+    e = c.select(query_cache_key("intent:", "text").alias("key"), value.alias("value"), filled.alias("filled_at"))
+    empty = spark.createDataFrame([], "key string, value string, filled_at timestamp, expires_at timestamp")
+    return cache_fill(empty, e, 86400)
+
+
+CACHE_SQL = f"""SELECT 'intent:' || md5(lower({py_strip('text')})) AS key,
+  CASE WHEN conv_id % 7 = 3 THEN 'not json' ELSE '{{"industry": "cached", "requires_agent": false}}' END AS value,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id % 48 AS INTEGER)) AS filled_at,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id % 48 AS INTEGER)) + INTERVAL 24 HOUR AS expires_at
+  FROM conversations WHERE role = 'user'"""
+
+EXTRACTED_SQL = f"""SELECT query_id, CASE WHEN conv_id % 5 = 0 THEN '{{"industry": '
+  ELSE '{{"industry": "tech", "requires_agent": ' || CASE WHEN contains(lower(query), 'who') THEN 'true'
+  ELSE 'false' END || '}}' END AS raw FROM ({UQ})"""
+
+
+def _extracted(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    raw = F.when(F.col("conv_id") % 5 == 0, F.lit('{"industry": ')).otherwise(
+        F.concat(F.lit('{"industry": "tech", "requires_agent": '),
+                 F.when(F.lower("text").contains("who"), "true").otherwise("false"), F.lit("}")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), raw.alias("raw"))
+
+
+def _resolved(spark, sf_dir):
+    return resolve_intents(user_queries(spark, sf_dir), TEST_RULES, cache=_cache_entries(spark, sf_dir),
+                           extracted=_extracted(spark, sf_dir), now=F.to_timestamp(F.lit(NOW)))
+
+
+def _e5_field(f: str) -> str:
+    default = "false" if f == "requires_agent" else "NULL"
+    return (f"CASE WHEN source = 'rule' THEN {_rule_case(f, TEST_RULES)} "
+            f"WHEN source = 'cache' THEN {_sql_field('cval', f)} "
+            f"WHEN source = 'extractor' THEN {_sql_field('raw', f)} ELSE {default} END AS {f}")
+
+
+E5_SQL = f"""WITH q AS ({UQ}),
+cache AS ({CACHE_SQL}),
+ex AS ({EXTRACTED_SQL}),
+j AS (SELECT q.*, c.value AS cval, ex.raw FROM q
+      LEFT JOIN cache c ON c.key = 'intent:' || md5(q.qn) AND TIMESTAMP '{NOW}' >= c.filled_at
+                        AND TIMESTAMP '{NOW}' < c.expires_at
+      LEFT JOIN ex USING (query_id)),
+p AS (SELECT *, ({' OR '.join(f"contains(qn, {_lit(p.lower())})" for p, _ in TEST_RULES)}) AS rule_hit FROM j),
+s AS (SELECT *, CASE WHEN rule_hit THEN 'rule' WHEN {_sql_valid('cval')} THEN 'cache'
+      WHEN {_sql_valid('raw')} THEN 'extractor' ELSE 'default' END AS source FROM p)
+SELECT query_id, {', '.join(_e5_field(f) for f in INTENT_FIELDS)},
+  source, source IN ('rule', 'cache') AS is_cached FROM s"""
+
+
+@register("e5_resolve_intents", E5_SQL)
+def e5_resolve(spark, sf_dir):
+    """Rules → intent cache (TTL, invalid entries are misses) → extractor → default."""
+    r = _resolved(spark, sf_dir)
+    return _flat(r).join(r.select("query_id", "source", "is_cached"), "query_id")
+
+
+E6_SQL = f"""WITH r AS ({E5_SQL})
+SELECT CASE WHEN requires_agent THEN 'AgenticSearch' ELSE 'SemanticSearch' END AS route, source,
+  count(*) AS n_queries FROM r GROUP BY ALL"""
+
+
+@register("e6_route_split", E6_SQL)
+def e6_route(spark, sf_dir):
+    """Agentic iff requires_agent; queries per (route, source)."""
+    return _resolved(spark, sf_dir).groupBy("route", "source").agg(F.count(F.lit(1)).alias("n_queries"))
+
+
+DICT_SQL = """SELECT DISTINCT 'country' AS field, lang AS value FROM documents
+  UNION SELECT DISTINCT 'industry', lower(c_mktsegment) FROM customer
+  UNION SELECT 'size_range', unnest(['1-10', '11-50', '51-200', '201-500', '501-1000', '1001-5000', '5001-10000',
+                                     '10001+'])"""
+
+
+def _dictionary(spark, sf_dir):
+    from ..functions.buckets import SIZE_LABELS
+    d = read_table(spark, sf_dir, "documents").select(F.lit("country").alias("field"), F.col("lang").alias("value"))
+    c = read_table(spark, sf_dir, "customer").select(F.lit("industry").alias("field"),
+                                                     F.lower("c_mktsegment").alias("value"))
+    s = spark.createDataFrame([("size_range", x) for x in SIZE_LABELS], "field string, value string")
+    return d.unionByName(c).unionByName(s).distinct()
+
+
+E8_SQL = f"""WITH q AS ({UQ}),
+d AS (SELECT field, value, array_to_string({tokens('value')}, ' ') AS phrase, len({tokens('value')}) AS n
+      FROM ({DICT_SQL}) WHERE len({tokens('value')}) BETWEEN 1 AND 3),
+t AS (SELECT query_id, {tokens('query')} AS t FROM q),
+g AS (SELECT DISTINCT query_id, array_to_string(t[i:i + n - 1], ' ') AS phrase
+      FROM t, (SELECT unnest([1, 2, 3]) AS n) ns, LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)),
+m AS (SELECT g.query_id, d.field, d.value, d.n FROM g JOIN d USING (phrase)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field ORDER BY n DESC, value) AS r FROM m)
+      WHERE r = 1),
+piv AS (SELECT query_id, max(value) FILTER (WHERE field = 'industry') AS industry,
+        max(value) FILTER (WHERE field = 'country') AS country,
+        max(value) FILTER (WHERE field = 'size_range') AS size_range FROM b GROUP BY query_id)
+SELECT q.query_id, piv.industry, piv.country, piv.size_range,
+  CAST(nullif(regexp_extract(lower(q.query), '\\b(?:from|since|after)\\s+(\\d{{4}})\\b', 1), '') AS INTEGER) AS year_from,
+  CAST(nullif(regexp_extract(lower(q.query), '\\b(?:before|until|to)\\s+(\\d{{4}})\\b', 1), '') AS INTEGER) AS year_to
+FROM q LEFT JOIN piv USING (query_id)"""
+
+
+@register("e8_dictionary_extraction", E8_SQL)
+def e8_dictionary(spark, sf_dir):
+    """Dictionary values (languages as countries, segments, size labels) found in the
+    whole query text by an n-gram equi-join; year bounds by pattern."""
+    return dictionary_intents(user_queries(spark, sf_dir), _dictionary(spark, sf_dir))
+
+
+@register("f1_intent_cache_lookup", f"""WITH q AS ({UQ}), cache AS ({CACHE_SQL})
+SELECT q.query_id, CASE WHEN json_valid(c.value) THEN c.value END AS cached_value,
+  coalesce(json_valid(c.value), false) AS cache_hit
+FROM q LEFT JOIN cache c ON c.key = 'intent:' || md5(q.qn) AND TIMESTAMP '{NOW}' >= c.filled_at
+  AND TIMESTAMP '{NOW}' < c.expires_at""")
+def f1_lookup(spark, sf_dir):
+    """keyed TTL cache get (entry expired exactly at fill + ttl; invalid JSON = miss)."""
+    q = user_queries(spark, sf_dir)
+    r = cache_lookup(q, _cache_entries(spark, sf_dir), query_cache_key("intent:", "query"),
+                     F.to_timestamp(F.lit(NOW)))
+    return r.select("query_id", "cached_value", "cache_hit")
+
+
+def _ttl_sql(ttl: int) -> str:
+    return f"""WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS k, event_id, ts,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+chain(k, rn, fill_ts, hit) AS (
+  SELECT k, rn, ts, false FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, CASE WHEN e.ts < c.fill_ts + INTERVAL {ttl} SECOND THEN c.fill_ts ELSE e.ts END,
+         e.ts < c.fill_ts + INTERVAL {ttl} SECOND
+  FROM chain c JOIN ev e ON e.k = c.k AND e.rn = c.rn + 1)
+SELECT ev.event_id, chain.hit AS cache_hit FROM ev JOIN chain USING (k, rn)"""
+
+
+def _ttl(spark, sf_dir, ttl):
+    ev = events_utc(spark, sf_dir)
+    key = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
+    return label_ttl_hits(ev, key, "ts", "event_id", ttl).select("event_id", "cache_hit")
+
+
+@register("f4_ttl_hits_24h", _ttl_sql(86400))
+def f4_ttl_24h(spark, sf_dir):
+    """which requests (user:event_type keys) a 24 h TTL cache serves; a hit does not extend the TTL."""
+    return _ttl(spark, sf_dir, 86400)
+
+
+@register("f3_f4_ttl_hits_12h", _ttl_sql(43200))
+def f4_ttl_12h(spark, sf_dir):
+    """the same with the evidence cache's 12 h TTL."""
+    return _ttl(spark, sf_dir, 43200)
+
+
+@register("f2_result_cache_split", f"""WITH q AS (SELECT item_id AS query_id, text FROM benchmark),
+cache AS (SELECT 'search:' || md5(lower({py_strip('text')})) AS key, '{{"results": []}}' AS value FROM benchmark
+          WHERE length(text) % 3 = 0)
+SELECT q.query_id, c.key IS NOT NULL AS cache_hit FROM q
+LEFT JOIN cache c ON c.key = 'search:' || md5(lower({py_strip('q.text')}))""")
+def f2_result_cache(spark, sf_dir):
+    """result-cache lookup first; misses are the queries sent on to retrieval."""
+    b = read_table(spark, sf_dir, "benchmark")
+    filled = b.where(F.length("text") % 3 == 0).select(query_cache_key("search:", "text").alias("key"),
+                                                       F.lit('{"results": []}').alias("value"),
+                                                       F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("filled_at"))
+    empty = spark.createDataFrame([], "key string, value string, filled_at timestamp, expires_at timestamp")
+    cache = cache_fill(empty, filled, 86400)
+    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    r = cache_lookup(q, cache, query_cache_key("search:", "query"), F.to_timestamp(F.lit("2024-01-01 12:00:00")))
+    return r.select("query_id", "cache_hit")
+
+
+@register("f5_single_flight", """WITH r AS (SELECT event_id, event_type || ' ' || CASE WHEN value > 50 THEN 'high'
+  ELSE 'low' END AS query FROM events)
+SELECT event_id, query, 'search:' || md5(query) AS result_key,
+  (SELECT count(DISTINCT query) FROM r) AS n_computed FROM r""")
+def f5_collapse(spark, sf_dir):
+    """identical requests are computed once and the result is joined back to each."""
+    ev = read_table(spark, sf_dir, "events")
+    req = ev.select("event_id", F.concat(F.col("event_type"), F.lit(" "),
+                                         F.when(F.col("value") > 50, "high").otherwise("low")).alias("query"))
+    computed = lambda d: d.select("query", F.concat(F.lit("search:"), F.md5("query")).alias("result_key"))
+    res = single_flight(req, "query", computed)
+    n = req.select("query").distinct().agg(F.count(F.lit(1)).alias("n_computed"))
+    from ..operators.sizing import attach_scalars
+    return attach_scalars(res, n).select("event_id", "query", "result_key", "n_computed")
