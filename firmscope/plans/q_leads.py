@@ -1 +1,164 @@
-"""Registered queries (filled in below)."""
+"""Registered lead-synthesis queries: evidence from ``pages`` (queries = URL hosts),
+model answers derived from ``part``, tasks from ``orders``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.leads import (NO_NEWS, PROMPT_HEAD, PROMPT_QUERY, PROMPT_TAIL, SEARCH_UNAVAILABLE, TASK_NAME,
+                               context_with_fallback, dead_letters, dispatch_records, evidence_context,
+                               explode_leads, parse_leads, prompt, task_status)
+from ..sources.tables import read_table
+from .q_intent import E5_SQL, _resolved
+from .registry import register
+
+HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
+TITLE_RE = r"<title>(.*?)</title>"
+
+
+def _sq(s: str) -> str:
+    """Python string → DuckDB literal (newlines kept as characters)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _evidence(spark, sf_dir):
+    """Evidence rows: one per page; query = URL host, rank = page_id, content = page title.
+    Pages with a query string are treated as unusable (tracking links) and left out."""
+    p = read_table(spark, sf_dir, "pages")
+    return (p.where(~F.col("url").contains("?"))
+            .select(F.regexp_extract("url", HOST_RE, 1).alias("query_id"), F.col("page_id").alias("rank"), "url",
+                    F.regexp_extract("html", TITLE_RE, 1).alias("content")))
+
+
+def _host_queries(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return (p.select(F.regexp_extract("url", HOST_RE, 1).alias("query_id")).distinct()
+            .withColumn("query", F.concat(F.lit("news about "), F.col("query_id")))
+            .withColumn("failed", F.col("query_id").endswith(".net")))
+
+
+EVID_SQL = f"""SELECT regexp_extract(url, '{HOST_RE}', 1) AS query_id, page_id AS rank, url,
+  regexp_extract(html, '{TITLE_RE}', 1) AS content FROM pages WHERE NOT contains(url, '?')"""
+
+G1_SQL = f"""WITH e AS ({EVID_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS rn FROM e)
+SELECT query_id, string_agg('Source: ' || coalesce(url, '') || chr(10) || 'Snippet: ' || coalesce(content, ''),
+  chr(10) || chr(10) ORDER BY rn) AS context FROM r WHERE rn <= 3 GROUP BY query_id"""
+
+
+@register("g1_evidence_context", G1_SQL)
+def g1_context(spark, sf_dir):
+    """G1: top-3 evidence snippets per query joined into one context text."""
+    return evidence_context(_evidence(spark, sf_dir))
+
+
+HOSTS_SQL = f"""SELECT DISTINCT regexp_extract(url, '{HOST_RE}', 1) AS query_id FROM pages"""
+
+G2_SQL = f"""WITH h AS ({HOSTS_SQL}), c AS ({G1_SQL})
+SELECT h.query_id, CASE WHEN ends_with(h.query_id, '.net') THEN {_sq(SEARCH_UNAVAILABLE)}
+  ELSE coalesce(c.context, {_sq(NO_NEWS)}) END AS context,
+  {_sq(PROMPT_HEAD)} || CASE WHEN ends_with(h.query_id, '.net') THEN {_sq(SEARCH_UNAVAILABLE)}
+  ELSE coalesce(c.context, {_sq(NO_NEWS)}) END || {_sq(PROMPT_QUERY)} || 'news about ' || h.query_id
+  || {_sq(PROMPT_TAIL)} AS prompt
+FROM h LEFT JOIN c USING (query_id)"""
+
+
+@register("g2_b18_context_fallback_prompt", G2_SQL)
+def g2_fallback(spark, sf_dir):
+    """No evidence → no-news sentence, failed search → unavailable sentence;
+    then the prompt text around context and query."""
+    q = _host_queries(spark, sf_dir)
+    c = context_with_fallback(q, evidence_context(_evidence(spark, sf_dir)), "failed")
+    return c.select("query_id", "context", prompt("context", "query").alias("prompt"))
+
+
+def _payloads(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    lead1 = F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('", "industry": "'), F.col("p_type"),
+                     F.lit('", "domain": "'), F.lower("p_brand"), F.lit('", "year_founded": '),
+                     (F.lit(1950) + F.col("p_size")).cast("string"), F.lit("}"))
+    lead2 = F.when(k % 11 == 0, F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit(' two"}'))).otherwise(
+        F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit(' two", "industry": "'), F.col("p_type"),
+                 F.lit('", "country": "us", "size_range": "11-50"}')))
+    full = F.concat(F.lit('{"summary": "'), F.col("p_name"), F.lit(' summary", "leads": ['), lead1, F.lit(", "),
+                    lead2, F.lit("]}"))
+    payload = F.when(k % 7 == 0, F.substring(full, 1, 30)).otherwise(full)
+    return p.select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("query"), payload.alias("payload"))
+
+
+PAYLOAD_SQL = """SELECT p_partkey AS task_id, p_name AS query, CASE WHEN p_partkey % 7 = 0 THEN left(payload_full, 30)
+  ELSE payload_full END AS payload FROM (SELECT *, '{"summary": "' || p_name || ' summary", "leads": [' ||
+  '{"name": "' || p_name || '", "industry": "' || p_type || '", "domain": "' || lower(p_brand)
+  || '", "year_founded": ' || CAST(1950 + p_size AS VARCHAR) || '}, ' ||
+  CASE WHEN p_partkey % 11 = 0 THEN '{"name": "' || p_name || ' two"}'
+  ELSE '{"name": "' || p_name || ' two", "industry": "' || p_type || '", "country": "us", "size_range": "11-50"}' END
+  || ']}' AS payload_full FROM part)"""
+
+VALID_SQL = ("CASE WHEN coalesce(json_valid(payload), false) THEN json_type(payload) = 'OBJECT' "
+             "AND json_type(payload, '$.summary') = 'VARCHAR' AND json_type(payload, '$.leads') = 'ARRAY' "
+             "AND NOT list_bool_or(list_transform(CAST(json_extract(payload, '$.leads[*]') AS JSON[]), "
+             "lambda x: json_type(x, '$.name') IS NULL OR json_type(x, '$.name') = 'NULL' "
+             "OR json_type(x, '$.industry') IS NULL OR json_type(x, '$.industry') = 'NULL')) ELSE false END")
+
+G34_SQL = f"""WITH p AS ({PAYLOAD_SQL}), v AS (SELECT *, {VALID_SQL} AS valid FROM p),
+e AS (SELECT v.task_id, v.payload, pos FROM v, LATERAL (SELECT unnest(range(CAST(json_array_length(v.payload, '$.leads') AS BIGINT)))
+      AS pos) WHERE v.valid),
+l AS (SELECT task_id, CAST(pos AS INTEGER) AS pos, json_extract(payload, '$.leads[' || pos || ']') AS lead,
+      json_extract_string(payload, '$.summary') AS summary FROM e)
+SELECT task_id, pos, md5(CAST(task_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR)) AS lead_id,
+  json_extract_string(lead, '$.name') AS name, json_extract_string(lead, '$.industry') AS industry,
+  json_extract_string(lead, '$.domain') AS domain, coalesce(json_extract_string(lead, '$.locality'), '') AS locality,
+  coalesce(json_extract_string(lead, '$.country'), '') AS country,
+  CAST(json_extract(lead, '$.year_founded') AS INTEGER) AS year_founded,
+  coalesce(json_extract_string(lead, '$.size_range'), 'Unknown') AS size_range, summary FROM l"""
+
+
+@register("g3_g4_g5_explode_leads", G34_SQL)
+def g34_leads(spark, sf_dir):
+    """Validated model answers → one row per lead with defaults and a stable id."""
+    return explode_leads(parse_leads(_payloads(spark, sf_dir)))
+
+
+G6_SQL = f"""WITH p AS ({PAYLOAD_SQL}), v AS (SELECT *, {VALID_SQL} AS valid FROM p)
+SELECT CAST(task_id AS VARCHAR) AS task_id, {_sq(TASK_NAME)} AS task_name, '["' || query || '"]' AS args,
+  '{{}}' AS kwargs, CASE WHEN payload IS NULL THEN 'empty model response'
+  WHEN NOT coalesce(json_valid(payload), false) THEN 'invalid JSON'
+  ELSE 'validation error: missing required field' END AS exception, NULL AS traceback FROM v WHERE NOT valid"""
+
+
+@register("g6_dead_letters", G6_SQL)
+def g6_dead(spark, sf_dir):
+    """Failed answers to the dead-letter table with task id, name, args, kwargs, exception."""
+    return dead_letters(parse_leads(_payloads(spark, sf_dir)))
+
+
+G7_SQL = """SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'PENDING'
+  WHEN 'P' THEN 'failed' ELSE o_orderstatus END AS status,
+  CASE o_orderstatus WHEN 'F' THEN 'leads for ' || o_orderpriority WHEN 'P' THEN 'error: ' || o_orderpriority
+  END AS result FROM orders"""
+
+
+@register("g7_task_status", G7_SQL)
+def g7_status(spark, sf_dir):
+    """Task state → PENDING / SUCCESS + result / 'failed' + error text."""
+    o = read_table(spark, sf_dir, "orders")
+    st = F.col("o_orderstatus")
+    tasks = o.select(F.col("o_orderkey").alias("task_id"),
+                     F.when(st == "F", "SUCCESS").when(st == "O", "PENDING").when(st == "P", "FAILURE")
+                     .otherwise(st).alias("state"),
+                     F.when(st == "F", F.concat(F.lit("leads for "), F.col("o_orderpriority")))
+                     .when(st == "P", F.concat(F.lit("error: "), F.col("o_orderpriority"))).alias("result"))
+    return task_status(tasks)
+
+
+G9_SQL = f"""WITH r AS ({E5_SQL}), q AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations
+  WHERE role = 'user')
+SELECT md5('task:' || CAST(r.query_id AS VARCHAR)) AS task_id, r.query_id, q.query, 'processing' AS status
+FROM r JOIN q USING (query_id) WHERE r.requires_agent"""
+
+
+@register("g9_dispatch_records", G9_SQL)
+def g9_dispatch(spark, sf_dir):
+    """One 'processing' task per query routed to the agentic branch."""
+    return dispatch_records(_resolved(spark, sf_dir))
