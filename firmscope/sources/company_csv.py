@@ -21,9 +21,11 @@ CSV_COLUMNS = ["", "name", "domain", "year founded", "industry", "size range", "
                "linkedin url", "current employee estimate", "total employee estimate"]
 
 
-def part_as_company_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV rows (all strings) in p_partkey order."""
+def part_as_company_rows(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """The CSV rows (all strings) in p_partkey order; ``where`` filters ``part`` first."""
     p = read_table(spark, sf_dir, "part")
+    if where is not None:
+        p = p.where(where)
     year = (F.when(F.col("p_size") > 45, F.lit(""))
             .when(F.col("p_size") == 13, F.lit("abc"))
             .otherwise(F.concat((F.lit(1950) + F.col("p_partkey") % 75).cast("string"), F.lit(".0"))))
