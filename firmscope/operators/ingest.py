@@ -25,7 +25,7 @@ COMPANY_SCHEMA = T.StructType([
     T.StructField("size_range", T.StringType()),
     T.StructField("year_founded", T.IntegerType()),
     T.StructField("tags", T.ArrayType(T.StringType())),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), containsNull=False)),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
 # Fixed values that must equal the reference: the two spellings of renamed columns.

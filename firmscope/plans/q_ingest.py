@@ -184,3 +184,16 @@ def d11_query_embed(spark, sf_dir):
     """The same encoder on whole query texts (benchmark items)."""
     b = read_table(spark, sf_dir, "benchmark")
     return with_hashed_embedding(b, "text", "embedding", 64).select("item_id", "embedding")
+
+
+@register("a6_a7_a14_write_and_compact", f"""SELECT company_id, name, domain, industry, locality, country, size_range,
+  year_founded FROM ({PART_COMPANIES})""")
+def a14_compact(spark, sf_dir):
+    """Conform to the declared schema, bulk-write as Parquet, then compact into
+    range-partitioned files sorted by id; the content is unchanged."""
+    from ..operators.ingest import compact, write_companies
+    from ..session import shared_path
+    co = companies_from_part(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    src, dst = shared_path(spark, "companies"), shared_path(spark, "companies-compacted")
+    write_companies(co, src)
+    return compact(spark, src, dst, files=4).select(*DOC_COLS)

@@ -152,3 +152,20 @@ def _with_intent(q):
 
 def build_index_for(spark, sf_dir):
     return build_text_index(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# --- D12 ----------------------------------------------------------------------------
+
+@register("d12_lsh_candidates")
+def d12_lsh(spark, sf_dir):
+    """Approximate neighbours by random-projection LSH on the unit vectors (Euclidean
+    distance < 1.2 ⇔ cosine > 0.28), with the exact rank of each found pair and the exact
+    top-10 recall per query (no oracle: approximate by design)."""
+    from ..operators.knn import approx_neighbours
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = benchmark_queries(spark, sf_dir)
+    approx = approx_neighbours(e, q, threshold=1.2)
+    exact = knn(e, q, k=10).select("query_id", "doc_id", "knn_rank")
+    found = exact.join(approx.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    recall = found.groupBy("query_id").agg((F.count(F.lit(1)) / 10.0).alias("recall_at_10"))
+    return exact.select("query_id").distinct().join(recall, "query_id", "left").fillna(0.0, ["recall_at_10"])
