@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 from ..functions.buckets import SIZE_LABELS
 from ..functions.text import embed_text, first_nonempty, normalise_all_strings, tokens, tolerant_year
 
+from ..functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 COMPANY_SCHEMA = T.StructType([
     T.StructField("company_id", T.StringType(), False),
     T.StructField("name", T.StringType()),

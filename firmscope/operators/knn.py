@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 DIGITS = 9
 
 
@@ -32,8 +36,9 @@ def zero_vector_fallback(vec: str, dim: int):
     return F.coalesce(F.col(vec), F.array_repeat(F.lit(0.0).cast("float"), dim))
 
 
-def _collect_block(queries: DataFrame, qid: str, qvec: str):
-    rows = queries.select(qid, qvec).where(F.col(qvec).isNotNull()).collect()
+def _collect_block(queries: DataFrame, qid: str, qvec: str, limit: int | None = None):
+    q = queries.select(qid, qvec).where(F.col(qvec).isNotNull())
+    rows = (q.limit(limit) if limit else q).collect()
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     if not rows:
         return ids, np.zeros((0, 0))
@@ -110,14 +115,21 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, cid: str = "doc_id"
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be 'cosine' or 'l2'")
-    nq = queries.where(F.col(qvec).isNotNull()).count()
-    nblocks = max(1, -(-nq // max_block_queries))
+    # one bounded collect answers "does it fit in one block?"; only larger query tables
+    # are counted and split into hash blocks of at most ~max_block_queries each
+    ids, mat = _collect_block(queries, qid, qvec, limit=max_block_queries + 1)
     parts = []
-    for bi in range(nblocks):
-        block = queries if nblocks == 1 else queries.where(F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks)) == bi)
-        ids, mat = _collect_block(block, qid, qvec)
+    if len(ids) <= max_block_queries:
         if len(ids):
             parts.append(_block_scores(corpus, ids, mat, k, cid, cvec, metric))
+    else:
+        nq = queries.where(F.col(qvec).isNotNull()).count()
+        nblocks = -(-nq // max_block_queries) * 2  # hash blocks are uneven; aim at half the bound
+        for bi in range(nblocks):
+            block = queries.where(F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks)) == bi)
+            ids, mat = _collect_block(block, qid, qvec)
+            if len(ids):
+                parts.append(_block_scores(corpus, ids, mat, k, cid, cvec, metric))
     if not parts:
         spark = corpus.sparkSession
         return spark.createDataFrame([], "query_id long, doc_id long, sim double, knn_score double, knn_rank int")

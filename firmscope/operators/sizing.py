@@ -26,6 +26,10 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate (e.g. corpus statistics) to every row of
-    ``df``: a broadcast hash join on a constant key, never a cross product."""
-    return (df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one"))
+    ``df`` as literals — a scalar subquery: the single row is fetched (proven size: one
+    row), so the plan has no join at all."""
+    rows = one_row.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected exactly one row, got {len(rows)}")
+    r = rows[0]
+    return df.withColumns({c: F.lit(r[c]).cast(t) for c, t in one_row.dtypes})

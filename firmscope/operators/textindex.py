@@ -22,69 +22,121 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import materialize as _materialize
+from ..session import shared_path
 from .sizing import attach_scalars, bounded_broadcast
 
 K1 = 1.2
 B = 0.75
 
 
+TERM_BUCKETS = 64  # partitions of the written postings table; scale with the corpus (e.g. 1024 at 100 TB)
+
+
 @dataclass
 class TextIndex:
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    n_postings: int | None = None  # known when materialised; 0 ⇒ the field has no token at all
+    buckets: int = 0  # > 0: postings carry ``tb`` = term bucket, a partition column on disk
+    n_docs: int | None = None  # corpus statistics as scalars, known when materialised
+    avgdl: float | None = None
 
     def persist(self) -> "TextIndex":
-        return TextIndex(self.postings.persist(), self.term_stats.persist(), self.corpus_stats.persist())
+        return TextIndex(self.postings.persist(), self.term_stats.persist(), self.corpus_stats.persist(),
+                         self.n_postings, self.buckets, self.n_docs, self.avgdl)
+
+    @property
+    def empty(self) -> bool:
+        return self.n_postings == 0
+
+
+def term_bucket(term, buckets: int = TERM_BUCKETS):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
-                     materialize: bool = False, name: str = "textindex") -> TextIndex:
+                     materialize: bool = False, name: str = "textindex", buckets: int = TERM_BUCKETS) -> TextIndex:
     """Tokenise the whole text of every document and build the three index tables.
 
     Tokens of one document never leave its partition before the partial aggregation,
     so the only shuffle carries distinct (doc, term) pairs, hashed by (doc, term):
     frequent terms are spread over all reducers, not gathered in one.
+
+    ``materialize=True`` writes the postings to the shared folder partitioned by a term
+    bucket ``tb`` (sorted by term inside), so a query batch reads only the buckets of its
+    terms (dynamic partition pruning from the broadcast query side), and writes the two
+    statistics tables next to it.
     """
     text = F.col(text_col) if isinstance(text_col, str) else text_col
     docs = corpus.select(F.col(id_col).alias("doc_id"), tokens(text).alias("toks"))
     postings = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
                 .select("doc_id", "term", "tf", "dl"))
-    if materialize:
-        postings = _materialize(postings, f"{name}-postings")
-    term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    corpus_stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"),
-                               (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    if materialize:
-        term_stats = _materialize(term_stats, f"{name}-terms")
-        corpus_stats = _materialize(corpus_stats, f"{name}-stats")
-    return TextIndex(postings, term_stats, corpus_stats)
+    if not materialize:
+        term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        lengths = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+        corpus_stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"),
+                                   (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+        return TextIndex(postings, term_stats, corpus_stats)
+    spark = corpus.sparkSession
+    path = shared_path(spark, f"{name}-postings")
+    bucketed = postings.withColumn("tb", term_bucket(F.col("term"), buckets))
+    (bucketed.repartitionByRange("tb", "term").sortWithinPartitions("tb", "term")
+     .write.mode("overwrite").partitionBy("tb").parquet(path))
+    postings = spark.read.schema(bucketed.schema).parquet(path)  # schema given: an empty field writes no file
+    term_stats = _materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{name}-terms")
+    stats = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("_sum"))
+    row = stats.first()
+    n_docs, total = int(row["n_docs"]), int(row["_sum"] or 0)
+    corpus_stats = _materialize(stats.select("n_docs", (F.col("_sum") / F.col("n_docs")).alias("avgdl")),
+                                f"{name}-stats")
+    return TextIndex(postings, term_stats, corpus_stats, n_postings=0 if n_docs == 0 else total,
+                     buckets=buckets, n_docs=n_docs, avgdl=(total / n_docs) if n_docs else None)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str | Column = "query") -> DataFrame:
     """(query_id, term, qtf): analysed query tokens; repeated tokens count repeatedly."""
     t = F.col(text) if isinstance(text, str) else text
+    # the explicit non-empty filter (tokens never are) also marks this side as selective,
+    # which lets Spark prune postings partitions dynamically from it
     return (queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(t)).alias("term"))
+            .where(F.col("term") != "")
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("int").alias("qtf")))
 
 
 def bm25_term_scores(index: TextIndex, qterms: DataFrame, boost: float = 1.0,
-                     k1: float = K1, b: float = B, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                     k1: float = K1, b: float = B, broadcast: bool | None = None,
+                     max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Per matched (query_id, doc_id, term) contribution ``score`` (before summing).
 
-    The query-term side carries idf and is broadcast when its row count is within
-    ``max_broadcast_rows`` (checked); otherwise both sides shuffle on ``term``.
+    The query-term side (one row per query and term, carrying idf) is broadcast when
+    ``broadcast`` is True, or — when None — when its row count is checked to be within
+    ``max_broadcast_rows``; otherwise both sides shuffle on ``term``. On bucketed
+    postings the join also matches the term bucket, which lets the broadcast side prune
+    the postings partitions that hold none of the query terms.
     """
     terms = qterms.select("term").distinct()
+    if broadcast:
+        terms = F.broadcast(terms)
     stats = index.term_stats.join(terms, "term", "left_semi")
-    cs = index.corpus_stats
-    idf = (attach_scalars(stats, cs)
-           .select("term", F.ln(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-                   F.col("avgdl")))
-    qside = bounded_broadcast(qterms.join(idf, "term"), max_broadcast_rows)
-    p = index.postings.join(qside, "term")
+    if index.n_docs is not None:
+        stats = stats.withColumns({"n_docs": F.lit(index.n_docs).cast("long"), "avgdl": F.lit(index.avgdl)})
+    else:
+        stats = attach_scalars(stats, index.corpus_stats)
+    idf = stats.select("term", F.ln(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+                       .alias("idf"), F.col("avgdl"))
+    qside = qterms.join(idf, "term")
+    keys = ["term"]
+    if index.buckets:
+        qside = qside.withColumn("tb", term_bucket(F.col("term"), index.buckets))
+        keys = ["tb", "term"]
+    if broadcast is None:
+        qside = bounded_broadcast(qside, max_broadcast_rows)
+    elif broadcast:
+        qside = F.broadcast(qside)
+    p = index.postings.join(qside, keys)
     w = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     return p.select("query_id", "doc_id", "term", (F.lit(boost) * F.col("qtf") * F.col("idf") * w).alias("score"))
 

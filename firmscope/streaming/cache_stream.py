@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 OUT_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()),
                            T.StructField("ts", T.TimestampType()), T.StructField("cache_hit", T.BooleanType())])
 STATE_SCHEMA = T.StructType([T.StructField("fill_us", T.LongType())])
