@@ -197,3 +197,26 @@ def a14_compact(spark, sf_dir):
     src, dst = shared_path(spark, "companies"), shared_path(spark, "companies-compacted")
     write_companies(co, src)
     return compact(spark, src, dst, files=4).select(*DOC_COLS)
+
+
+@register("b2_selective_lower", """SELECT p_partkey, p_name, p_brand, lower(p_type) AS p_type, p_size FROM part""")
+def b2_selective(spark, sf_dir):
+    """B2: only the named columns are lower-cased (the worker ingester's rule)."""
+    from ..functions.text import lower_columns
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return lower_columns(p, ["p_type"])
+
+
+@register("b3_generator_layout_ingest", f"""SELECT natural_key AS company_id, name, domain, industry, locality,
+  country, size_range, year_founded FROM (SELECT *, row_number() OVER (PARTITION BY natural_key ORDER BY ordinal DESC)
+  AS r FROM ({CLEAN}) WHERE natural_key IS NOT NULL AND natural_key <> '') WHERE r = 1""")
+def b3_aliases(spark, sf_dir):
+    """The same rows in the synthetic generator's layout (``year_founded``,
+    ``size_range`` spelled with underscores, no row-number column) ingest identically."""
+    from ..session import shared_path
+    from ..sources.company_csv import part_as_company_rows
+    rows = part_as_company_rows(spark, sf_dir).drop("").withColumnsRenamed(
+        {"year founded": "year_founded", "size range": "size_range"})
+    path = shared_path(spark, "generator-layout-csv")
+    rows.coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)
+    return clean_companies(read_company_csv(spark, path), id_mode="natural", embed_dim=None).select(*DOC_COLS)

@@ -162,3 +162,23 @@ FROM r JOIN q USING (query_id) WHERE r.requires_agent"""
 def g9_dispatch(spark, sf_dir):
     """One 'processing' task per query routed to the agentic branch."""
     return dispatch_records(_resolved(spark, sf_dir))
+
+
+@register("g8_leads_replace_results", f"""WITH r AS (SELECT * FROM ({__import__('firmscope.plans.q_retrieval',
+    fromlist=['D14_SQL']).D14_SQL})), l AS (SELECT * FROM ({G34_SQL}))
+SELECT query_id, origin, count(*) AS n_items FROM (
+  SELECT query_id, 'search' AS origin FROM r WHERE query_id NOT IN (SELECT task_id FROM l)
+  UNION ALL SELECT task_id AS query_id, 'leads' AS origin FROM l WHERE task_id IN (SELECT item_id FROM benchmark))
+GROUP BY ALL""")
+def g8_replace(spark, sf_dir):
+    """Per benchmark query, its synthesized leads (task id = query id) replace the
+    search results when there are any; otherwise the search results stay."""
+    from ..operators.leads import leads_replace_results
+    from .q_retrieval import d14_two_stage
+    res = d14_two_stage(spark, sf_dir).select("query_id", "doc_id")
+    ids = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    leads = explode_leads(parse_leads(_payloads(spark, sf_dir))).select(F.col("task_id").alias("query_id"),
+                                                                        "lead_id")
+    leads = leads.join(ids, "query_id", "left_semi")
+    out = leads_replace_results(res, leads)
+    return out.groupBy("query_id", "origin").agg(F.count(F.lit(1)).alias("n_items"))

@@ -169,3 +169,37 @@ def d12_lsh(spark, sf_dir):
     found = exact.join(approx.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     recall = found.groupBy("query_id").agg((F.count(F.lit(1)) / 10.0).alias("recall_at_10"))
     return exact.select("query_id").distinct().join(recall, "query_id", "left").fillna(0.0, ["recall_at_10"])
+
+
+# --- D2 / E7: intent boosts ----------------------------------------------------------
+
+_INTENT_QUERIES = ("SELECT b.item_id AS query_id, b.text AS query, e.embedding AS vector, "
+                   "upper(d.source) AS intent_industry, upper(d.lang) AS intent_country "
+                   "FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id "
+                   "LEFT JOIN documents d ON d.doc_id = b.item_id")
+
+D2_SQL = (HYBRID_CTES.replace(f"queries AS ({_QUERIES})", f"queries AS ({_INTENT_QUERIES})")
+          .replace("knn_raw AS (", f"""{bm25_ctes('cty', 'SELECT * FROM corpus', 'doc_id', 'country')},
+{qterms_cte('qi', "SELECT * FROM queries WHERE intent_industry IS NOT NULL AND intent_industry <> ''",
+            'query_id', 'lower(intent_industry)')},
+{qterms_cte('qc', "SELECT * FROM queries WHERE intent_country IS NOT NULL AND intent_country <> ''",
+            'query_id', 'lower(intent_country)')},
+{bm25_terms_cte('s_ii', 'ind', 'qi', 2.0)},
+{bm25_terms_cte('s_ic', 'cty', 'qc', 2.0)},
+knn_raw AS (""", 1)
+          .replace("UNION ALL SELECT query_id, doc_id, score, NULL, score FROM knn",
+                   "UNION ALL SELECT query_id, doc_id, score, NULL, score FROM knn "
+                   "UNION ALL SELECT query_id, doc_id, score, NULL, NULL FROM s_ii "
+                   "UNION ALL SELECT query_id, doc_id, score, NULL, NULL FROM s_ic")
+          + D14_SQL[len(HYBRID_CTES):])
+
+
+@register("d2_e7_intent_boosts", D2_SQL)
+def d2_intent_boosts(spark, sf_dir):
+    """Intent industry and country as soft x2 boosts (lower-cased) on top of the
+    hybrid clauses; intents derived from the document with the query's id."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"),
+                                                      F.upper("source").alias("intent_industry"),
+                                                      F.upper("lang").alias("intent_country"))
+    q = benchmark_queries(spark, sf_dir).join(d, "query_id", "left")
+    return two_stage_retrieval(hybrid_index(spark, sf_dir), q)
