@@ -5,12 +5,11 @@ offset/limit plan whose predicates Catalyst pushes into the Parquet scan.
 
 ``batch_search`` answers a whole table of requests in one plan. Requests are grouped by
 which equality fields they set (at most 8 patterns of industry / size_range / country);
-every company row is keyed once per pattern in use, and requests join companies on
+every company row is keyed once per pattern in use, and filter sets join companies on
 (pattern, key) — an equi-join, broadcast on the request side when the request table is
-small (checked), so a hot key is never gathered into one reducer. Year bounds and tags
-are residual predicates; name requests inner-join their BM25 scores. Per request, the
-page is cut with ``row_number() <= page*size`` (a WindowGroupLimit, applied partially
-before the shuffle).
+small (checked). Year bounds and tags are residual predicates; name requests inner-join
+their BM25 scores. Pages are cut with ``row_number() <= page*size`` (WindowGroupLimit,
+applied partially before the shuffle).
 """
 
 from __future__ import annotations
@@ -114,41 +113,66 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     ``requests``: request_id, name, industry, size_range, country, year_from, year_to,
     tags (array<string>), page, size. Returns request_id, rank, company_id, score and
     the company columns.
+
+    Identical filter sets are answered once (single flight) and joined back. A filter set
+    with only equality criteria (or none) needs just the first ``page*size`` companies of
+    its key in id order, so each key's companies are cut to the largest page end *before*
+    the join with ``row_number() <= k`` per (pattern, key) — a partial WindowGroupLimit
+    runs in every task ahead of the shuffle, so even a key holding a third of all
+    companies moves at most k rows per task. Filter sets with a name, year bounds or tags
+    join the whole key and apply those as residual predicates / BM25 scores.
     """
     req = _norm_requests(requests)
     bad = req.where((F.col("page") < 1) | (F.col("size") < 0)).limit(1).count()
     if bad:
         raise ValueError("page must be >= 1 and size >= 0")
+    fcols = ["pattern", "eq_key", "name", "year_from", "year_to", "tags"]
+    req = req.withColumn("fs_id", F.xxhash64(*[F.to_json(F.struct(*fcols))]))
     # the distinct patterns (at most 2^3 = 8 values) and the largest page end are bounded scalars
     stats = req.agg(F.collect_set("pattern").alias("p"), F.max(F.col("page") * F.col("size")).alias("k")).first()
     patterns, max_end = sorted(stats["p"] or []), int(stats["k"] or 0)
     if not patterns or max_end == 0:
         return companies.limit(0).withColumns({"request_id": F.lit(None).cast("long"), "rank": F.lit(0),
                                                "score": F.lit(None).cast("double")})
+    fsets = (req.groupBy("fs_id", *fcols).agg(F.max(F.col("page") * F.col("size")).alias("need")))
+    has_name = F.col("name").isNotNull() & (F.col("name") != "")
+    residual = (has_name | (F.coalesce(F.col("year_from"), F.lit(0)) != 0)
+                | (F.coalesce(F.col("year_to"), F.lit(0)) != 0) | (F.coalesce(F.size("tags"), F.lit(0)) > 0))
     keyed = companies.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"),
                                                                       _company_key(p).alias("eq_key"))
                                                              for p in patterns])))
     keyed = keyed.select("*", "_k.pattern", "_k.eq_key").drop("_k")
-    rside = req.select(F.col("request_id"), "pattern", "eq_key", F.col("name").alias("r_name"),
-                       F.col("year_from").alias("r_from"), F.col("year_to").alias("r_to"),
-                       F.col("tags").alias("r_tags"), "page", "size")
-    j = keyed.join(bounded_broadcast(rside, max_broadcast_requests), ["pattern", "eq_key"])
+
+    # equality-only filter sets: cut every key to its first max_end companies, then join
+    simple = fsets.where(~residual).select("fs_id", "pattern", "eq_key")
+    wk = Window.partitionBy("pattern", "eq_key").orderBy(F.col("company_id").asc())
+    heads = keyed.withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= F.lit(max_end)).drop("_rk")
+    simple_hits = (heads.join(bounded_broadcast(simple, max_broadcast_requests), ["pattern", "eq_key"])
+                   .withColumn("score", F.lit(None).cast("double")))
+
+    # filter sets with residual predicates or a name
+    comp = fsets.where(residual).select("fs_id", "pattern", "eq_key", F.col("name").alias("r_name"),
+                                        F.col("year_from").alias("r_from"), F.col("year_to").alias("r_to"),
+                                        F.col("tags").alias("r_tags"))
+    j = keyed.join(bounded_broadcast(comp, max_broadcast_requests), ["pattern", "eq_key"])
     resid = ((F.coalesce(F.col("r_from"), F.lit(0)) == 0) | (F.col("year_founded") >= F.col("r_from"))) & \
             ((F.coalesce(F.col("r_to"), F.lit(0)) == 0) | (F.col("year_founded") <= F.col("r_to"))) & \
             F.coalesce(F.forall(F.col("r_tags"), lambda t: F.array_contains(F.col("tags"), t)), F.lit(True))
     j = j.where(resid)
-    named = requests.where(F.col("name").isNotNull() & (F.col("name") != ""))
+    named = comp.where(F.col("r_name").isNotNull() & (F.col("r_name") != ""))
     idx = index or name_index(companies)
-    scores = bm25(idx, named.select(F.col("request_id").alias("query_id"), F.col("name").alias("query"))) \
-        .select(F.col("query_id").alias("request_id"), F.col("doc_id").alias("company_id"),
+    scores = bm25(idx, named.select(F.col("fs_id").alias("query_id"), F.col("r_name").alias("query"))) \
+        .select(F.col("query_id").alias("fs_id"), F.col("doc_id").alias("company_id"),
                 F.round("score", 6).alias("score"))
-    has_name = F.col("r_name").isNotNull() & (F.col("r_name") != "")
-    with_name = j.where(has_name).join(scores, ["request_id", "company_id"])
-    without = j.where(~has_name).withColumn("score", F.lit(None).cast("double"))
-    hits = with_name.unionByName(without)
-    w = Window.partitionBy("request_id").orderBy(F.col("score").desc_nulls_last(), F.col("company_id").asc())
-    ranked = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(max_end))
+    r_named = F.col("r_name").isNotNull() & (F.col("r_name") != "")
+    with_name = j.where(r_named).join(scores, ["fs_id", "company_id"])
+    without = j.where(~r_named).withColumn("score", F.lit(None).cast("double"))
+    hits = simple_hits.unionByName(with_name.unionByName(without).drop("r_name", "r_from", "r_to", "r_tags"))
+    wf = Window.partitionBy("fs_id").orderBy(F.col("score").desc_nulls_last(), F.col("company_id").asc())
+    ranked = hits.withColumn("_rn", F.row_number().over(wf)).where(F.col("_rn") <= F.lit(max_end))
+    back = req.select("request_id", "fs_id", "page", "size")
+    out = ranked.join(bounded_broadcast(back, max_broadcast_requests), "fs_id")
     off = (F.col("page") - 1) * F.col("size")
-    page = ranked.where((F.col("_rn") > off) & (F.col("_rn") <= off + F.col("size")))
+    page = out.where((F.col("_rn") > off) & (F.col("_rn") <= off + F.col("size")))
     return page.withColumn("rank", (F.col("_rn") - off).cast("int")).drop(
-        "_rn", "pattern", "eq_key", "r_name", "r_from", "r_to", "r_tags", "page", "size")
+        "_rn", "pattern", "eq_key", "page", "size", "fs_id")

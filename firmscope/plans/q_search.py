@@ -162,3 +162,38 @@ def c9_batch(spark, sf_dir):
     co = companies_from_customer(spark, sf_dir)
     res = batch_search(co, _requests(spark, sf_dir), name_index(co))
     return res.select("request_id", "rank", "company_id", "name", "industry", "country", "year_founded", "score")
+
+
+def order_requests(spark, sf_dir):
+    """One request per order: the ordering customer's segment as industry filter, page
+    1–3 of size 10, and urgent orders add a founding-year lower bound."""
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    none_s = F.lit(None).cast("string")
+    return j.select(F.col("o_orderkey").alias("request_id"), none_s.alias("name"),
+                    F.col("c_mktsegment").alias("industry"), none_s.alias("size_range"), none_s.alias("country"),
+                    F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1990)).cast("int").alias("year_from"),
+                    F.lit(None).cast("int").alias("year_to"), F.lit(None).cast("array<string>").alias("tags"),
+                    (F.col("o_orderkey") % 3 + 1).cast("int").alias("page"), F.lit(10).alias("size"))
+
+
+C9_ORDERS_SQL = f"""WITH co AS ({CUSTOMER_COMPANIES}),
+req AS (SELECT o_orderkey AS request_id, c_mktsegment AS industry,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN 1990 END AS year_from,
+        CAST(o_orderkey % 3 + 1 AS INTEGER) AS page, 10 AS size
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+j AS (SELECT r.request_id, r.page, r.size, co.company_id FROM req r JOIN co
+      ON (r.industry IS NULL OR co.industry = lower(r.industry))
+     AND (coalesce(r.year_from, 0) = 0 OR co.year_founded >= r.year_from)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY company_id) AS rn FROM j)
+SELECT request_id, CAST(rn - (page - 1) * size AS INTEGER) AS rank, company_id
+FROM rk WHERE rn > (page - 1) * size AND rn <= page * size"""
+
+
+@register("c9_batch_search_per_order", C9_ORDERS_SQL)
+def c9_orders(spark, sf_dir):
+    """C9 at volume: one structured-search request per order, answered in one plan
+    (identical filter sets collapse; equality-only sets are cut per key before the join)."""
+    co = companies_from_customer(spark, sf_dir)
+    return batch_search(co, order_requests(spark, sf_dir)).select("request_id", "rank", "company_id")
