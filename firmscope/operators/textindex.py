@@ -97,13 +97,18 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str | Column = "query") -> DataFrame:
-    """(query_id, term, qtf): analysed query tokens; repeated tokens count repeatedly."""
+    """(query_id, term, qtf, slot): analysed query tokens; repeated tokens count repeatedly."""
     t = F.col(text) if isinstance(text, str) else text
     # the explicit non-empty filter (tokens never are) also marks this side as selective,
     # which lets Spark prune postings partitions dynamically from it
-    return (queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(t)).alias("term"))
-            .where(F.col("term") != "")
-            .groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("int").alias("qtf")))
+    # ``slot``: 0-based index of the term among the query's distinct terms (a window over
+    # the small query-term table), so per-document term sets can be kept as bit masks
+    from pyspark.sql import Window
+    qt = (queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(t)).alias("term"))
+          .where(F.col("term") != "")
+          .groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("int").alias("qtf")))
+    return qt.withColumn("slot", (F.dense_rank().over(Window.partitionBy("query_id").orderBy("term")) - 1)
+                         .cast("int"))
 
 
 def bm25_term_scores(index: TextIndex, qterms: DataFrame, boost: float = 1.0,
@@ -138,7 +143,8 @@ def bm25_term_scores(index: TextIndex, qterms: DataFrame, boost: float = 1.0,
         qside = F.broadcast(qside)
     p = index.postings.join(qside, keys)
     w = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return p.select("query_id", "doc_id", "term", (F.lit(boost) * F.col("qtf") * F.col("idf") * w).alias("score"))
+    return p.select("query_id", "doc_id", "term", "slot",
+                    (F.lit(boost) * F.col("qtf") * F.col("idf") * w).alias("score"))
 
 
 def bm25(index: TextIndex, queries: DataFrame, query_id: str = "query_id", text: str | Column = "query",

@@ -117,3 +117,15 @@ def test_plugged_reranker_reorders(spark, small_index):
 
     res = two_stage_retrieval(small_index, q, reranker=prefers_beta).orderBy("rank").collect()
     assert res[0]["doc_id"] in (2, 3)
+
+
+def test_rerank_coverage_beyond_64_query_terms(spark):
+    words = [f"w{i}" for i in range(70)]
+    corpus = spark.createDataFrame([(1, " ".join(words), "x", "", "us", None), (2, " ".join(words[:35]), "y", "", "us",
+                                                                               None)],
+                                   "doc_id long, name string, industry string, locality string, country string, "
+                                   "embedding array<float>")
+    idx = build_hybrid_index(corpus)
+    q = spark.createDataFrame([(0, " ".join(words + ["w3"]))], "query_id long, query string")
+    got = {r["doc_id"]: r["re_rank_score"] for r in two_stage_retrieval(idx, q).collect()}
+    assert got == {1: 1.0, 2: 0.5}
