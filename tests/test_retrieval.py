@@ -129,3 +129,17 @@ def test_rerank_coverage_beyond_64_query_terms(spark):
     q = spark.createDataFrame([(0, " ".join(words + ["w3"]))], "query_id long, query string")
     got = {r["doc_id"]: r["re_rank_score"] for r in two_stage_retrieval(idx, q).collect()}
     assert got == {1: 1.0, 2: 0.5}
+
+
+def test_bm25_shuffle_fallback_equals_broadcast(spark):
+    from firmscope.operators.textindex import bm25_term_scores, query_terms
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 3}") for i in range(60)], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "alpha w1"), (1, "w2 w2 beta")], "query_id long, query string")
+    for materialize in (False, True):
+        idx = build_text_index(docs, "doc_id", "text", materialize=materialize, name="t-fallback")
+        qt = query_terms(q)
+        a = sorted((r["query_id"], r["doc_id"], r["term"], round(r["score"], 9))
+                   for r in bm25_term_scores(idx, qt, broadcast=True).collect())
+        b = sorted((r["query_id"], r["doc_id"], r["term"], round(r["score"], 9))
+                   for r in bm25_term_scores(idx, qt, broadcast=None, max_broadcast_rows=0).collect())
+        assert a == b and len(a) > 0

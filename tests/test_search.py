@@ -111,3 +111,15 @@ def test_filters_reach_the_parquet_scan(spark, tmp_path):
         .executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(industry,economy)" in plan
     assert F  # keep import used
+
+
+def test_batch_search_without_broadcast_equals_with(spark, companies):
+    reqs = spark.createDataFrame([(i, None, "technology" if i % 2 else None, None, None, None, None, None, 1 + i % 2, 2)
+                                  for i in range(12)],
+                                 "request_id long, name string, industry string, size_range string, country string, "
+                                 "year_from int, year_to int, tags array<string>, page int, size int")
+    a = sorted(tuple(r) for r in batch_search(companies, reqs).select("request_id", "rank", "company_id").collect())
+    b = sorted(tuple(r) for r in batch_search(companies, reqs, max_broadcast_requests=0)
+               .select("request_id", "rank", "company_id").collect())
+    # odd ids: technology (3 companies), page 2 of size 2 → 1 row; even ids: all, page 1 → 2 rows
+    assert a == b and len(a) == 6 * 1 + 6 * 2
