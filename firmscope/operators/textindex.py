@@ -82,7 +82,9 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
     spark = corpus.sparkSession
     path = shared_path(spark, f"{name}-postings")
     bucketed = postings.withColumn("tb", term_bucket(F.col("term"), buckets))
-    (bucketed.repartitionByRange("tb", "term").sortWithinPartitions("tb", "term")
+    # hash on the bucket: no sampling pass; each bucket directory is written by one task,
+    # sorted by term (a bucket holds 1/B of the distinct terms, so B bounds its share)
+    (bucketed.repartition("tb").sortWithinPartitions("tb", "term")
      .write.mode("overwrite").partitionBy("tb").parquet(path))
     postings = spark.read.schema(bucketed.schema).parquet(path)  # schema given: an empty field writes no file
     term_stats = _materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{name}-terms")
