@@ -220,3 +220,15 @@ def b3_aliases(spark, sf_dir):
     path = shared_path(spark, "generator-layout-csv")
     rows.coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)
     return clean_companies(read_company_csv(spark, path), id_mode="natural", embed_dim=None).select(*DOC_COLS)
+
+
+@register("a13_drop_table", f"""SELECT company_id, name, domain, industry, locality, country, size_range, year_founded
+  FROM ({PART_COMPANIES}) WHERE false""")
+def a13_drop(spark, sf_dir):
+    """A written company table replaced by an empty one with the same schema."""
+    from ..operators.ingest import drop_table, write_companies
+    from ..session import shared_path
+    path = shared_path(spark, "companies-dropped")
+    write_companies(companies_from_part(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")), path)
+    drop_table(spark, path)
+    return spark.read.parquet(path).select(*DOC_COLS)
