@@ -27,7 +27,7 @@ def _c(c: str | Column) -> Column:
 
 def tokens(text: str | Column) -> Column:
     """array<string> of lower-cased tokens of the whole text (empty pieces dropped)."""
-    return F.filter(F.split(F.lower(_c(text)), TOKEN_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(_c(text)), TOKEN_SPLIT), "")
 
 
 def py_strip(c: str | Column) -> Column:

@@ -69,7 +69,8 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
     statistics tables next to it.
     """
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    docs = corpus.select(F.col(id_col).alias("doc_id"), tokens(text).alias("toks"))
+    docs = _spread(corpus.select(F.col(id_col).alias("doc_id"), text.alias("_text"))) \
+        .select("doc_id", tokens("_text").alias("toks"))
     postings = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
                 .select("doc_id", "term", "tf", "dl"))
@@ -98,6 +99,14 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
                      buckets=buckets, n_docs=n_docs, avgdl=(total / n_docs) if n_docs else None)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Tokenising is the costly step of an index build: when the input has fewer
+    partitions than the cluster has cores (e.g. one file of few row groups), spread its
+    rows over all cores first; a large, well-split input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str | Column = "query") -> DataFrame:
     """(query_id, term, qtf, slot): analysed query tokens; repeated tokens count repeatedly."""
     t = F.col(text) if isinstance(text, str) else text
