@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.buckets import SIZE_LABELS
 from ..functions.text import embed_text, first_nonempty, normalise_all_strings, tokens, tolerant_year
 
 from ..functions.shipping import ship_by_value
@@ -103,18 +102,19 @@ def with_hashed_embedding(df: DataFrame, text: str | Column, out: str = "embeddi
     return d.withColumn(out, emb).drop("__slots", "__counts", "__norm")
 
 
-def embed_with(df: DataFrame, text_col: str, model_fn, out: str = "embedding") -> DataFrame:
-    """D10 hook: ``model_fn(pd.Series[str]) -> pd.Series[list[float]]`` applied with an
-    iterator pandas UDF (the model is created once per task, Arrow batches in/out)."""
+def embed_with(df: DataFrame, text_col: str, make_model, out: str = "embedding") -> DataFrame:
+    """D10 hook for a real encoder: ``make_model()`` returns a function
+    ``pd.Series[str] -> pd.Series[list[float]]``. It runs as an iterator pandas UDF, so the
+    model is built once per task and fed Arrow batches."""
     from collections.abc import Iterator
 
     import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = model_fn() if callable(model_fn) and getattr(model_fn, "_factory", False) else model_fn
+        encode = make_model()
         for s in it:
-            yield fn(s)
+            yield encode(s)
 
     return df.withColumn(out, _embed(F.col(text_col)))
 
@@ -219,6 +219,6 @@ def synthetic_companies(spark: SparkSession, n: int, seed: int = 42) -> DataFram
         (size * 3 / 2).cast("int").alias("total employee estimate"))
 
 
-__all__ = ["COMPANY_SCHEMA", "SIZE_LABELS", "read_company_csv", "clean_companies", "with_ordinal", "conform",
+__all__ = ["COMPANY_SCHEMA", "read_company_csv", "clean_companies", "with_ordinal", "conform",
            "write_companies", "upsert", "delete", "lookup", "drop_table", "compact", "synthetic_companies",
            "with_hashed_embedding", "embed_with", "resolve_aliases"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.knn import knn
 from ..operators.retrieval import build_hybrid_index, diagnostics, first_stage, two_stage_retrieval
-from ..operators.textindex import bm25, build_text_index, top_k
+from ..operators.textindex import bm25, top_k
 from ..sources.tables import benchmark_queries, read_table, search_corpus
 from .registry import register
 from .sqlparts import bm25_ctes, bm25_terms_cte, qterms_cte, tokens
@@ -150,10 +150,6 @@ def _with_intent(q):
         "intent_country", F.lit(None).cast("string"))
 
 
-def build_index_for(spark, sf_dir):
-    return build_text_index(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 # --- D12 ----------------------------------------------------------------------------
 
 @register("d12_lsh_candidates")

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.ingest import COMPANY_SCHEMA  # noqa: F401  (schema of the ingested table)
 from ..session import shared_path
 from ..sources.company_csv import CSV_COLUMNS, part_as_company_rows
 from ..sources.tables import events_utc, read_table
