@@ -8,6 +8,9 @@ No row passes through the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,9 +109,6 @@ def embed_with(df: DataFrame, text_col: str, make_model, out: str = "embedding")
     """D10 hook for a real encoder: ``make_model()`` returns a function
     ``pd.Series[str] -> pd.Series[list[float]]``. It runs as an iterator pandas UDF, so the
     model is built once per task and fed Arrow batches."""
-    from collections.abc import Iterator
-
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -151,3 +151,27 @@ def test_task_status_mapping(spark):
                               "task_id string, state string, result string")
     got = {r["task_id"]: (r["status"], r["result"]) for r in task_status(t).collect()}
     assert got == {"1": ("PENDING", None), "2": ("SUCCESS", "ok"), "3": ("failed", "boom")}
+
+
+def test_embed_hook_builds_model_once_per_task(spark):
+    from firmscope.operators.ingest import embed_with
+
+    def make_model():
+        def encode(texts):
+            import pandas as pd
+            return pd.Series([[float(len(t)), 1.0] for t in texts])
+        return encode
+
+    df = spark.createDataFrame([("ab",), ("abcd",)], "text string")
+    got = [r["embedding"] for r in embed_with(df, "text", make_model).orderBy("text").collect()]
+    assert got == [[2.0, 1.0], [4.0, 1.0]]
+
+
+def test_approx_percentiles_close_to_exact(spark):
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("a", t + dt.timedelta(seconds=i), float(i % 97), True) for i in range(2000)],
+                                "endpoint string, ts timestamp, latency double, ok boolean")
+    ex = endpoint_stats(log, exact=True).first()
+    ap = endpoint_stats(log, exact=False).first()
+    for c in ("p50", "p95", "p99"):
+        assert abs(ex[c] - ap[c]) <= 1.0
