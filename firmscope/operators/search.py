@@ -60,9 +60,12 @@ def search_predicate(req: SearchRequest) -> Column:
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
 
-def name_index(companies: DataFrame, materialize: bool = False) -> TextIndex:
-    """Text index of the ``name`` field (statistics over the whole corpus, as in the engine)."""
-    return build_text_index(companies, "company_id", "name", materialize=materialize, name="idx-company-name")
+def name_index(companies: DataFrame, materialize: bool = False, layout: str = "term") -> TextIndex:
+    """Text index of the ``name`` field (statistics over the whole corpus, as in the engine).
+    Materialised with term-bucketed postings by default: requests read only the buckets
+    of their terms."""
+    return build_text_index(companies, "company_id", "name", materialize=materialize, name="idx-company-name",
+                            layout=layout)
 
 
 def search(companies: DataFrame, req: SearchRequest, index: TextIndex | None = None) -> DataFrame:
