@@ -78,8 +78,14 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
     if layout not in ("term", "doc"):
         raise ValueError("layout must be 'term' or 'doc'")
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    docs = _spread(corpus.select(F.col(id_col).alias("doc_id"), text.alias("_text"))) \
-        .select("doc_id", tokens("_text").alias("toks"))
+    src = corpus.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
+    if materialize and layout == "doc":
+        # documents hashed by id once: counting terms, sorting and writing then stay
+        # inside each task (the term-count aggregation is already clustered by doc_id)
+        src = src.repartition("doc_id")
+    else:
+        src = _spread(src)
+    docs = src.select("doc_id", tokens("_text").alias("toks"))
     postings = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
                 .select("doc_id", "term", "tf", "dl"))
@@ -99,8 +105,8 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
             .parquet(path)
     else:
         out = postings
-        # files = document shards (one per shuffle partition), terms sorted inside
-        out.repartition("doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(path)
+        # files = document shards (one per partition of the doc_id hash), terms sorted inside
+        out.sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(path)
     postings = spark.read.schema(out.schema).parquet(path)  # schema given: an empty field writes no file
     term_stats = _materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{name}-terms")
     stats = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
