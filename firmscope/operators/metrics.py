@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import attach_scalars
+from .sizing import attach_scalars, bounded_broadcast
 
 # Fixed values that must equal the reference: endpoint name canonicalisation and the
 # row names that are dropped.
@@ -31,24 +31,39 @@ PERCENTILES = (0.5, 0.95, 0.99, 0.999)
 def exact_percentiles(df: DataFrame, group: str, value: str, ps=PERCENTILES,
                       names=("p50", "p95", "p99", "p999")) -> DataFrame:
     """Exact percentiles with linear interpolation (same definition as ``percentile`` /
-    ``quantile_cont``), computed without holding any group in one buffer.
-
-    Rows are first counted per (group, value) — a partial aggregation, so a group with a
-    third of all rows is spread over every task. Cumulative counts then run over the
-    *distinct* values of a group only, and each percentile picks the values at ranks
-    floor/ceil((n-1)p) by an equi-join on the group with a rank-range condition.
+    ``quantile_cont``), computed without putting any group in one task or buffer.
+
+    1. rows are counted per (group, value) — a partial aggregation;
+    2. those counts are range-partitioned on (group, value), so a group holding a third of
+       all values spans many tasks; inside each slice a running count per group gives
+       local ranks;
+    3. per (slice, group) totals — one small row per slice — become offsets through a
+       window over that small table, broadcast back: global rank = offset + local rank;
+    4. each percentile picks the values at ranks floor/ceil((n-1)p) with an equi-join on
+       the group and a rank-range condition.
     """
+    spark = df.sparkSession
     vc = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = vc.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    n = vc.groupBy(group).agg(F.sum("_c").alias("_n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = (vc.repartitionByRange(parts, group, value).sortWithinPartitions(group, value)
+              .withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
+    sliced = sliced.withColumn("_lhi", F.sum("_c").over(local))
+    totals = sliced.groupBy("_pid", group).agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    cum = (sliced.join(bounded_broadcast(offsets, 1_000_000), ["_pid", group])  # one row per (slice, group)
+           .select(group, value, (F.col("_off") + F.col("_lhi")).alias("_hi"), "_c"))
+    cum = cum.withColumn("_lo", F.col("_hi") - F.col("_c"))
+    n = totals.groupBy(group).agg(F.sum("_t").alias("_n"))
     targets = n.select(group, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"))
-                                                        for i, p in enumerate(ps)])).alias("_t"))
-    targets = targets.select(group, "_t.i", "_t.p", ((F.col("_n") - 1) * F.col("_t.p")).alias("_h"))
-    targets = targets.select(group, "i", "_h", F.floor("_h").alias("_r0"), F.ceil("_h").alias("_r1"))
-    ranks = targets.select(group, "i", "_h", F.col("_r0").alias("_r"), F.lit(0).alias("_side")).unionByName(
-        targets.select(group, "i", "_h", F.col("_r1").alias("_r"), F.lit(1).alias("_side")))
+                                                        for i, p in enumerate(ps)])).alias("_q"))
+    targets = targets.select(group, "_q.i", ((F.col("_n") - 1) * F.col("_q.p")).alias("_h"))
+    ranks = targets.select(group, "i", "_h", F.floor("_h").alias("_r"), F.lit(0).alias("_side")).unionByName(
+        targets.select(group, "i", "_h", F.ceil("_h").alias("_r"), F.lit(1).alias("_side")))
     c = cum.select(F.col(group).alias("_g"), F.col(value).alias("_v"), "_lo", "_hi")
+    ranks = bounded_broadcast(ranks, 1_000_000)  # 2 rows per group and percentile
     picked = ranks.join(c, (ranks[group] == c["_g"]) & (ranks["_r"] >= c["_lo"]) & (ranks["_r"] < c["_hi"]))
     per = picked.groupBy(group, "i", "_h").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_v0"),

@@ -175,3 +175,18 @@ def test_approx_percentiles_close_to_exact(spark):
     ap = endpoint_stats(log, exact=False).first()
     for c in ("p50", "p95", "p99"):
         assert abs(ex[c] - ap[c]) <= 1.0
+
+
+def test_exact_percentiles_hot_group_spans_slices(spark):
+    import numpy as np
+
+    from firmscope.operators.metrics import exact_percentiles
+    rng = np.random.default_rng(7)
+    hot = rng.normal(100, 30, 3000).round(3)
+    cold = rng.normal(10, 2, 50).round(3)
+    rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in exact_percentiles(df, "g", "v").collect()}
+    for g, vals in (("hot", hot), ("cold", cold)):
+        for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)):
+            assert got[g][name] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9), (g, name)
