@@ -21,7 +21,7 @@ CSV_ROWS = f"""SELECT CAST(p_partkey AS VARCHAR) AS "_c0", {initcap2('p_name')}
   CASE WHEN p_size > 45 THEN NULL WHEN p_size = 13 THEN 'abc'
        ELSE CAST(1950 + p_partkey % 75 AS VARCHAR) || '.0' END AS "year founded",
   p_type AS industry, {sql_bucket('p_size * 300')} AS "size range",
-  'City ' || CAST(p_size AS VARCHAR) || ', State' AS locality, 'United States' AS country, NULL AS "linkedin url",
+  'City ' || CAST(p_size AS VARCHAR) || ', State' AS locality, 'United States' AS country, CAST(NULL AS VARCHAR) AS "linkedin url",
   CAST(p_size * 300 AS VARCHAR) AS "current employee estimate",
   CAST(p_size * 450 AS VARCHAR) AS "total employee estimate", p_partkey AS _ord FROM part"""
 

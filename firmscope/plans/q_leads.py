@@ -124,7 +124,8 @@ G6_SQL = f"""WITH p AS ({PAYLOAD_SQL}), v AS (SELECT *, {VALID_SQL} AS valid FRO
 SELECT CAST(task_id AS VARCHAR) AS task_id, {_sq(TASK_NAME)} AS task_name, '["' || query || '"]' AS args,
   '{{}}' AS kwargs, CASE WHEN payload IS NULL THEN 'empty model response'
   WHEN NOT coalesce(json_valid(payload), false) THEN 'invalid JSON'
-  ELSE 'validation error: missing required field' END AS exception, NULL AS traceback FROM v WHERE NOT valid"""
+  ELSE 'validation error: missing required field' END AS exception, CAST(NULL AS VARCHAR) AS traceback
+FROM v WHERE NOT valid"""
 
 
 @register("g6_dead_letters", G6_SQL)

@@ -36,8 +36,8 @@ D1_SQL = f"""WITH {bm25_ctes('nm', 'SELECT doc_id, text FROM documents', 'doc_id
 {qterms_cte('qt', 'SELECT item_id, text FROM benchmark', 'item_id', 'text')},
 {bm25_terms_cte('st', 'nm', 'qt', 1.0)},
 agg AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM st GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM agg)
-WHERE rank <= 100"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER)
+AS rank FROM agg) WHERE rank <= 100"""
 
 
 @register("d1_bm25_match", D1_SQL)
@@ -56,7 +56,8 @@ c AS (SELECT * FROM ({corpus_sql}) WHERE embedding IS NOT NULL {corpus_where}),
 s AS (SELECT q.query_id, c.doc_id,
              round(list_cosine_similarity(q.vector::DOUBLE[], c.embedding::DOUBLE[]), 9) AS sim
       FROM q, c WHERE q.vector IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS knn_rank FROM s)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS INTEGER) AS knn_rank
+      FROM s)
 SELECT query_id, doc_id, sim, 1 / (2 - sim) AS knn_score, knn_rank FROM r WHERE knn_rank <= {k}"""
 
 
@@ -102,8 +103,8 @@ allc AS (SELECT query_id, doc_id, score, term AS rr_term, NULL::DOUBLE AS knn_on
          UNION ALL SELECT query_id, doc_id, score, NULL, score FROM knn),
 agg AS (SELECT query_id, doc_id, round(sum(score), 6) AS hybrid_score, max(knn_only) AS knn_only_score,
                count(DISTINCT rr_term) AS matched_terms FROM allc GROUP BY ALL),
-s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id)
-                              AS stage1_rank FROM agg) WHERE stage1_rank <= 100)"""
+s1 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id)
+                              AS INTEGER) AS stage1_rank FROM agg) WHERE stage1_rank <= 100)"""
 
 D5_SQL = HYBRID_CTES + "\nSELECT query_id, doc_id, hybrid_score, knn_only_score, matched_terms, stage1_rank FROM s1"
 
@@ -111,8 +112,8 @@ D14_SQL = HYBRID_CTES + f""",
 nq AS (SELECT query_id, len(list_distinct({tokens('query')})) AS n_qterms FROM queries),
 rr AS (SELECT s1.*, coalesce(round(CASE WHEN n_qterms > 0 THEN matched_terms / n_qterms END, 6), 0.0)
               AS re_rank_score FROM s1 JOIN nq USING (query_id)),
-fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY re_rank_score DESC, stage1_rank) AS rank
-        FROM rr)
+fin AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY re_rank_score DESC, stage1_rank)
+        AS INTEGER) AS rank FROM rr)
 SELECT query_id, rank, doc_id, re_rank_score, hybrid_score AS knn_score, knn_only_score FROM fin WHERE rank <= 10"""
 
 
@@ -131,7 +132,7 @@ def d14_two_stage(spark, sf_dir):
 
 D16_SQL = D14_SQL.replace("SELECT query_id, rank, doc_id, re_rank_score, hybrid_score AS knn_score, knn_only_score "
                           "FROM fin WHERE rank <= 10",
-                          "SELECT query_id, count(*) AS n_scores, min(re_rank_score) AS min_re_rank, "
+                          "SELECT query_id, CAST(count(*) AS INTEGER) AS n_scores, min(re_rank_score) AS min_re_rank, "
                           "max(hybrid_score) AS max_knn_score, 'SemanticSearch' AS route FROM fin WHERE rank <= 10 "
                           "GROUP BY query_id")
 
