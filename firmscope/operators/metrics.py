@@ -95,14 +95,17 @@ def endpoint_stats(log: DataFrame, exact: bool = True) -> DataFrame:
         g = log.groupBy("endpoint").agg(*aggs, approx.alias("_p")).select(
             "*", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]).drop("_p")
     z = lambda c: F.coalesce(c, F.lit(0.0))
+    # averages and interpolated percentiles are reported rounded to 9 decimals, so the
+    # result does not depend on the order in which a cluster happened to add values
+    r9 = lambda c: F.round(c, 9)
     return attach_scalars(g, span).select(
         "endpoint", "request_count", "failure_count",
-        z(F.col("avg_latency")).alias("avg_latency"),
+        z(r9(F.col("avg_latency"))).alias("avg_latency"),
         z(F.col("min_latency").cast("double")).alias("min_latency"),
         z(F.col("max_latency").cast("double")).alias("max_latency"),
         (F.col("request_count") / F.col("elapsed")).alias("requests_per_s"),
         (F.col("failure_count") / F.col("elapsed")).alias("failures_per_s"),
-        *[z(F.col(n)).alias(n) for n in names])
+        *[z(r9(F.col(n))).alias(n) for n in names])
 
 
 def to_stats_csv_frame(stats: DataFrame, method: str = "POST") -> DataFrame:

@@ -94,15 +94,15 @@ def _stats_sql(where: str) -> str:
   WHERE {where}),
 sp AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed FROM l)
 SELECT endpoint, count(*) AS request_count, count(*) FILTER (WHERE NOT ok) AS failure_count,
-  coalesce(avg(latency) FILTER (WHERE ok), 0.0) AS avg_latency,
+  coalesce(round(avg(latency) FILTER (WHERE ok), 9), 0.0) AS avg_latency,
   coalesce(min(latency) FILTER (WHERE ok), 0.0) AS min_latency,
   coalesce(max(latency) FILTER (WHERE ok), 0.0) AS max_latency,
   count(*) / any_value(sp.elapsed) AS requests_per_s,
   count(*) FILTER (WHERE NOT ok) / any_value(sp.elapsed) AS failures_per_s,
-  coalesce(quantile_cont(latency, 0.5) FILTER (WHERE ok), 0.0) AS p50,
-  coalesce(quantile_cont(latency, 0.95) FILTER (WHERE ok), 0.0) AS p95,
-  coalesce(quantile_cont(latency, 0.99) FILTER (WHERE ok), 0.0) AS p99,
-  coalesce(quantile_cont(latency, 0.999) FILTER (WHERE ok), 0.0) AS p999
+  coalesce(round(quantile_cont(latency, 0.5) FILTER (WHERE ok), 9), 0.0) AS p50,
+  coalesce(round(quantile_cont(latency, 0.95) FILTER (WHERE ok), 9), 0.0) AS p95,
+  coalesce(round(quantile_cont(latency, 0.99) FILTER (WHERE ok), 9), 0.0) AS p99,
+  coalesce(round(quantile_cont(latency, 0.999) FILTER (WHERE ok), 9), 0.0) AS p999
 FROM l, sp GROUP BY endpoint"""
 
 
