@@ -190,3 +190,28 @@ def test_exact_percentiles_hot_group_spans_slices(spark):
     for g, vals in (("hot", hot), ("cold", cold)):
         for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)):
             assert got[g][name] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9), (g, name)
+
+
+def test_stream_ingest_incremental_last_wins(spark, tmp_path):
+    import time as _t
+
+    from firmscope.streaming.ingest_stream import current_companies, start_ingest_stream
+    cols = ["", "name", "domain", "year founded", "industry", "size range", "locality", "country"]
+    header = ",".join(cols) + "\n"
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.csv").write_text(header + "1,Acme,acme.com,1999.0,Tech,11-50,x,us\n2,Beta,beta.com,,Food,1-10,y,uk\n")
+    _t.sleep(1.1)
+    (src / "b.csv").write_text(header + "3,Acme New,acme.com,2001.0,Tech,51-200,x,us\n")
+    target, ck = str(tmp_path / "t"), str(tmp_path / "ck")
+    start_ingest_stream(spark, str(src), cols, target, ck, embed_dim=None).awaitTermination()
+    cur = {r["company_id"]: r for r in current_companies(spark, target).collect()}
+    assert cur["acme.com"]["name"] == "acme new" and cur["acme.com"]["year_founded"] == 2001
+    assert cur["beta.com"]["year_founded"] is None
+    _t.sleep(1.1)
+    (src / "c.csv").write_text(header + "4,Beta Two,beta.com,1980.0,Food,1-10,y,uk\n")
+    start_ingest_stream(spark, str(src), cols, target, ck, embed_dim=None).awaitTermination()  # restart
+    log_rows = spark.read.parquet(target).count()
+    cur = {r["company_id"]: r for r in current_companies(spark, target).collect()}
+    assert cur["beta.com"]["name"] == "beta two" and len(cur) == 2
+    assert log_rows == 2 + 1 + 1  # one version per key and file; the restart replays nothing
