@@ -143,7 +143,8 @@ def b11_highlight(spark, sf_dir):
     return co.select("company_id", highlight("name", F.lit("Ring")).alias("highlighted"))
 
 
-@register("b12_title_case")
+@register("b12_title_case", f"""SELECT CAST(c_custkey AS VARCHAR) AS company_id, {initcap2('c_name')} AS title
+  FROM customer""")
 def b12_title(spark, sf_dir):
     """Title-cased names (initcap; differs from Python title() after apostrophes)."""
     co = companies_from_customer(spark, sf_dir)
