@@ -146,7 +146,14 @@ def i4_compare(spark, sf_dir):
     return _halves_compared(spark, sf_dir)
 
 
-@register("i5_report_lines")
+I5_SQL = f"""WITH c AS ({I4_SQL})
+SELECT name, '| ' || name || ' | ' || printf('%.2f', base_rps) || ' | ' || printf('%.2f', cur_rps) || ' | **+'
+  || coalesce(printf('%.1f', rps_delta_pct) || '%', 'N/A') || '** | ' || printf('%.2f', base_lat) || ' | '
+  || printf('%.2f', cur_lat) || ' | **-' || coalesce(printf('%.1f', latency_delta_pct) || '%', 'N/A') || '** |' AS line
+FROM c"""
+
+
+@register("i5_report_lines", I5_SQL)
 def i5_report(spark, sf_dir):
     """One formatted report row per endpoint."""
     return report_lines(_halves_compared(spark, sf_dir))
