@@ -8,7 +8,8 @@ where the offence is.
 
 Training takes a sample of labelled documents of bounded size (``MAX_DOCS`` of each label and
 ``MAX_CHARS`` characters in all, whole documents in hash order), so it costs the same at any
-corpus size. Scoring covers every row in Arrow batches; the model (words with their weights) is
+corpus size. Its features are counted and screened in tasks; the driver sees the features kept and
+where they occur. Scoring covers every row in Arrow batches; the model (words with their weights) is
 bounded by the sample.
 """
 
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_by_value
+from ..session import materialize
 from .common import Memo, id_and_text, plain_id
 
 #: Bounds of the training sample: documents of each label, and characters of all their texts.
 MAX_DOCS, MAX_CHARS = 3000, 24_000_000
 #: A feature is kept if so many toxic documents of the sample have it, and it stands out by so many standard errors.
-MIN_DOCS, MIN_Z = 10, 4.0
+MIN_DOCS, MIN_Z = 10, 5.0
+#: Tasks over the sample.
+TASKS = 12
 HELD_OUT = 2
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -47,27 +51,25 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Texts and labels to learn from, never of a held-out id (crc32 of the id's text, mod 4, is 2).
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(did, text, y)`` to learn from, never of a held-out id (crc32 of the id's text, mod 4, is 2).
     Rows with a null id, text or label are left out; an id labelled twice counts as toxic if once so."""
     known = (labels.where("doc_id is not null and toxic is not null")
              .where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)
-             .groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+             .groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.max(F.col("toxic").cast("int")).alias("y")))
     sized = (docs.where("doc_id is not null and text is not null")
-             .select(F.col("doc_id").cast("long").alias("did"), F.length("text").alias("n")).dropDuplicates(["did"]))
-    chosen: dict[int, int] = {}
+             .groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.max(F.length("text")).alias("n")))
+    known = materialize(known.join(sized, "did"), "labelled")
+    chosen: list[tuple[int, int]] = []
     for y in (0, 1):
-        ranked = (known.where(F.col("toxic") == y).join(sized, "did")
-                  .orderBy(F.xxhash64("did"), "did").limit(MAX_DOCS).select("did", "n").collect())
         room = MAX_CHARS // 2
-        for r in ranked:
+        for r in known.where(F.col("y") == y).orderBy(F.xxhash64("did"), "did").limit(MAX_DOCS).collect():
             if r["n"] <= room:
-                chosen[r["did"]] = y
+                chosen.append((r["did"], y))
                 room -= r["n"]
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "did long")  # at most 2 * MAX_DOCS rows
-    rows = (docs.where("text is not null").select(F.col("doc_id").cast("long").alias("did"), "text")
-            .join(F.broadcast(ids), "did").collect())
-    return [(r["text"], chosen[r["did"]]) for r in sorted(rows, key=lambda r: (r["did"], r["text"]))]
+    ids = docs.sparkSession.createDataFrame(chosen, "did long, y int")  # at most 2 * MAX_DOCS rows
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("did"), "text").join(F.broadcast(ids), "did")
+    return materialize(rows.repartition(TASKS, "did", "text"), "toxicity-sample")
 
 
 def features(word: str) -> list[str]:
@@ -76,42 +78,61 @@ def features(word: str) -> list[str]:
     return sorted({w, *(w[i:i + k] for k in (4, 5) for i in range(len(w) - k + 1))})
 
 
-def screened(bags: list[set[str]], y: np.ndarray) -> dict[str, int]:
+def screened(sample: DataFrame, n_toxic: int, n_other: int) -> dict[str, int]:
     """The features that go with the label: by how many standard errors their share among toxic
     documents exceeds that among the others (MIN_Z at least, and MIN_DOCS toxic documents)."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    parts = Memo(features)
-    for bag, label in zip(bags, y):
-        seen[int(label)].update(set(chain.from_iterable(map(parts.__getitem__, bag))))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    out = []
-    for f, k in seen[1].items():
-        p = (k + seen[0][f]) / len(y)
-        if k >= MIN_DOCS and k / n1 - seen[0][f] / n0 >= MIN_Z * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5:
-            out.append(f)
-    return {f: i for i, f in enumerate(sorted(out))}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Memo(features)
+        seen = (Counter(), Counter())
+        for b in batches:
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+                seen[y].update(set(chain.from_iterable(map(parts.__getitem__, set(WORD.findall(text.lower()))))))
+        names = sorted(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[y][f] for f in names], pa.int64()) for y in (1, 0)]],
+                                         ["feature", "k1", "k0"])
+
+    found = sample.select("text", "y").mapInArrow(count, "feature string, k1 long, k0 long")
+    found = found.groupBy("feature").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).where(F.col("k1") >= MIN_DOCS)
+    share = (F.col("k1") + F.col("k0")) / (n_toxic + n_other)
+    excess = F.col("k1") / n_toxic - F.col("k0") / n_other
+    error = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
+    kept = found.where((excess > 0) & (excess >= MIN_Z * error)).select("feature").collect()
+    return {f: i for i, f in enumerate(sorted(r["feature"] for r in kept))}
+
+
+def bags(sample: DataFrame, index: dict[str, int]) -> list:
+    """For each sampled document: label, number of sentences, and its (sentence, feature) pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Memo(lambda w: tuple(index[f] for f in features(w) if f in index))
+        for b in batches:
+            sizes, rows = [], []
+            for text in b.column("text").to_pylist():
+                found = sentences(text)
+                pairs = [(i, f) for i, (_, _, words) in enumerate(found) for f in chain.from_iterable(map(hits.__getitem__, words))]
+                sizes.append(len(found))
+                rows.append(np.array(pairs, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("y"), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())],
+                                             ["did", "y", "n", "pairs"])
+
+    return sorted(sample.mapInArrow(run, "did long, y int, n int, pairs binary").collect())
 
 
-def fit(sample: list[tuple[str, int]], steps: int = 300, decay: float = 5e-5) -> dict:
+def fit(sample: DataFrame, steps: int = 300, decay: float = 5e-5) -> dict:
     """Weights by Adam on the mean log loss of the noisy-or, plus ``decay`` times the squared weights.
     Without examples of both labels the model is a constant: the share of toxic ones."""
-    n_toxic = sum(y for _, y in sample)
-    if not n_toxic or n_toxic == len(sample):
-        return {"weights": {}, "bias": None, "rate": n_toxic / len(sample) if sample else 0.0}
-    bags = [[s[2] for s in sentences(t)] for t, _ in sample]
-    y = np.array([label for _, label in sample], float)
-    index = screened([set().union(*bag) for bag in bags], y)
-    hits = Memo(lambda w: tuple(index[f] for f in features(w) if f in index))
-    flat: list[int] = []
-    sentence: list[int] = []
-    doc: list[int] = []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            own = list(chain.from_iterable(map(hits.__getitem__, words)))
-            flat += own
-            sentence += [len(doc)] * len(own)
-            doc.append(d)
-    i, s, d = np.array(flat, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
+    counts = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n_toxic, n_other = counts.get(1, 0), counts.get(0, 0)
+    if not n_toxic or not n_other:
+        return {"weights": {}, "bias": None, "rate": 1.0 if n_toxic else 0.0}
+    index = screened(sample, n_toxic, n_other)
+    rows = bags(sample, index)
+    y = np.array([r["y"] for r in rows], float)
+    sizes = np.array([r["n"] for r in rows], np.int64)
+    d = np.repeat(np.arange(len(rows)), sizes)  # the document of each sentence
+    pairs = [np.frombuffer(r["pairs"], np.int32).reshape(-1, 2) for r in rows]
+    base = np.cumsum(sizes) - sizes
+    s = np.concatenate([p[:, 0] + b for p, b in zip(pairs, base)])
+    i = np.concatenate([p[:, 1] for p in pairs])
     params = np.zeros(len(index) + 1)
     params[-1] = -6.0
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -126,7 +147,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 300, decay: float = 5e-5) ->
         grad[:-1] += 2 * decay * params[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return {"weights": {f: float(params[j]) for f, j in index.items()}, "bias": float(params[-1]), "rate": n_toxic / len(sample)}
+    return {"weights": {f: float(params[j]) for f, j in index.items()}, "bias": float(params[-1]), "rate": n_toxic / (n_toxic + n_other)}
 
 
 class Scorer:
