@@ -9,7 +9,7 @@ The sort is distributed: keys fall into ``BUCKETS`` ranges of the uniform ``1 -
 words are summed for each source and range (partial sums before the shuffle), and only the one or
 two ranges in which a source's remainder ends are sorted. What comes out is one cut for each
 source: a document gets its extra copy if its key lies below. So no source's documents meet in one
-task, and texts are never shuffled. Functions of DataFrames only.
+task, and the plan is made without texts. Functions of DataFrames only.
 """
 
 from __future__ import annotations
@@ -115,21 +115,18 @@ def mixture(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``docs`` with each row as often as the mixture takes it; columns stay as they are. Texts stay
-    where they are as long as the table of sources is small enough for Spark to broadcast."""
+    """``docs`` with each row as often as the mixture takes it; columns stay as they are. Texts move
+    once, to meet their quality weights, if labels are given and too many to broadcast."""
     rows, sources = _plan(docs, labels)
-    names = docs.columns
-    out = docs.withColumns({"__did": solid_id(), "__size": words_in(F.col("text")), "__skey": _source_key(F.col("source"))})
+    out = docs.select(solid_id().alias("__did"), words_in(F.col("text")).alias("__size"), _source_key(F.col("source")).alias("skey"),
+                      F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if labels is None:
         out = out.withColumn("__weight", F.lit(1.0))
-    else:
-        # the weights by id, from the rows that were weighted above
+    else:  # the weights by id, from the rows that were weighted above
         weights = rows.where(F.col("__weight") != UNKNOWN).select("__did", "__weight").distinct()
         out = out.join(weights, "__did", "left").withColumn("__weight", F.coalesce("__weight", F.lit(UNKNOWN)))
-    own = sources.select(F.col("skey").alias("__skey"), "__epochs", "__cut")
-    out = _with_keys(out).join(own, "__skey")
-    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies())))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    out = _with_keys(out).join(sources.select("skey", "__epochs", "__cut"), "skey")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), _copies()))).select("row.*")
 
 
 def op6_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
