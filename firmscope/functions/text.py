@@ -106,8 +106,9 @@ def highlight(text: str | Column, query: str | Column) -> Column:
 
 
 def title_case(c: str | Column) -> Column:
-    """``initcap``. Differs from Python ``str.title`` after apostrophes/digits."""
-    return F.initcap(_c(c))
+    """Every run of letters gets a capital and small letters, wherever it stands (``3M``, ``O'Brien``, ``X-Ray``)."""
+    runs = F.regexp_extract_all(_c(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def display_location(locality="locality", country="country") -> Column:

@@ -43,10 +43,12 @@ SYNTH_SIZE_MAX = 20000
 SYNTH_YEAR_MIN, SYNTH_YEAR_MAX = 1900, 2024
 
 
-def read_company_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_company_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A1: header CSV, every cell a string, malformed rows tolerated (short rows → NULLs).
-    A blank header cell becomes ``_c0``. Adds the file position columns used for ordering."""
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
+    A blank header cell becomes ``_c0``. Adds the file position columns used for ordering.
+    ``multi_line`` accepts line breaks inside quoted cells; such files can't be split, so each is
+    one task: many files of moderate size keep the read parallel."""
+    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", multi_line)
           .option("escape", '"').csv(path))
     return df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
@@ -58,14 +60,14 @@ def with_ordinal(df: DataFrame, name: str = "_ordinal") -> DataFrame:
 
     Per file split only (count, first row id) is aggregated — one small row per split —
     and turned into offsets by a window over that small table; rows then add their
-    offset after a broadcast join of it (bounded by the number of splits).
+    offset after a join with it (broadcast by Spark while it is small).
     """
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     d = df.withColumn("_local", local)
     splits = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_lo"))
     w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(F.broadcast(offsets.select("_file", "_block", "_off", "_lo")), ["_file", "_block"])
+    j = d.join(offsets.select("_file", "_block", "_off", "_lo"), ["_file", "_block"])
     return j.withColumn(name, F.col("_off") + F.col("_local") - F.col("_lo")).drop("_off", "_lo", "_local")
 
 

@@ -36,14 +36,26 @@ def zero_vector_fallback(vec: str, dim: int):
     return F.coalesce(F.col(vec), F.array_repeat(F.lit(0.0).cast("float"), dim))
 
 
-def _collect_block(queries: DataFrame, qid: str, qvec: str, limit: int | None = None):
-    q = queries.select(qid, qvec).where(F.col(qvec).isNotNull())
-    rows = (q.limit(limit) if limit else q).collect()
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    if not rows:
-        return ids, np.zeros((0, 0))
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-    return ids, mat
+def _carried(t: T.DataType) -> T.DataType:
+    """The type an id has inside a block: whole numbers as long, anything else as its text."""
+    return T.LongType() if isinstance(t, T.IntegralType) else T.StringType()
+
+
+def _id_array(values) -> np.ndarray:
+    a = np.asarray(values)
+    return a.astype(np.int64) if a.dtype.kind in "iu" else a.astype(str)
+
+
+def _blocks(q: DataFrame, most: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries in blocks of at most ``most`` rows: a block that is larger is split by one more bit
+    of a hash, so no more than ``most + 1`` rows ever reach the driver at once. Rows are distinct."""
+    rows = q.limit(most + 1).collect()
+    if len(rows) > most:
+        for side in (0, 1):
+            bit = F.shiftrightunsigned(F.xxhash64(*q.columns), depth).bitwiseAND(F.lit(1).cast("long"))
+            yield from _blocks(q.where(bit == side), most, depth + 1)
+    elif rows:
+        yield _id_array([r[0] for r in rows]), np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
 
 
 _MAX_CELLS = 2_000_000
@@ -77,31 +89,35 @@ def _block_scores(corpus: DataFrame, ids: np.ndarray, mat: np.ndarray, k: int, c
         keep = norms > 0  # zero query vector: no kNN contribution (D9)
         ids, mat = ids[keep], mat[keep] / norms[keep][:, None]
     bc = spark.sparkContext.broadcast((ids, mat))
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
+    doc_type = _carried(corpus.schema[cid].dataType)
+    out_schema = T.StructType([T.StructField("query_id", T.LongType() if ids.dtype.kind == "i" else T.StringType()),
+                               T.StructField("doc_id", doc_type),
                                T.StructField("sim", T.DoubleType()), T.StructField("knn_score", T.DoubleType())])
 
     def score_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qm = bc.value
-        best_ids = np.zeros((len(qids), 0), dtype=np.int64)
+        best_ids = None
         best_sim = np.zeros((len(qids), 0))
         for pdf in batches:
             pdf = pdf[pdf[cvec].notna()]
             if len(pdf) == 0 or len(qids) == 0:
                 continue
             xall = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[cvec].to_numpy()])
-            dall = pdf[cid].to_numpy(dtype=np.int64)
+            dall = _id_array(pdf[cid].to_numpy())
+            if best_ids is None:
+                best_ids = np.zeros((len(qids), 0), dtype=dall.dtype)
             step = max(1, _MAX_CELLS // max(1, len(qids)))  # bounds the queries x rows matrix
             for lo in range(0, len(dall), step):
                 best_sim, best_ids = _merge(qm, xall[lo:lo + step], dall[lo:lo + step], best_sim, best_ids,
                                             k, metric)
-        if best_sim.size:
+        if best_ids is not None and best_sim.size:
             q = np.repeat(qids, best_sim.shape[1])
             s = best_sim.ravel()
             score = 1.0 / (2.0 - s) if metric == "cosine" else 1.0 / (1.0 - s)
             yield pd.DataFrame({"query_id": q, "doc_id": best_ids.ravel(), "sim": s if metric == "cosine" else -s,
                                 "knn_score": score})
 
-    return corpus.select(F.col(cid).cast("long").alias(cid), cvec).mapInPandas(score_partition, out_schema)
+    return corpus.where(F.col(cid).isNotNull()).select(F.col(cid).cast(doc_type).alias(cid), cvec).mapInPandas(score_partition, out_schema)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, cid: str = "doc_id", cvec: str = "embedding",
@@ -110,32 +126,24 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, cid: str = "doc_id"
     """Exact top-k neighbours of every query vector.
 
     Returns (query_id, doc_id, sim, knn_score, knn_rank); ``sim`` is the cosine (or
-    squared L2 distance), rounded to 9 decimals. ``corpus`` may be pre-filtered (C12):
+    squared L2 distance), rounded to 9 decimals. Ids keep their types; whole numbers break
+    ties as numbers, all others as text. Rows with a NULL id or vector take no part. ``corpus`` may be pre-filtered (C12):
     filters on it are pushed into its scan by Catalyst.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be 'cosine' or 'l2'")
-    # one bounded collect answers "does it fit in one block?"; only larger query tables
-    # are counted and split into hash blocks of at most ~max_block_queries each
-    ids, mat = _collect_block(queries, qid, qvec, limit=max_block_queries + 1)
-    parts = []
-    if len(ids) <= max_block_queries:
-        if len(ids):
-            parts.append(_block_scores(corpus, ids, mat, k, cid, cvec, metric))
-    else:
-        nq = queries.where(F.col(qvec).isNotNull()).count()
-        nblocks = -(-nq // max_block_queries) * 2  # hash blocks are uneven; aim at half the bound
-        for bi in range(nblocks):
-            block = queries.where(F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks)) == bi)
-            ids, mat = _collect_block(block, qid, qvec)
-            if len(ids):
-                parts.append(_block_scores(corpus, ids, mat, k, cid, cvec, metric))
+    q_type, d_type = queries.schema[qid].dataType, corpus.schema[cid].dataType
+    asked = (queries.select(F.col(qid).cast(_carried(q_type)).alias("id"), F.col(qvec).alias("vec"))
+             .where("id is not null and vec is not null").distinct())
+    parts = [_block_scores(corpus, ids, mat, k, cid, cvec, metric) for ids, mat in _blocks(asked, max_block_queries)]
     if not parts:
-        spark = corpus.sparkSession
-        return spark.createDataFrame([], "query_id long, doc_id long, sim double, knn_score double, knn_rank int")
+        empty = T.StructType([T.StructField("query_id", q_type), T.StructField("doc_id", d_type), T.StructField("sim", T.DoubleType()),
+                              T.StructField("knn_score", T.DoubleType()), T.StructField("knn_rank", T.IntegerType())])
+        return corpus.sparkSession.createDataFrame([], empty)
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
+    scored = scored.withColumns({"query_id": F.col("query_id").cast(q_type), "doc_id": F.col("doc_id").cast(d_type)})
     order = F.col("sim").desc() if metric == "cosine" else F.col("sim").asc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("doc_id").asc())
     return scored.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import materialize
 from .sizing import attach_scalars, bounded_broadcast
 
 # Fixed values that must equal the reference: endpoint name canonicalisation and the
@@ -22,9 +22,6 @@ ENDPOINT_NAMES = {
 }
 DROPPED_NAMES = ("Aggregated", "")
 
-# Perf-stats CSV columns, in the reference's order.
-STATS_COLUMNS = ["Type", "Name", "Request Count", "Failure Count", "Median Response Time", "Average Response Time",
-                 "Min Response Time", "Max Response Time", "Requests/s", "Failures/s", "50%", "95%", "99%", "99.9%"]
 PERCENTILES = (0.5, 0.95, 0.99, 0.999)
 
 
@@ -49,7 +46,8 @@ def exact_percentiles(df: DataFrame, group: str, value: str, ps=PERCENTILES,
               .withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding,
                                                                           Window.currentRow)
-    sliced = sliced.withColumn("_lhi", F.sum("_c").over(local))
+    # written once: range bounds are sampled, so running the exchange twice may slice differently
+    sliced = materialize(sliced.withColumn("_lhi", F.sum("_c").over(local)), "percentile-slices")
     totals = sliced.groupBy("_pid", group).agg(F.sum("_c").alias("_t"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
@@ -72,15 +70,16 @@ def exact_percentiles(df: DataFrame, group: str, value: str, ps=PERCENTILES,
     return per.groupBy(group).agg(*[F.max(F.when(F.col("i") == i, val)).alias(nm) for i, nm in enumerate(names)])
 
 
-def endpoint_stats(log: DataFrame, exact: bool = True) -> DataFrame:
+def endpoint_stats(log: DataFrame, exact: bool = True, elapsed: float | None = None) -> DataFrame:
     """Per endpoint request/failure counts, latency avg/min/max/percentiles over
     successful requests (0 when none succeeded), requests/s and failures/s over the
-    log's elapsed time (last ts − first ts).
+    log's elapsed time: ``elapsed`` seconds, by default last ts − first ts (NULL rates if that is 0).
 
     ``exact=True`` uses ``exact_percentiles`` (distributed, exact); ``exact=False`` uses
     ``percentile_approx`` (one bounded sketch per endpoint, no extra shuffle).
     """
-    span = log.agg(((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("elapsed"))
+    measured = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
+    span = log.agg((measured if elapsed is None else F.lit(float(elapsed))).alias("elapsed"))
     ok_lat = F.when(F.col("ok"), F.col("latency"))
     aggs = [F.count(F.lit(1)).alias("request_count"), F.count_if(~F.col("ok")).alias("failure_count"),
             F.avg(ok_lat).alias("avg_latency"), F.min(ok_lat).alias("min_latency"),
@@ -103,8 +102,8 @@ def endpoint_stats(log: DataFrame, exact: bool = True) -> DataFrame:
         z(r9(F.col("avg_latency"))).alias("avg_latency"),
         z(F.col("min_latency").cast("double")).alias("min_latency"),
         z(F.col("max_latency").cast("double")).alias("max_latency"),
-        (F.col("request_count") / F.col("elapsed")).alias("requests_per_s"),
-        (F.col("failure_count") / F.col("elapsed")).alias("failures_per_s"),
+        F.try_divide(F.col("request_count"), F.col("elapsed")).alias("requests_per_s"),
+        F.try_divide(F.col("failure_count"), F.col("elapsed")).alias("failures_per_s"),
         *[z(r9(F.col(n))).alias(n) for n in names])
 
 
@@ -133,11 +132,14 @@ def read_stats_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def canonical_endpoints(stats: DataFrame, name: str = "name") -> DataFrame:
-    """Map long endpoint names to short ones and drop the totals / blank rows."""
+    """Map long endpoint names to short ones and drop the totals / blank rows. Of several rows with one
+    short name the last one read stays."""
     m = F.create_map(*[x for kv in ENDPOINT_NAMES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     n = F.coalesce(F.col(name), F.lit(""))
-    return (stats.withColumn(name, F.coalesce(F.element_at(m, n), n))
+    rows = (stats.withColumn("_at", F.monotonically_increasing_id()).withColumn(name, F.coalesce(F.element_at(m, n), n))
             .where(~F.col(name).isin(*DROPPED_NAMES)))
+    last = rows.groupBy(name).agg(F.max_by(F.struct(*[c for c in stats.columns if c != name]), "_at").alias("_r"))
+    return last.select(name, "_r.*").select(*stats.columns)
 
 
 def compare_runs(base: DataFrame, current: DataFrame) -> DataFrame:
@@ -171,5 +173,3 @@ def report_lines(cmp: DataFrame) -> DataFrame:
                     pct("latency_delta_pct"), F.lit("** |"))
     return cmp.select("name", line.alias("line"))
 
-
-STATS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in STATS_COLUMNS])

@@ -6,9 +6,7 @@ offset/limit plan whose predicates Catalyst pushes into the Parquet scan.
 ``batch_search`` answers a whole table of requests in one plan. Requests are grouped by
 which equality fields they set (at most 8 patterns of industry / size_range / country);
 every company row is keyed once per pattern in use, and filter sets join companies on
-(pattern, key) — an equi-join, broadcast on the request side when the request table is
-small (checked). Year bounds and tags are residual predicates; name requests inner-join
-their BM25 scores. Pages are cut with ``row_number() <= page*size`` (WindowGroupLimit,
+(pattern, key), on a tag, on a founding year or on the hits of the name index. Pages are cut with ``row_number() <= page*size`` (WindowGroupLimit,
 applied partially before the shuffle).
 """
 
@@ -117,60 +115,83 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     tags (array<string>), page, size. Returns request_id, rank, company_id, score and
     the company columns.
 
-    Identical filter sets are answered once (single flight) and joined back. A filter set
-    with only equality criteria (or none) needs just the first ``page*size`` companies of
-    its key in id order, so each key's companies are cut to the largest page end *before*
-    the join with ``row_number() <= k`` per (pattern, key) — a partial WindowGroupLimit
-    runs in every task ahead of the shuffle, so even a key holding a third of all
-    companies moves at most k rows per task. Filter sets with a name, year bounds or tags
-    join the whole key and apply those as residual predicates / BM25 scores.
+    Identical filter sets are answered once (single flight) and joined back. Every kind of filter
+    set meets the companies by an equi-join, none by a nested loop:
+
+    * equality criteria alone: each key's companies are cut to the largest page end before the join
+      (a partial WindowGroupLimit runs in every task ahead of the shuffle);
+    * equality criteria with years or tags: on the key, with residual predicates;
+    * tags without them: on the first tag;
+    * years alone: on each founding year in the range, whose companies are cut as above;
+    * names: from the hits of the text index to their companies.
     """
     req = _norm_requests(requests)
     bad = req.where((F.col("page") < 1) | (F.col("size") < 0)).limit(1).count()
     if bad:
         raise ValueError("page must be >= 1 and size >= 0")
     fcols = ["pattern", "eq_key", "name", "year_from", "year_to", "tags"]
-    req = req.withColumn("fs_id", F.xxhash64(*[F.to_json(F.struct(*fcols))]))
-    # the distinct patterns (at most 2^3 = 8 values) and the largest page end are bounded scalars
-    stats = req.agg(F.collect_set("pattern").alias("p"), F.max(F.col("page") * F.col("size")).alias("k")).first()
+    req = req.withColumn("fs_id", F.sha2(F.to_json(F.struct(*fcols)), 256))
+    named = F.col("name").isNotNull() & (F.col("name") != "")
+    dated = (F.coalesce(F.col("year_from"), F.lit(0)) != 0) | (F.coalesce(F.col("year_to"), F.lit(0)) != 0)
+    tagged = F.coalesce(F.size("tags"), F.lit(0)) > 0
+    # bounded scalars: the distinct patterns (at most 2^3 = 8 values), the largest page end, which kinds occur
+    stats = req.agg(F.collect_set("pattern").alias("p"), F.max(F.col("page") * F.col("size")).alias("k"),
+                    F.max(named).alias("named"), F.max(~named & (F.col("pattern") == 0) & dated & ~tagged).alias("dated")).first()
     patterns, max_end = sorted(stats["p"] or []), int(stats["k"] or 0)
     if not patterns or max_end == 0:
         return companies.limit(0).withColumns({"request_id": F.lit(None).cast("long"), "rank": F.lit(0),
                                                "score": F.lit(None).cast("double")})
-    fsets = (req.groupBy("fs_id", *fcols).agg(F.max(F.col("page") * F.col("size")).alias("need")))
-    has_name = F.col("name").isNotNull() & (F.col("name") != "")
-    residual = (has_name | (F.coalesce(F.col("year_from"), F.lit(0)) != 0)
-                | (F.coalesce(F.col("year_to"), F.lit(0)) != 0) | (F.coalesce(F.size("tags"), F.lit(0)) > 0))
-    keyed = companies.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"),
-                                                                      _company_key(p).alias("eq_key"))
-                                                             for p in patterns])))
-    keyed = keyed.select("*", "_k.pattern", "_k.eq_key").drop("_k")
-
-    # equality-only filter sets: cut every key to its first max_end companies, then join
-    simple = fsets.where(~residual).select("fs_id", "pattern", "eq_key")
-    wk = Window.partitionBy("pattern", "eq_key").orderBy(F.col("company_id").asc())
-    heads = keyed.withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= F.lit(max_end)).drop("_rk")
-    simple_hits = (heads.join(bounded_broadcast(simple, max_broadcast_requests), ["pattern", "eq_key"])
-                   .withColumn("score", F.lit(None).cast("double")))
-
-    # filter sets with residual predicates or a name
-    comp = fsets.where(residual).select("fs_id", "pattern", "eq_key", F.col("name").alias("r_name"),
-                                        F.col("year_from").alias("r_from"), F.col("year_to").alias("r_to"),
-                                        F.col("tags").alias("r_tags"))
-    j = keyed.join(bounded_broadcast(comp, max_broadcast_requests), ["pattern", "eq_key"])
-    resid = ((F.coalesce(F.col("r_from"), F.lit(0)) == 0) | (F.col("year_founded") >= F.col("r_from"))) & \
-            ((F.coalesce(F.col("r_to"), F.lit(0)) == 0) | (F.col("year_founded") <= F.col("r_to"))) & \
-            F.coalesce(F.forall(F.col("r_tags"), lambda t: F.array_contains(F.col("tags"), t)), F.lit(True))
-    j = j.where(resid)
-    named = comp.where(F.col("r_name").isNotNull() & (F.col("r_name") != ""))
-    idx = index or name_index(companies)
-    scores = bm25(idx, named.select(F.col("fs_id").alias("query_id"), F.col("r_name").alias("query"))) \
-        .select(F.col("query_id").alias("fs_id"), F.col("doc_id").alias("company_id"),
-                F.round("score", 6).alias("score"))
-    r_named = F.col("r_name").isNotNull() & (F.col("r_name") != "")
-    with_name = j.where(r_named).join(scores, ["fs_id", "company_id"])
-    without = j.where(~r_named).withColumn("score", F.lit(None).cast("double"))
-    hits = simple_hits.unionByName(with_name.unionByName(without).drop("r_name", "r_from", "r_to", "r_tags"))
+    fsets = req.groupBy("fs_id", *fcols).agg(F.max(F.col("page") * F.col("size")).alias("need"))
+    r = fsets.select("fs_id", F.col("pattern").alias("r_pattern"), F.col("eq_key").alias("r_key"), F.col("name").alias("r_name"),
+                     F.col("year_from").alias("r_from"), F.col("year_to").alias("r_to"), F.col("tags").alias("r_tags"), "need",
+                     named.alias("named"), dated.alias("dated"), tagged.alias("tagged"))
+    fits = ((F.coalesce(F.col("r_from"), F.lit(0)) == 0) | (F.col("year_founded") >= F.col("r_from"))) & \
+           ((F.coalesce(F.col("r_to"), F.lit(0)) == 0) | (F.col("year_founded") <= F.col("r_to"))) & \
+           F.coalesce(F.forall(F.col("r_tags"), lambda t: F.array_contains(F.col("tags"), t)), F.lit(True))
+    own, none = companies.columns, F.lit(None).cast("double").alias("score")
+    rest = r.where(~F.col("named"))
+
+    # equality criteria only: the first companies of each key, cut per key before they meet the requests
+    keyed = companies.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(p).alias("r_pattern"), _company_key(p).alias("r_key"))
+                                                             for p in patterns]))).select(*own, "_k.*")
+    simple = rest.where(~F.col("dated") & ~F.col("tagged")).select("fs_id", "r_pattern", "r_key", "need")
+    wk = Window.partitionBy("r_pattern", "r_key").orderBy(F.col("company_id").asc())
+    heads = keyed.withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= F.lit(max_end))
+    parts = [heads.join(bounded_broadcast(simple, max_broadcast_requests), ["r_pattern", "r_key"])
+             .where(F.col("_rk") <= F.col("need")).select("fs_id", *own, none)]
+
+    # equality criteria with years or tags: whole keys, residual predicates
+    whole = rest.where((F.col("r_pattern") != 0) & (F.col("dated") | F.col("tagged"))).drop("named", "dated", "tagged")
+    keyed = keyed.where(F.col("r_pattern") != 0)
+    parts.append(keyed.join(bounded_broadcast(whole, max_broadcast_requests), ["r_pattern", "r_key"]).where(fits).select("fs_id", *own, none))
+
+    # tags without equality criteria: the first tag is the key
+    by_tag = rest.where((F.col("r_pattern") == 0) & F.col("tagged")).withColumn("_tag", F.col("r_tags")[0])
+    own_tags = companies.withColumn("_tag", F.explode(F.array_distinct("tags")))
+    parts.append(own_tags.join(bounded_broadcast(by_tag, max_broadcast_requests), "_tag").where(fits).select("fs_id", *own, none))
+
+    # years alone: the first companies of each founding year, met year by year
+    if stats["dated"]:
+        years = companies.agg(F.min("year_founded"), F.max("year_founded")).first()
+        first, last = years[0] or 1, years[1] or 0
+        wy = Window.partitionBy("year_founded").orderBy(F.col("company_id").asc())
+        heads = companies.withColumn("_rk", F.row_number().over(wy)).where((F.col("_rk") <= F.lit(max_end)) & F.col("year_founded").isNotNull())
+        lo = F.greatest(F.when(F.coalesce(F.col("r_from"), F.lit(0)) != 0, F.col("r_from")).otherwise(F.lit(first)), F.lit(first))
+        hi = F.least(F.when(F.coalesce(F.col("r_to"), F.lit(0)) != 0, F.col("r_to")).otherwise(F.lit(last)), F.lit(last))
+        by_year = (rest.where((F.col("r_pattern") == 0) & F.col("dated") & ~F.col("tagged")).where(lo <= hi)
+                   .select("fs_id", "need", F.explode(F.sequence(lo, hi)).alias("year_founded")))
+        parts.append(by_year.join(heads, "year_founded").where(F.col("_rk") <= F.col("need")).select("fs_id", *own, none))
+
+    # names: from the hits of the index to their companies
+    if stats["named"]:
+        idx = index or name_index(companies, materialize=True)
+        asked = r.where(F.col("named"))
+        hits = (bm25(idx, asked.select(F.col("fs_id").alias("query_id"), F.col("r_name").alias("query")))
+                .select(F.col("query_id").alias("fs_id"), F.col("doc_id").alias("company_id"), F.round("score", 6).alias("score")))
+        met = hits.join(companies, "company_id").join(bounded_broadcast(asked, max_broadcast_requests), "fs_id").where(fits)
+        same_key = reduce(lambda x, y: x | y, [(F.col("r_pattern") == p) & (F.col("r_key") == _company_key(p)) for p in patterns])
+        parts.append(met.where(same_key).select("fs_id", *own, "score"))
+    hits = reduce(DataFrame.unionByName, parts)
     wf = Window.partitionBy("fs_id").orderBy(F.col("score").desc_nulls_last(), F.col("company_id").asc())
     ranked = hits.withColumn("_rn", F.row_number().over(wf)).where(F.col("_rn") <= F.lit(max_end))
     back = req.select("request_id", "fs_id", "page", "size")
@@ -178,4 +199,4 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     off = (F.col("page") - 1) * F.col("size")
     page = out.where((F.col("_rn") > off) & (F.col("_rn") <= off + F.col("size")))
     return page.withColumn("rank", (F.col("_rn") - off).cast("int")).drop(
-        "_rn", "pattern", "eq_key", "page", "size", "fs_id")
+        "_rn", "page", "size", "fs_id")

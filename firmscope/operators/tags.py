@@ -36,5 +36,5 @@ def add_tags(companies: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
 
 def all_tags(companies: DataFrame, size: int = MAX_TAG_BUCKETS) -> DataFrame:
     """The ``size`` most frequent tags (documents per tag desc, then tag)."""
-    return (companies.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("doc_count"))
+    return (companies.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("doc_count"))
             .orderBy(F.col("doc_count").desc(), F.col("tag").asc()).limit(size))

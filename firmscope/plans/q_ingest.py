@@ -13,10 +13,10 @@ from ..operators.ingest import (clean_companies, delete, lookup, with_hashed_emb
 from ..sources.company_csv import company_csv_path
 from ..sources.tables import companies_from_customer, companies_from_part, read_table, user_queries
 from .registry import register
-from .sqlparts import CUSTOMER_COMPANIES, PART_COMPANIES, initcap2, py_strip, size_bucket as sql_bucket, tokens
+from .sqlparts import CUSTOMER_COMPANIES, PART_COMPANIES, titled, py_strip, size_bucket as sql_bucket, tokens
 
 # the CSV rows as DuckDB derives them from part (same rules as sources.company_csv)
-CSV_ROWS = f"""SELECT CAST(p_partkey AS VARCHAR) AS "_c0", {initcap2('p_name')} AS name,
+CSV_ROWS = f"""SELECT CAST(p_partkey AS VARCHAR) AS "_c0", {titled('p_name')} AS name,
   CASE WHEN p_size < 3 THEN NULL ELSE lower(replace(p_brand, '#', '')) || '.com' END AS domain,
   CASE WHEN p_size > 45 THEN NULL WHEN p_size = 13 THEN 'abc'
        ELSE CAST(1950 + p_partkey % 75 AS VARCHAR) || '.0' END AS "year founded",
@@ -143,12 +143,16 @@ def b11_highlight(spark, sf_dir):
     return co.select("company_id", highlight("name", F.lit("Ring")).alias("highlighted"))
 
 
-@register("b12_title_case", f"""SELECT CAST(c_custkey AS VARCHAR) AS company_id, {initcap2('c_name')} AS title
+ODD_NAME_SQL = "'3m ' || c_name || ' o''' || c_mktsegment || ' x-ray'"
+
+
+@register("b12_title_case", f"""SELECT CAST(c_custkey AS VARCHAR) AS company_id, {titled(ODD_NAME_SQL)} AS title
   FROM customer""")
 def b12_title(spark, sf_dir):
-    """Title-cased names (initcap; differs from Python title() after apostrophes)."""
+    """Title-cased names, with digits, apostrophes and hyphens inside words."""
     co = companies_from_customer(spark, sf_dir)
-    return co.select("company_id", title_case("name").alias("title"))
+    odd = F.concat(F.lit("3m "), F.col("name"), F.lit(" o'"), F.col("industry"), F.lit(" x-ray"))
+    return co.select("company_id", title_case(odd).alias("title"))
 
 
 @register("b13_display_lines", f"""SELECT company_id, locality || ', ' || country AS location,

@@ -206,27 +206,34 @@ def e6_route(spark, sf_dir):
     return _resolved(spark, sf_dir).groupBy("route", "source").agg(F.count(F.lit(1)).alias("n_queries"))
 
 
-DICT_SQL = """SELECT DISTINCT 'country' AS field, lang AS value FROM documents
+DICT_SQL = f"""SELECT DISTINCT 'country' AS field, lang AS value FROM documents
   UNION SELECT DISTINCT 'industry', lower(c_mktsegment) FROM customer
   UNION SELECT 'size_range', unnest(['1-10', '11-50', '51-200', '201-500', '501-1000', '1001-5000', '5001-10000',
-                                     '10001+'])"""
+                                     '10001+'])
+  UNION SELECT DISTINCT 'industry', array_to_string(w[1:5], ' ') FROM
+    (SELECT {tokens('text')} AS w FROM conversations WHERE role = 'user' AND turn = 0) WHERE len(w) >= 5"""
 
 
 def _dictionary(spark, sf_dir):
     from ..functions.buckets import SIZE_LABELS
+    from ..functions.text import tokens as text_tokens
     d = read_table(spark, sf_dir, "documents").select(F.lit("country").alias("field"), F.col("lang").alias("value"))
     c = read_table(spark, sf_dir, "customer").select(F.lit("industry").alias("field"),
                                                      F.lower("c_mktsegment").alias("value"))
     s = spark.createDataFrame([("size_range", x) for x in SIZE_LABELS], "field string, value string")
-    return d.unionByName(c).unionByName(s).distinct()
+    # values of five tokens: the openings of conversations
+    w = text_tokens("text")
+    long = (read_table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").where(F.size(w) >= 5)
+            .select(F.lit("industry").alias("field"), F.array_join(F.slice(w, 1, 5), " ").alias("value")))
+    return d.unionByName(c).unionByName(s).unionByName(long).distinct()
 
 
 E8_SQL = f"""WITH q AS ({UQ}),
 d AS (SELECT field, value, array_to_string({tokens('value')}, ' ') AS phrase, len({tokens('value')}) AS n
-      FROM ({DICT_SQL}) WHERE len({tokens('value')}) BETWEEN 1 AND 3),
+      FROM ({DICT_SQL}) WHERE len({tokens('value')}) >= 1),
 t AS (SELECT query_id, {tokens('query')} AS t FROM q),
 g AS (SELECT DISTINCT query_id, array_to_string(t[i:i + n - 1], ' ') AS phrase
-      FROM t, (SELECT unnest([1, 2, 3]) AS n) ns, LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)),
+      FROM t, (SELECT DISTINCT n FROM d) ns, LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)),
 m AS (SELECT g.query_id, d.field, d.value, d.n FROM g JOIN d USING (phrase)),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field ORDER BY n DESC, value) AS r FROM m)
       WHERE r = 1),

@@ -13,7 +13,6 @@ from .q_intent import E5_SQL, _resolved
 from .registry import register
 
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
-TITLE_RE = r"<title>(.*?)</title>"
 
 
 def _sq(s: str) -> str:
@@ -22,12 +21,10 @@ def _sq(s: str) -> str:
 
 
 def _evidence(spark, sf_dir):
-    """Evidence rows: one per page; query = URL host, rank = page_id, content = page title.
-    Pages with a query string are treated as unusable (tracking links) and left out."""
+    """Evidence rows: one per page; query = URL host, rank = page_id, content = the whole page."""
     p = read_table(spark, sf_dir, "pages")
-    return (p.where(~F.col("url").contains("?"))
-            .select(F.regexp_extract("url", HOST_RE, 1).alias("query_id"), F.col("page_id").alias("rank"), "url",
-                    F.regexp_extract("html", TITLE_RE, 1).alias("content")))
+    return p.select(F.regexp_extract("url", HOST_RE, 1).alias("query_id"), F.col("page_id").alias("rank"), "url",
+                    F.col("html").alias("content"))
 
 
 def _host_queries(spark, sf_dir):
@@ -38,7 +35,7 @@ def _host_queries(spark, sf_dir):
 
 
 EVID_SQL = f"""SELECT regexp_extract(url, '{HOST_RE}', 1) AS query_id, page_id AS rank, url,
-  regexp_extract(html, '{TITLE_RE}', 1) AS content FROM pages WHERE NOT contains(url, '?')"""
+  html AS content FROM pages"""
 
 G1_SQL = f"""WITH e AS ({EVID_SQL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS rn FROM e)
@@ -136,8 +133,9 @@ def g6_dead(spark, sf_dir):
 
 G7_SQL = """SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'PENDING'
   WHEN 'P' THEN 'failed' ELSE o_orderstatus END AS status,
-  CASE o_orderstatus WHEN 'F' THEN 'leads for ' || o_orderpriority WHEN 'P' THEN 'error: ' || o_orderpriority
-  END AS result FROM orders"""
+  CASE WHEN o_orderstatus = 'F' THEN 'leads for ' || o_orderpriority
+    WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'revoked: ' || o_orderpriority
+    WHEN o_orderstatus = 'P' THEN 'error: ' || o_orderpriority END AS result FROM orders"""
 
 
 @register("g7_task_status", G7_SQL)
@@ -146,9 +144,11 @@ def g7_status(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
     tasks = o.select(F.col("o_orderkey").alias("task_id"),
-                     F.when(st == "F", "SUCCESS").when(st == "O", "PENDING").when(st == "P", "FAILURE")
+                     F.when(st == "F", "SUCCESS").when(st == "O", "PENDING")
+                     .when((st == "P") & (F.col("o_orderkey") % 2 == 0), "REVOKED").when(st == "P", "FAILURE")
                      .otherwise(st).alias("state"),
                      F.when(st == "F", F.concat(F.lit("leads for "), F.col("o_orderpriority")))
+                     .when((st == "P") & (F.col("o_orderkey") % 2 == 0), F.concat(F.lit("revoked: "), F.col("o_orderpriority")))
                      .when(st == "P", F.concat(F.lit("error: "), F.col("o_orderpriority"))).alias("result"))
     return task_status(tasks)
 

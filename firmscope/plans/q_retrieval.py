@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.knn import knn
-from ..operators.retrieval import build_hybrid_index, diagnostics, first_stage, two_stage_retrieval
+from ..operators.retrieval import build_hybrid_index, diagnostics, first_stage, guarded_reranker, two_stage_retrieval
 from ..operators.textindex import bm25, top_k
 from ..sources.tables import benchmark_queries, read_table, search_corpus
 from .registry import register
@@ -83,6 +83,28 @@ def d13_knn_only(spark, sf_dir):
     return knn(c, benchmark_queries(spark, sf_dir), k=5)
 
 
+@register("d3_knn_l2", """WITH q AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+s AS (SELECT query_id, vec_id AS doc_id, round(greatest(list_dot_product(v, v) + list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])
+        - 2 * list_dot_product(v, embedding::DOUBLE[]), 0.0), 9) AS sim FROM q, embeddings),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim, doc_id) AS INTEGER) AS knn_rank FROM s)
+SELECT query_id, doc_id, round(sim, 6) AS sim, knn_rank FROM r WHERE knn_rank <= 10""")
+def d3_l2(spark, sf_dir):
+    """D3 with squared Euclidean distance, k=10."""
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    out = knn(e, benchmark_queries(spark, sf_dir), k=10, metric="l2")
+    return out.select("query_id", "doc_id", F.round("sim", 6).alias("sim"), "knn_rank")
+
+
+@register("d3_knn_text_ids", f"""SELECT 'q' || query_id AS query_id, 'd' || doc_id AS doc_id, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, 'd' || doc_id) AS r FROM (
+    SELECT query_id, doc_id, sim FROM ({_knn_sql('', 1000000000)}))) WHERE r <= 10""")
+def d3_text_ids(spark, sf_dir):
+    """D3/D13/C12 with ids of text, as the natural keys of the ingest are."""
+    e = read_table(spark, sf_dir, "embeddings").select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("doc_id"), "embedding")
+    q = benchmark_queries(spark, sf_dir).withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    return knn(e, q, k=10).select("query_id", "doc_id", "sim")
+
+
 # --- D4/D5 and D14 ------------------------------------------------------------------
 
 HYBRID_CTES = f"""WITH corpus AS ({_CORPUS}),
@@ -153,6 +175,34 @@ def _with_intent(q):
         "intent_country", F.lit(None).cast("string"))
 
 
+D8_SQL = HYBRID_CTES + """
+SELECT query_id, stage1_rank AS rank, doc_id, 0.0::DOUBLE AS re_rank_score, hybrid_score AS knn_score FROM s1 WHERE stage1_rank <= 10"""
+
+
+@register("d8_rerank_fallback", D8_SQL)
+def d8_fallback(spark, sf_dir):
+    """A scorer that raises scores 0 everywhere, so the first stage's order stays."""
+    def failing(queries, texts):
+        raise RuntimeError("the scorer is down")
+
+    res = two_stage_retrieval(hybrid_index(spark, sf_dir), benchmark_queries(spark, sf_dir), reranker=guarded_reranker(failing))
+    return res.select("query_id", "rank", "doc_id", "re_rank_score", "knn_score")
+
+
+@register("d14_after_ingest")
+def d14_ingested(spark, sf_dir):
+    """A1-A4, D10, D11, D14 in one chain: companies as the ingest keys and embeds them (text ids), indexed, and
+    searched with the benchmark's texts and their vectors from the same encoder."""
+    from ..operators.ingest import clean_companies, with_hashed_embedding
+    from .q_ingest import _raw
+    co = clean_companies(_raw(spark, sf_dir), id_mode="natural", embed_dim=64)
+    corpus = co.select(F.col("company_id").alias("doc_id"), "name", "industry", "locality", "country", "embedding")
+    idx = build_hybrid_index(corpus, materialize=True, layout="doc")
+    b = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
+    q = with_hashed_embedding(b, "query", out="vector")
+    return two_stage_retrieval(idx, q).select("query_id", "rank", "doc_id", "re_rank_score", "knn_score", "knn_only_score")
+
+
 # --- D12 ----------------------------------------------------------------------------
 
 @register("d12_lsh_candidates")

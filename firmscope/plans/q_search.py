@@ -209,3 +209,45 @@ def c9_orders(spark, sf_dir):
     (identical filter sets collapse; equality-only sets are cut per key before the join)."""
     co = companies_from_customer(spark, sf_dir)
     return batch_search(co, order_requests(spark, sf_dir)).select("request_id", "rank", "company_id")
+
+
+def customer_requests(spark, sf_dir):
+    """Two requests per customer, all distinct: its number as a name with a lower year bound, and a range of
+    founding years alone; every seventh of the latter with the customer's segment."""
+    c = read_table(spark, sf_dir, "customer")
+    k, none_s, none_i = F.col("c_custkey"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    tags = F.lit(None).cast("array<string>").alias("tags")
+    by_name = c.select((k * 2).alias("request_id"), F.regexp_extract("c_name", "[0-9]+", 0).alias("name"), none_s.alias("industry"),
+                       none_s.alias("size_range"), none_s.alias("country"), F.lit(1910).alias("year_from"), none_i.alias("year_to"), tags,
+                       F.lit(1).alias("page"), F.lit(10).alias("size"))
+    start = (F.lit(1900) + k % 120).cast("int")
+    by_year = c.select((k * 2 + 1).alias("request_id"), none_s.alias("name"), F.when(k % 7 == 0, F.col("c_mktsegment")).alias("industry"),
+                       none_s.alias("size_range"), none_s.alias("country"), start.alias("year_from"),
+                       (start + (k % 37).cast("int")).alias("year_to"), tags, (k % 2 + 1).cast("int").alias("page"), F.lit(5).alias("size"))
+    return by_name.unionByName(by_year)
+
+
+C9_CUSTOMERS_SQL = f"""WITH co AS ({CUSTOMER_COMPANIES}),
+req AS (SELECT c_custkey * 2 AS request_id, regexp_extract(c_name, '[0-9]+') AS name, NULL AS industry, 1910 AS year_from, NULL::INTEGER AS year_to,
+          1 AS page, 10 AS size FROM customer
+        UNION ALL SELECT c_custkey * 2 + 1, NULL, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment END, CAST(1900 + c_custkey % 120 AS INTEGER),
+          CAST(1900 + c_custkey % 120 + c_custkey % 37 AS INTEGER), CAST(c_custkey % 2 + 1 AS INTEGER), 5 FROM customer),
+{bm25_ctes('nm', 'SELECT * FROM co', 'company_id', 'name')},
+{qterms_cte('qt', "SELECT * FROM req WHERE name IS NOT NULL AND name <> ''", 'request_id', 'name')},
+{bm25_terms_cte('st', 'nm', 'qt', 1.0)},
+sc AS (SELECT query_id AS request_id, doc_id AS company_id, round(sum(score), 6) AS score FROM st GROUP BY ALL),
+j AS (SELECT r.request_id, r.page, r.size, co.company_id, sc.score FROM sc JOIN req r USING (request_id) JOIN co ON co.company_id = sc.company_id
+      WHERE co.year_founded >= r.year_from
+      UNION ALL SELECT r.request_id, r.page, r.size, co.company_id, NULL FROM req r JOIN co
+        ON co.year_founded BETWEEN r.year_from AND r.year_to AND (r.industry IS NULL OR co.industry = lower(r.industry)) WHERE r.name IS NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, company_id) AS rn FROM j)
+SELECT request_id, CAST(rn - (page - 1) * size AS INTEGER) AS rank, company_id, score
+FROM rk WHERE rn > (page - 1) * size AND rn <= page * size"""
+
+
+@register("c9_batch_search_per_customer", C9_CUSTOMERS_SQL)
+def c9_customers(spark, sf_dir):
+    """C9 with as many filter sets as requests: one name request and one year request per customer."""
+    co = companies_from_customer(spark, sf_dir)
+    res = batch_search(co, customer_requests(spark, sf_dir), _name_index(spark, sf_dir, "customer", co))
+    return res.select("request_id", "rank", "company_id", "score")

@@ -48,10 +48,10 @@ def size_bucket(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(parts)} ELSE '{SIZE_BUCKETS[-1][1]}' END"
 
 
-def initcap2(x: str) -> str:
-    """Spark ``initcap`` for space-separated words."""
-    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
-            f"lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')")
+def titled(x: str) -> str:
+    """A capital for each run of letters, the rest small."""
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '\\p{{L}}+|[^\\p{{L}}]+'), "
+            f"lambda w: upper(left(w, 1)) || substr(w, 2)), '')")
 
 
 PART_COMPANIES = f"""SELECT CAST(p_partkey AS VARCHAR) AS company_id, lower(p_name) AS name, lower(p_brand) AS domain,
