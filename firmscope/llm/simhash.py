@@ -137,23 +137,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     and each keep a row here. An empty table gives an empty result.
     """
     marks = materialize(fingerprints(docs, shingle), "simhash")
-    classes = marks.groupBy("fp").agg(F.min("did").alias("rep"))
+    classes = materialize(marks.groupBy("fp").agg(F.min("did").alias("rep")), "simhash-classes")
     shared_ids = marks.groupBy("did").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("did")
     several = marks.join(shared_ids, "did").join(classes, "fp").select(F.col("did").alias("a"), F.col("rep").alias("b"))
     roots = components(links(classes, max_bits).union(several), "simhash-cc")
     with_root = (classes.join(roots, classes.rep == roots.node, "left")
                  .select("fp", F.coalesce("root", "rep").alias("component")))
+    with_root = materialize(with_root, "simhash-components")  # a join with a frequent fingerprint can then be split
     return marks.join(with_root, "fp").select("did", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id (of rows repeating that
     id, one). Columns and their order stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.select(F.col("component").alias("__kept")).distinct()
-    keyed = docs.withColumn("__did", solid_id())
-    stay = keyed.join(kept, keyed["__did"] == kept["__kept"], "left_semi").dropDuplicates(["__did"])
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs, shingle, max_bits).select(F.col("component").alias("did")).distinct()
+    rows = docs.select(solid_id().alias("did"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, "did", "left_semi").dropDuplicates(["did"]).select("row.*")
 
 
 def op2_rows(docs: DataFrame) -> DataFrame:
