@@ -221,18 +221,21 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError("the window is too short to hold a whole symbol between its margins")
     base = id_and_text(docs).withColumn("th", F.xxhash64("text"))
     found = materialize(_anchor_rows(base, window), "anchors")
-    shared = found.groupBy("anchor").agg(F.min("did").alias("x"), F.max("did").alias("y")).where("x < y").select("anchor")
+    # Sums by key are written before they are joined, so that a join with a frequent key can be split.
+    shared = materialize(found.groupBy("anchor").agg(F.min("did").alias("x"), F.max("did").alias("y")).where("x < y").select("anchor"), "anchors-known")
     hits = materialize(found.join(shared, "anchor", "left_semi"), "anchors-shared")
 
     contexts = materialize(hits.groupBy("anchor", "context").agg(F.min("did").alias("owner")), "contexts")
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    judged = materialize(hits.join(contexts.join(several, "anchor"), ["anchor", "context"]), "anchors-judged")
+    several = materialize(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "anchors-counted")
+    owners = materialize(contexts.join(several, "anchor"), "owners")
+    judged = materialize(hits.join(owners, ["anchor", "context"]), "anchors-judged")
     whole = judged.where("owner < did").select("did", "th", F.col("first").alias("s"), (F.col("last") + window).alias("e"))
 
     open_groups = (judged.where("owner = did and n > 1").select("did", "th", F.struct("anchor", "first", "last").alias("g"))
                    .groupBy("did", "th").agg(F.collect_set("g").alias("groups")))
     rows = materialize(_window_rows(base.join(open_groups, ["did", "th"]), window), "windows")
-    firsts = rows.groupBy("anchor", "name").agg(F.min("did").alias("owner"), F.max("did").alias("y")).where("owner < y").select("anchor", "name", "owner")
+    firsts = rows.groupBy("anchor", "name").agg(F.min("did").alias("owner"), F.max("did").alias("y")).where("owner < y")
+    firsts = materialize(firsts.select("anchor", "name", "owner"), "windows-known")
     single = (rows.join(firsts, ["anchor", "name"]).where("owner < did")
               .select("did", "th", F.col("first").alias("s"), (F.col("first") + window).alias("e")))
 
