@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sizing import attach_scalars
 from ..session import materialize
 from .common import plain_id, solid_id
 
@@ -83,9 +84,9 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     hosts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("k"))
     hosts = materialize(hosts, "hosts")
     total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("k").alias("k")).select(F.col("n").alias("all_docs"), (F.col("k") / F.col("n")).alias("mean"))
-    hosts = hosts.join(F.broadcast(total))  # one row
+    hosts = attach_scalars(hosts, total)
     spread = hosts.agg(F.sum(F.col("host_docs") * F.pow(F.col("k") / F.col("host_docs") - F.col("mean"), F.lit(2.0)) / F.col("all_docs")).alias("variance"))
-    hosts = hosts.join(F.broadcast(spread))  # one row
+    hosts = attach_scalars(hosts, spread)
     mean, room = F.col("mean"), F.col("mean") * (1 - F.col("mean"))
     strength = F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.coalesce(F.try_divide(room, F.col("variance")) - 1, F.lit(1e6))))
     rate = (F.col("k") + mean * strength) / (F.col("host_docs") + strength)
