@@ -11,7 +11,7 @@ from ..operators.intent import (FAST_PATH_RULES, INTENT_FIELDS, dictionary_inten
                                 resolve_intents, rule_intent)
 from ..sources.tables import events_utc, read_table, user_queries
 from .registry import register
-from .sqlparts import py_strip, tokens
+from .sqlparts import py_strip, sql_type_ok, sql_whole, tokens
 
 # Stand-in rule set: the reference's fast-path rules followed by phrases that occur in
 # the test query log (so every branch of the rule CASE is exercised).
@@ -78,6 +78,11 @@ RAW_SQL = """SELECT p_partkey AS query_id, CASE
   WHEN p_partkey % 7 = 0 THEN '{"name": "' || p_name
   WHEN p_partkey % 11 = 0 THEN '{"name": "' || p_name || '", "year_from": "abc"}'
   WHEN p_partkey % 13 = 0 THEN '{"industry": "' || p_type || '", "requires_agent": null}'
+  WHEN p_partkey % 17 = 0 THEN '{"name": 7, "industry": "' || p_type || '"}'
+  WHEN p_partkey % 19 = 0 THEN '{"name": null, "year_from": 1990.0, "year_to": "2001", "requires_agent": "true"}'
+  WHEN p_partkey % 23 = 0 THEN '{"year_to": 1990.5}'
+  WHEN p_partkey % 29 = 0 THEN '{"country": "us", "requires_agent": 1}'
+  WHEN p_partkey % 31 = 0 THEN '[1, 2]'
   ELSE '{"name": "' || p_name || '", "industry": "' || p_type || '", "year_from": ' || CAST(1900 + p_size AS VARCHAR)
        || ', "requires_agent": ' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || ', "extra": [1, 2]}' END
   AS raw FROM part"""
@@ -93,26 +98,37 @@ def _raw_answers(spark, sf_dir):
     raw = (F.when(k % 7 == 0, F.concat(F.lit('{"name": "'), F.col("p_name")))
            .when(k % 11 == 0, F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('", "year_from": "abc"}')))
            .when(k % 13 == 0, F.concat(F.lit('{"industry": "'), F.col("p_type"), F.lit('", "requires_agent": null}')))
+           .when(k % 17 == 0, F.concat(F.lit('{"name": 7, "industry": "'), F.col("p_type"), F.lit('"}')))
+           .when(k % 19 == 0, F.lit('{"name": null, "year_from": 1990.0, "year_to": "2001", "requires_agent": "true"}'))
+           .when(k % 23 == 0, F.lit('{"year_to": 1990.5}')).when(k % 29 == 0, F.lit('{"country": "us", "requires_agent": 1}'))
+           .when(k % 31 == 0, F.lit("[1, 2]"))
            .otherwise(good))
     return p.select(F.col("p_partkey").alias("query_id"), raw.alias("raw"))
 
 
+def _sql_json(raw: str) -> str:
+    """DuckDB: the text if it is JSON, else NULL."""
+    return f"(CASE WHEN json_valid({raw}) THEN {raw} END)"
+
+
 def _sql_valid(raw: str) -> str:
-    """DuckDB: is ``raw`` a valid intent answer (same rules as parse_intent)."""
-    return (f"CASE WHEN coalesce(json_valid({raw}), false) THEN json_type({raw}) = 'OBJECT' "
-            f"AND coalesce(json_type({raw}, '$.year_from') IN ('BIGINT', 'UBIGINT', 'NULL'), true) "
-            f"AND coalesce(json_type({raw}, '$.year_to') IN ('BIGINT', 'UBIGINT', 'NULL'), true) "
-            f"AND coalesce(json_type({raw}, '$.requires_agent') = 'BOOLEAN', "
-            f"json_type({raw}, '$.requires_agent') IS NULL) ELSE false END")
+    """DuckDB: is ``raw`` a valid intent answer: an object; each known field missing, null or of its type;
+    ``requires_agent`` not null."""
+    raw = _sql_json(raw)
+    kinds = {f: "boolean" if f == "requires_agent" else "whole" if f.startswith("year") else "text" for f in INTENT_FIELDS}
+    fields = " AND ".join(
+        f"(json_type({raw}, '$.{f}') IS NULL OR {sql_type_ok(raw, f'$.{f}', k)}"
+        + ("" if f == "requires_agent" else f" OR json_type({raw}, '$.{f}') = 'NULL'") + ")" for f, k in kinds.items())
+    return f"coalesce(json_type({raw}) = 'OBJECT' AND {fields}, false)"
 
 
 def _sql_field(raw: str, f: str) -> str:
-    """DuckDB: one intent field of a JSON answer."""
+    """DuckDB: one intent field of a valid JSON answer."""
+    raw = _sql_json(raw)
+    s = f"json_extract_string({raw}, '$.{f}')"
     if f == "requires_agent":
-        return f"coalesce(CAST(json_extract({raw}, '$.requires_agent') AS BOOLEAN), false)"
-    if f.startswith("year"):
-        return f"CAST(json_extract({raw}, '$.{f}') AS INTEGER)"
-    return f"json_extract_string({raw}, '$.{f}')"
+        return f"coalesce(lower({s}) IN ('true', 't', 'yes', 'y', 'on', '1', '1.0'), false)"
+    return sql_whole(raw, f"$.{f}") if f.startswith("year") else s
 
 
 def _sql_parse(raw: str) -> str:

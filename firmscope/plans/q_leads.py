@@ -11,6 +11,7 @@ from ..operators.leads import (NO_NEWS, PROMPT_HEAD, PROMPT_QUERY, PROMPT_TAIL,
 from ..sources.tables import read_table
 from .q_intent import E5_SQL, _resolved
 from .registry import register
+from .sqlparts import sql_type_ok, sql_whole
 
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
@@ -74,7 +75,9 @@ def _payloads(spark, sf_dir):
     k = F.col("p_partkey")
     lead1 = F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('", "industry": "'), F.col("p_type"),
                      F.lit('", "domain": "'), F.lower("p_brand"), F.lit('", "year_founded": '),
-                     (F.lit(1950) + F.col("p_size")).cast("string"), F.lit("}"))
+                     (F.lit(1950) + F.col("p_size")).cast("string"),
+                     F.when(k % 13 == 0, '.0').when(k % 17 == 0, '.5').when(k % 19 == 0, ', "locality": null')
+                     .when(k % 23 == 0, ', "name2": 1, "size_range": 5').when(k % 29 == 0, ', "domain2": null, "locality": "x"').otherwise(""), F.lit("}"))
     lead2 = F.when(k % 11 == 0, F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit(' two"}'))).otherwise(
         F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit(' two", "industry": "'), F.col("p_type"),
                  F.lit('", "country": "us", "size_range": "11-50"}')))
@@ -87,16 +90,21 @@ def _payloads(spark, sf_dir):
 PAYLOAD_SQL = """SELECT p_partkey AS task_id, p_name AS query, CASE WHEN p_partkey % 7 = 0 THEN left(payload_full, 30)
   ELSE payload_full END AS payload FROM (SELECT *, '{"summary": "' || p_name || ' summary", "leads": [' ||
   '{"name": "' || p_name || '", "industry": "' || p_type || '", "domain": "' || lower(p_brand)
-  || '", "year_founded": ' || CAST(1950 + p_size AS VARCHAR) || '}, ' ||
+  || '", "year_founded": ' || CAST(1950 + p_size AS VARCHAR) || CASE WHEN p_partkey % 13 = 0 THEN '.0' WHEN p_partkey % 17 = 0 THEN '.5'
+  WHEN p_partkey % 19 = 0 THEN ', "locality": null' WHEN p_partkey % 23 = 0 THEN ', "name2": 1, "size_range": 5'
+  WHEN p_partkey % 29 = 0 THEN ', "domain2": null, "locality": "x"' ELSE '' END || '}, ' ||
   CASE WHEN p_partkey % 11 = 0 THEN '{"name": "' || p_name || ' two"}'
   ELSE '{"name": "' || p_name || ' two", "industry": "' || p_type || '", "country": "us", "size_range": "11-50"}' END
   || ']}' AS payload_full FROM part)"""
 
+_LEAD_OK = " AND ".join(
+    [sql_type_ok("x", "$.name", "text"), sql_type_ok("x", "$.industry", "text")]
+    + [f"(json_type(x, '$.{f}') IS NULL OR json_type(x, '$.{f}') = 'NULL' OR {sql_type_ok('x', f'$.{f}', k)})" for f, k in (("domain", "text"), ("year_founded", "whole"))]
+    + [f"(json_type(x, '$.{f}') IS NULL OR {sql_type_ok('x', f'$.{f}', 'text')})" for f in ("locality", "country", "size_range")])
+
 VALID_SQL = ("CASE WHEN coalesce(json_valid(payload), false) THEN json_type(payload) = 'OBJECT' "
-             "AND json_type(payload, '$.summary') = 'VARCHAR' AND json_type(payload, '$.leads') = 'ARRAY' "
-             "AND NOT list_bool_or(list_transform(CAST(json_extract(payload, '$.leads[*]') AS JSON[]), "
-             "lambda x: json_type(x, '$.name') IS NULL OR json_type(x, '$.name') = 'NULL' "
-             "OR json_type(x, '$.industry') IS NULL OR json_type(x, '$.industry') = 'NULL')) ELSE false END")
+             f"AND {sql_type_ok('payload', '$.summary', 'text')} AND coalesce(json_type(payload, '$.leads') = 'ARRAY', false) "
+             f"AND coalesce(list_bool_and(list_transform(CAST(json_extract(payload, '$.leads[*]') AS JSON[]), lambda x: {_LEAD_OK})), true) ELSE false END")
 
 G34_SQL = f"""WITH p AS ({PAYLOAD_SQL}), v AS (SELECT *, {VALID_SQL} AS valid FROM p),
 e AS (SELECT v.task_id, v.payload, pos FROM v, LATERAL (SELECT unnest(range(CAST(json_array_length(v.payload, '$.leads') AS BIGINT)))
@@ -107,7 +115,7 @@ SELECT task_id, pos, md5(CAST(task_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR)
   json_extract_string(lead, '$.name') AS name, json_extract_string(lead, '$.industry') AS industry,
   json_extract_string(lead, '$.domain') AS domain, coalesce(json_extract_string(lead, '$.locality'), '') AS locality,
   coalesce(json_extract_string(lead, '$.country'), '') AS country,
-  CAST(json_extract(lead, '$.year_founded') AS INTEGER) AS year_founded,
+  {sql_whole('lead', '$.year_founded')} AS year_founded,
   coalesce(json_extract_string(lead, '$.size_range'), 'Unknown') AS size_range, summary FROM l"""
 
 
@@ -121,7 +129,7 @@ G6_SQL = f"""WITH p AS ({PAYLOAD_SQL}), v AS (SELECT *, {VALID_SQL} AS valid FRO
 SELECT CAST(task_id AS VARCHAR) AS task_id, {_sq(TASK_NAME)} AS task_name, '["' || query || '"]' AS args,
   '{{}}' AS kwargs, CASE WHEN payload IS NULL THEN 'empty model response'
   WHEN NOT coalesce(json_valid(payload), false) THEN 'invalid JSON'
-  ELSE 'validation error: missing required field' END AS exception, CAST(NULL AS VARCHAR) AS traceback
+  ELSE 'validation error: a field is missing or of another type' END AS exception, CAST(NULL AS VARCHAR) AS traceback
 FROM v WHERE NOT valid"""
 
 

@@ -63,3 +63,20 @@ CUSTOMER_COMPANIES = f"""SELECT CAST(c_custkey AS VARCHAR) AS company_id, lower(
   {size_bucket('CAST(floor(abs(c_acctbal)) AS INTEGER)')} AS size_range,
   CAST(1900 + c_custkey % 120 AS INTEGER) AS year_founded
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
+
+def sql_type_ok(doc: str, path: str, kind: str) -> str:
+    """DuckDB: does the JSON value at ``path`` of ``doc`` have the type (text, whole, boolean)."""
+    t, s = f"json_type({doc}, '{path}')", f"json_extract_string({doc}, '{path}')"
+    if kind == "text":
+        return f"coalesce({t} = 'VARCHAR', false)"
+    if kind == "whole":
+        return (f"coalesce({t} IN ('BIGINT', 'UBIGINT', 'BOOLEAN') OR ({t} = 'DOUBLE' AND try_cast({s} AS DOUBLE) % 1 = 0) "
+                f"OR ({t} = 'VARCHAR' AND regexp_full_match(trim({s}), '[+-]?[0-9]+(\\.0+)?')), false)")
+    return (f"coalesce({t} = 'BOOLEAN' OR ({t} IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND try_cast({s} AS DOUBLE) IN (0, 1)) "
+            f"OR ({t} = 'VARCHAR' AND lower({s}) IN ('true', 't', 'yes', 'y', 'on', '1', 'false', 'f', 'no', 'n', 'off', '0')), false)")
+
+
+def sql_whole(doc: str, path: str) -> str:
+    """DuckDB: the whole number at ``path``."""
+    s = f"json_extract_string({doc}, '{path}')"
+    return f"CASE {s} WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE CAST(try_cast(trim({s}) AS DOUBLE) AS INTEGER) END"

@@ -164,3 +164,23 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
     conf = SimpleNamespace(get=lambda k, d=None: None)
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_validators_take_what_the_reference_takes(spark):
+    cases = [('{"name": "a", "year_from": 1990.0, "year_to": "2001", "requires_agent": "yes"}', True), ('{"name": 5}', False), ('{"name": null}', True),
+             ('{"year_to": 1990.5}', False), ('{"year_to": true}', True), ('{"requires_agent": null}', False), ('{"requires_agent": 1}', True),
+             ('{"requires_agent": 2}', False), ("{}", True), ("[]", False), ("null", False), ("nope", False), ("", False), (None, False)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw string")
+    got = df.select("i", *[c.alias(n) for c, n in zip(intent.parse_intent("raw"), ("intent", "ok"))]).orderBy("i").collect()
+    assert [bool(r["ok"]) for r in got] == [ok for _, ok in cases]
+    assert (got[0]["intent"]["year_from"], got[0]["intent"]["year_to"], got[0]["intent"]["requires_agent"]) == (1990, 2001, True)
+    lead = '{"name": "n", "industry": "i"%s}'
+    payloads = [('{"summary": "s", "leads": [%s]}' % (lead % ""), True), ('{"summary": "s", "leads": []}', True), ('{"summary": 1, "leads": []}', False),
+                ('{"summary": "s", "leads": [%s]}' % (lead % ', "locality": null'), False), ('{"summary": "s", "leads": [%s]}' % (lead % ', "domain": null'), True),
+                ('{"summary": "s", "leads": [%s]}' % (lead % ', "year_founded": 1990.0'), True), ('{"summary": "s", "leads": [{"name": 3, "industry": "i"}]}', False),
+                ('{"summary": "s", "leads": [{"name": "n"}]}', False), ('{"summary": "s", "leads": null}', False), ('{"summary": "s"}', False), ("{", False), (None, False)]
+    p = leads.parse_leads(spark.createDataFrame([(i, "q", c) for i, (c, _) in enumerate(payloads)], "task_id int, query string, payload string"))
+    assert [r["valid"] for r in p.orderBy("task_id").collect()] == [ok for _, ok in payloads]
+    e = leads.explode_leads(p).collect()
+    assert len(e) == 3 and {(r["locality"], r["size_range"]) for r in e} == {("", "Unknown")} and {r["year_founded"] for r in e} == {None, 1990}
+    assert leads.dead_letters(p).count() == 8
