@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_ingest, q_intent, q_leads, q_reporting, q_retrieval, q_search, q_streaming  # noqa: F401
+    from . import q_ingest, q_intelligent, q_intent, q_leads, q_reporting, q_retrieval, q_search, q_streaming  # noqa: F401
