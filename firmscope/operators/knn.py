@@ -149,22 +149,51 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, cid: str = "doc_id"
     return scored.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)
 
 
-def approx_neighbours(corpus: DataFrame, queries: DataFrame, threshold: float = 1.2, bucket_length: float = 1.0,
-                      num_hash_tables: int = 4, cid: str = "doc_id", cvec: str = "embedding",
-                      qid: str = "query_id", qvec: str = "vector", seed: int = 7) -> DataFrame:
-    """Approximate neighbours with random-projection LSH (Euclidean distance on the
-    given vectors), the distributed stand-in for a graph index. Returns
-    (query_id, doc_id, distance) for pairs within ``threshold`` found by the hash join.
+def approx_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, tables: int = 16,
+               cid: str = "doc_id", cvec: str = "embedding", qid: str = "query_id", qvec: str = "vector", seed: int = 7) -> DataFrame:
+    """Approximate top-k by cosine, the distributed stand-in for a graph index.
+
+    Signed random projections: in each of ``tables`` tables a vector's key is the signs of its products
+    with ``bits`` random directions; the corpus has one key a table, a query also asks the keys that differ
+    in one sign. Keys meet by an equi-join, candidates are scored exactly, the best k stay. ``bits``
+    defaults to log2 of the corpus size, less 3, so a key has some eight vectors at any size and the
+    candidates for a query stay about ``tables * bits * 8``. Returns (query_id, doc_id, sim, knn_rank).
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    c = corpus.select(F.col(cid).alias("doc_id"), array_to_vector(F.col(cvec)).alias("features"))
-    q = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).alias("query_id"),
-                                                      array_to_vector(F.col(qvec)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=seed)
-    model = lsh.fit(c)
-    j = model.approxSimilarityJoin(q, c, threshold, distCol="distance")
-    return j.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"),
-                    "distance")
+    c = corpus.where(F.col(cid).isNotNull() & F.col(cvec).isNotNull()).select(F.col(cid).alias("doc_id"), F.col(cvec).alias("dv"))
+    q = queries.where(F.col(qid).isNotNull() & F.col(qvec).isNotNull()).select(F.col(qid).alias("query_id"), F.col(qvec).alias("qv"))
+    if bits is None:
+        bits = min(48, max(2, int(np.log2(max(1, c.count()))) - 3))
+
+    def keys(probe: bool):
+        @F.pandas_udf("array<bigint>")
+        def of(v: pd.Series) -> pd.Series:
+            """Keys of all tables, table after table: table * 2**48 + signs."""
+            if not len(v):
+                return pd.Series([], dtype=object)
+            x = np.stack([np.asarray(y, dtype=np.float64) for y in v])
+            directions = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
+            signs = ((x @ directions) > 0).reshape(len(x), tables, bits)
+            own = signs @ (1 << np.arange(bits)) + (np.arange(tables, dtype=np.int64) << 48)
+            if probe:
+                flips = np.concatenate(([0], 1 << np.arange(bits)))
+                own = (own[:, :, None] ^ flips).reshape(len(x), -1)
+            return pd.Series(list(own))
+
+        return of
+
+    ck = c.select("doc_id", F.explode(keys(False)("dv")).alias("key"))
+    qk = q.select("query_id", F.explode(keys(True)("qv")).alias("key"))
+    pairs = qk.join(ck, "key").select("query_id", "doc_id").distinct()
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
+            n = np.sqrt((x @ x) * (y @ y))
+            out.append(round(float(x @ y / n), DIGITS) if n > 0 else None)
+        return pd.Series(out, dtype="float64")
+
+    scored = pairs.join(c, "doc_id").join(q, "query_id").select("query_id", "doc_id", cosine("qv", "dv").alias("sim")).where("sim is not null")
+    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("doc_id").asc())
+    return scored.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)
