@@ -33,10 +33,3 @@ def size_bucket(n: str | Column) -> Column:
         else:
             expr = expr.when(c <= upper, F.lit(label))
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(expr)
-
-
-def size_order(label: str | Column) -> Column:
-    """Ordinal of a size label for sorting (NULL for unknown labels)."""
-    c = F.col(label) if isinstance(label, str) else label
-    p = F.array_position(F.array(*[F.lit(x) for x in SIZE_LABELS]), c)
-    return F.when(p > 0, (p - 1).cast("int"))

@@ -68,11 +68,6 @@ def _sql(c: str | Column) -> str:
     raise TypeError("tolerant_year needs a column name")
 
 
-def natural_key(domain: str | Column = "domain", name: str | Column = "name") -> Column:
-    """Domain, else name; NULL when both empty (row is then dropped)."""
-    return first_nonempty(domain, name)
-
-
 def embed_text(name="name", industry="industry", locality="locality", strip: bool = True) -> Column:
     """B6/B19: "{name} {industry} {locality}" with missing fields as ''; stripped."""
     parts = [F.coalesce(_c(x), F.lit("")) for x in (name, industry, locality)]

@@ -29,6 +29,7 @@ K1 = 1.2
 B = 0.75
 
 
+SALTS = 8  # tasks that may share a term bucket when postings are written
 TERM_BUCKETS = 64  # partitions of the written postings table; scale with the corpus (e.g. 1024 at 100 TB)
 
 
@@ -42,10 +43,6 @@ class TextIndex:
     n_docs: int | None = None  # corpus statistics as scalars, known when materialised
     avgdl: float | None = None
 
-    def persist(self) -> "TextIndex":
-        return TextIndex(self.postings.persist(), self.term_stats.persist(), self.corpus_stats.persist(),
-                         self.n_postings, self.buckets, self.n_docs, self.avgdl)
-
     @property
     def empty(self) -> bool:
         return self.n_postings == 0
@@ -99,9 +96,9 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
     path = shared_path(spark, f"{name}-postings")
     if layout == "term":
         out = postings.withColumn("tb", term_bucket(F.col("term"), buckets))
-        # hash on the bucket: no sampling pass; each bucket directory is written by one
-        # task, sorted by term (a bucket holds 1/B of the distinct terms)
-        out.repartition("tb").sortWithinPartitions("tb", "term").write.mode("overwrite").partitionBy("tb") \
+        # hash on the bucket and a salt of the document: no sampling pass, and a frequent term's
+        # postings are written by up to SALTS tasks (files), each sorted by term
+        out.repartition("tb", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("tb", "term").write.mode("overwrite").partitionBy("tb") \
             .parquet(path)
     else:
         out = postings
@@ -109,12 +106,11 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
         out.sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(path)
     postings = spark.read.schema(out.schema).parquet(path)  # schema given: an empty field writes no file
     term_stats = _materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{name}-terms")
-    stats = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("_sum"))
-    row = stats.first()
+    row = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("_sum")).first()
     n_docs, total = int(row["n_docs"]), int(row["_sum"] or 0)
-    corpus_stats = _materialize(stats.select("n_docs", (F.col("_sum") / F.col("n_docs")).alias("avgdl")),
-                                f"{name}-stats")
+    corpus_stats = spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"),
+                                         F.lit(total / n_docs if n_docs else None).cast("double").alias("avgdl"))
     return TextIndex(postings, term_stats, corpus_stats, n_postings=0 if n_docs == 0 else total,
                      buckets=buckets if layout == "term" else 0, n_docs=n_docs,
                      avgdl=(total / n_docs) if n_docs else None)

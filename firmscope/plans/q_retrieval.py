@@ -9,7 +9,7 @@ from ..operators.knn import knn
 from ..operators.retrieval import build_hybrid_index, diagnostics, first_stage, guarded_reranker, two_stage_retrieval
 from ..operators.sizing import attach_scalars
 from ..operators.textindex import bm25, top_k
-from ..sources.tables import benchmark_queries, read_table, search_corpus
+from ..sources.tables import benchmark_queries, read_table, search_corpus, search_texts
 from .registry import register
 from .sqlparts import bm25_ctes, bm25_terms_cte, qterms_cte, tokens
 
@@ -27,7 +27,7 @@ def hybrid_index(spark, sf_dir):
     by document (layout "doc")."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cache:
-        _cache[key] = build_hybrid_index(search_corpus(spark, sf_dir), materialize=True, layout="doc")
+        _cache[key] = build_hybrid_index(search_corpus(spark, sf_dir), materialize=True, layout="doc", texts=search_texts(spark, sf_dir))
     return _cache[key]
 
 

@@ -56,11 +56,16 @@ def companies_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searchable corpus: documents LEFT JOIN embeddings ON doc_id = vec_id;
     name=text, industry=source, country=lang, locality=''."""
-    d = read_table(spark, sf_dir, "documents")
+    t = search_texts(spark, sf_dir)
     e = read_table(spark, sf_dir, "embeddings")
-    return d.join(e, d.doc_id == e.vec_id, "left").select(
+    return t.join(e, t.doc_id == e.vec_id, "left").select(*t.columns, "embedding")
+
+
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search corpus without vectors."""
+    return read_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("name"), F.col("source").alias("industry"), F.lit("").alias("locality"),
-        F.col("lang").alias("country"), "embedding")
+        F.col("lang").alias("country"))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
