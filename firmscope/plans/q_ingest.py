@@ -157,10 +157,12 @@ def b12_title(spark, sf_dir):
 
 @register("b13_display_lines", f"""SELECT company_id, locality || ', ' || country AS location,
   'Founded: ' || coalesce(CAST(year_founded AS VARCHAR), 'None') || ' | Size: ' || coalesce(size_range, 'None')
-  AS founded, '' AS tag_line FROM ({CUSTOMER_COMPANIES})""")
+  AS founded, CASE WHEN CAST(company_id AS BIGINT) % 3 = 0 THEN '' ELSE '`' || industry || '`, `' || country || '`' END AS tag_line
+  FROM ({CUSTOMER_COMPANIES})""")
 def b13_display(spark, sf_dir):
-    """Display lines of a result card."""
+    """Display lines of a result card; every third company has no tags, the others two."""
     co = companies_from_customer(spark, sf_dir)
+    co = co.withColumn("tags", F.when(F.col("company_id").cast("long") % 3 != 0, F.array("industry", "country")))
     return co.select("company_id", display_location().alias("location"), display_founded().alias("founded"),
                      display_tags().alias("tag_line"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import raw_cache_key
+from ..operators.cache import CACHE_SCHEMA, EVIDENCE_TTL_SECONDS, cache_fill, cache_lookup
 from ..operators.leads import (NO_NEWS, PROMPT_HEAD, PROMPT_QUERY, PROMPT_TAIL, SEARCH_UNAVAILABLE, TASK_NAME,
                                context_with_fallback, dead_letters, dispatch_records, evidence_context,
                                explode_leads, parse_leads, prompt, task_status)
@@ -191,3 +193,27 @@ def g8_replace(spark, sf_dir):
     leads = leads.join(ids, "query_id", "left_semi")
     out = leads_replace_results(res, leads)
     return out.groupBy("query_id", "origin").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+_F3_NOW = "2024-01-02 00:00:00"
+
+F3_SQL = f"""WITH h AS ({HOSTS_SQL}),
+c AS (SELECT 'news_cache:' || md5('news about ' || query_id) AS key, CASE WHEN ends_with(query_id, '.org') THEN '' ELSE 'old news of ' || query_id END AS value,
+  TIMESTAMP '{_F3_NOW}' - to_hours(CAST(length(query_id) % 24 AS INTEGER)) AS filled_at FROM h WHERE NOT ends_with(query_id, '.net'))
+SELECT h.query_id, CASE WHEN c.value <> '' THEN c.value END AS cached_value, coalesce(c.value <> '', false) AS cache_hit
+FROM h LEFT JOIN c ON c.key = 'news_cache:' || md5('news about ' || h.query_id) AND TIMESTAMP '{_F3_NOW}' >= c.filled_at
+  AND TIMESTAMP '{_F3_NOW}' < c.filled_at + INTERVAL 12 HOUR"""
+
+
+@register("f3_evidence_cache", F3_SQL)
+def f3_evidence(spark, sf_dir):
+    """evidence texts set and got on the raw query's key; plain text, 12 h, an empty text is a miss."""
+    q = _host_queries(spark, sf_dir).select("query_id", "query")
+    now = F.to_timestamp(F.lit(_F3_NOW))
+    host = F.col("query_id")
+    e = q.where(~host.endswith(".net")).select(
+        raw_cache_key("news_cache:", "query").alias("key"), F.when(host.endswith(".org"), "").otherwise(F.concat(F.lit("old news of "), host)).alias("value"),
+        (now - F.make_interval(hours=(F.length(host) % 24).cast("int"))).alias("filled_at"))
+    table = cache_fill(spark.createDataFrame([], CACHE_SCHEMA), e, EVIDENCE_TTL_SECONDS)
+    got = cache_lookup(q, table, raw_cache_key("news_cache:", "query"), now, json_values=False)
+    return got.select("query_id", "cached_value", "cache_hit")

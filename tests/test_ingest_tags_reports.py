@@ -143,7 +143,7 @@ def test_leads_parse_explode_and_dead_letters(spark):
         ("A", "", "", "Unknown", 2001), ("B", "", "us", "Unknown", None)]
     assert len({r["lead_id"] for r in leads}) == 2
     dl = {r["task_id"]: r["exception"] for r in dead_letters(parsed).collect()}
-    assert dl == {"t2": "empty model response", "t3": "invalid JSON", "t4": "validation error: missing required field"}
+    assert dl == {"t2": "empty model response", "t3": "invalid JSON", "t4": "validation error: a field is missing or of another type"}
 
 
 def test_task_status_mapping(spark):
