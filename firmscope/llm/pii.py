@@ -7,7 +7,8 @@ where its source starts and ends. The chain:
 1. characters: look-alikes of ASCII (full width, Cyrillic, Greek, mathematical), invisible ones dropped;
 2. digit look-alikes (O, o, l, I, |) inside runs that are mostly digits;
 3. spelled digits in a row (two and more), "plus" before and "dot" or "point" between digits;
-4. "at" and "dot" in brackets, or as words between labels of an address.
+4. "at" and "dot" in brackets, between underscores or hyphens, as entities, or as words between labels of
+   an address; a single "dot" also between numbers. "at" before a name with a real dot counts in capitals only.
 
 The same patterns run over the result; a span found there goes back to source code points through
 the arrays, and is added unless it overlaps a base span of its kind.
@@ -52,6 +53,12 @@ _SPELLED_ROW = re.compile(rf"\b(?:{_NUMBER}|oh|plus|dot|point)\b|[0-9]+", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"\s*{_OPEN}\s*(?:at|arroba|@|a)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_at_\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9])", re.I)
 _DOT = re.compile(rf"\s*{_OPEN}\s*(?:dot|punto|punkt|point|\.)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_dot_\s*(?=[A-Za-z0-9])", re.I)
+_ENTITY = re.compile(r"&(?:#64|#x40|commat|#46|#x2e|period|#43|#x2b|plus);|(?<=[A-Za-z0-9])%40(?=[A-Za-z0-9-]+\.)", re.I)
+_ENTITY_CHAR = {"#64": "@", "#x40": "@", "commat": "@", "#46": ".", "#x2e": ".", "period": ".", "#43": "+", "#x2b": "+", "plus": "+"}
+_LOUD_AT = re.compile(r"(?<=[a-z0-9])\s+AT\s+(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
+_HYPHENED = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z0-9._%+]+(-at-)[A-Za-z0-9]+((?:-dot-[A-Za-z0-9]+)+)", re.I)
+_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+\.\s+(?=[A-Za-z]{2,24}(?![A-Za-z0-9]))")
+_NUMBER_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|point)\s+(?=[0-9])", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 #: an address in words: local "at" label ("dot" or "." label)+; the last label looks like a top domain
 _WORD_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+((?:\s+dot\s+[A-Za-z0-9._%+-]+){0,4})(\s+at\s+)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*)(\s+dot\s+|\.)[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
@@ -181,17 +188,39 @@ def _spelled_digits(r: Rewritten) -> None:
             row = row[:-1]
         if sum(w in DIGITS for _, _, w in row) < 2:
             continue
+        lead = row[0][0]
+        while lead > 0 and text[lead - 1] == " " and lead > row[0][0] - 3:
+            lead -= 1
+        first = lead if lead > 0 and text[lead - 1] == "+" else row[0][0]  # "+ four" as well as "+four"
         for i, (a, b, w) in enumerate(row):
-            edits.append((row[i - 1][1] if i else a, b, value.get(w, w)))
+            edits.append((row[i - 1][1] if i else first, b, value.get(w, w)))
     r.apply(edits)
 
 
+def _in_address(text: str, at: int) -> bool:
+    """Whether the word that ends at ``at`` has an @ inside."""
+    start = at
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return "@" in text[start:at]
+
+
 def _at_and_dot(r: Rewritten) -> None:
+    if "&" in r.text or "%40" in r.text:
+        r.apply([(m.start(), m.end(), _ENTITY_CHAR.get(m.group().lower()[1:-1], "@")) for m in _ENTITY.finditer(r.text)])
     if any(c in r.text for c in "[({<@_") and _HINT.search(r.text):
         r.apply([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
         r.apply([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
-    if "dot" not in r.text.lower():
+        r.apply([(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(r.text) if _in_address(r.text, m.start())])
+    if " AT " in r.text:
+        r.apply([(m.start(), m.end(), "@") for m in _LOUD_AT.finditer(r.text)])
+    low = r.text.lower()
+    if "dot" not in low and "point" not in low:
         return
+    r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
+    if "-at-" in low:
+        r.apply([e for m in _HYPHENED.finditer(r.text) for e in [(m.start(1), m.end(1), "@"), *(
+            (m.start(2) + x.start(), m.start(2) + x.end(), ".") for x in re.finditer("-dot-", m.group(2), re.I))]])
     edits = []
     for m in _WORD_ADDRESS.finditer(r.text):
         if "dot" in m.group().lower().split():  # "at" and a full stop in prose are no address
@@ -200,7 +229,7 @@ def _at_and_dot(r: Rewritten) -> None:
             edits += [(a + m.start(3), b + m.start(3), ".") for a, b in (x.span() for x in re.finditer(r"\s+dot\s+", m.group(3), re.I))]
             edits.append((m.start(4), m.end(4), "."))
     r.apply(edits)
-    r.apply([(m.start(), m.end(), ".") for m in _WORD_DOT.finditer(r.text) if "@" in re.split(r"\s", r.text[max(0, m.start() - 320):m.start()])[-1]])
+    r.apply([(m.start(), m.end(), ".") for m in _WORD_DOT.finditer(r.text) if _in_address(r.text, m.start())])
 
 
 def normalise(text: str) -> Rewritten:

@@ -65,6 +65,17 @@ def test_base_spans_on_random_strings():
     ("call plus four nine one five one two three four five six seven eight ok", ("phone", "plus four nine one five one two three four five six seven eight")),
     ("at one nine two dot one six eight dot one dot one two", ("ip", "one nine two dot one six eight dot one dot one two")),
     ("a​nn@ex​ample.com", ("email", "a​nn@ex​ample.com")),
+    ("host 192 dot 168 dot 10 dot 7 up", ("ip", "192 dot 168 dot 10 dot 7")),
+    ("host 192[.]168(.)10{dot}7 up", ("ip", "192[.]168(.)10{dot}7")),
+    ("ann&#64;mail.example&#46;com", ("email", "ann&#64;mail.example&#46;com")),
+    ("ann%40example.com", ("email", "ann%40example.com")),
+    ("mail ann AT example.com soon", ("email", "ann AT example.com")),
+    ("ann_at_example_dot_com", ("email", "ann_at_example_dot_com")),
+    ("see ann-at-example-dot-com", ("email", "ann-at-example-dot-com")),
+    ("ann @ example . com", ("email", "ann @ example . com")),
+    ("ann＠example．com", ("email", "ann＠example．com")),
+    ("call + four four two zero seven nine four six zero nine five eight", ("phone", "+ four four two zero seven nine four six zero nine five eight")),
+    ("+1 four one five 555 0134", ("phone", "+1 four one five 555 0134")),
 ])
 def test_disguises_map_back_to_source_characters(text, hidden):
     base, found = pii.spans(text)
@@ -74,7 +85,8 @@ def test_disguises_map_back_to_source_characters(text, hidden):
     assert source not in pii.masked(text)
 
 
-@pytest.mark.parametrize("text", ["he was at home. dot was there", "one or two of them", "at the bank.com dot", "it is 4 o'clock", "", "no. 5 at seven"])
+@pytest.mark.parametrize("text", ["he was at home. dot was there", "one or two of them", "at the bank.com dot", "it is 4 o'clock", "", "no. 5 at seven", "AT&T at noon . then", "we met at 5 . he left",
+                                  "the point is 3 and a dot", "50%40 & more", "a state-of-the-art dot"])
 def test_prose_is_left_alone(text):
     assert not any(pii.spans(text)[1].values()) and pii.masked(text) == text
 
