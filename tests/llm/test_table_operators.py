@@ -220,3 +220,43 @@ def test_pipeline_stages_take_effect(spark):
 def test_registered_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert set(queries.ORACLES) < set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_pipeline_stages_on_odd_rows_with_clashing_columns(spark, n):
+    """Nulls in every column, empty and very long texts, repeated rows and extra columns named like the
+    operators' own; n = 0: the same columns without rows."""
+    import corpus_pipeline
+
+    extra = ["did", "row", "skey", "size", "copies", "component", "fp", "y", "n", "__did", "__size", "spans", "ids", "n_tokens", "score", "th"]
+    rows = [(1, "a few words here", "en", "s", 16), (1, "a few words here", "en", "s", 16), (2, "", "en", None, 0), (3, None, None, "s", None),
+            (None, "text without an id " * 3, "en", "t", 5), (None, None, None, None, None), (4, "long text " * 60_000, "en", "t", 600_000),
+            (5, "me a@b.co and 10.0.0.1", "en", "u", 22), (6, "you stupid idiot, loser and scum. trash!", "en", "u", 40)]
+    rows = [(*r, *[i] * len(extra)) for i, r in enumerate(rows)]
+    schema = DOCS + "".join(f", `{c}` int" for c in extra)
+    docs = spark.createDataFrame(rows if n else [], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF01).cache()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert out.count() > 0 if n else out.count() == 0
+        docs = out
+    if n:
+        assert {r["doc_id"] for r in docs.collect()} >= {4, 5}
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op6", "op7", "op8", "op9", "op10"])
+def test_operators_on_clashing_columns(spark, name):
+    """Extra columns named like the operators' own change nothing."""
+    from firmscope.llm import bpe, pii, recompress, tokentree, toxicity
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    rows = [(1, "a few words here", "en", "s", 16), (2, "", "en", None, 0), (3, None, None, "s", None), (None, "no id", "en", "t", 5)]
+    extra = ["did", "fp", "component", "anchor", "first", "th", "size", "skey", "target", "y", "score", "base", "spans", "n_words", "failed", "host_rate", "w", "m", "__did"]
+    plain = spark.createDataFrame(rows, DOCS)
+    wide = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in rows], DOCS + "".join(f", `{c}` string" for c in extra))
+    run = {"op1": pii.op1_rows, "op2": simhash.op2_rows, "op3": recompress.op3_rows, "op6": lambda d: mixing.op6_rows(d, labels),
+           "op7": lambda d: toxicity.op7_rows(d, labels), "op8": lambda d: bpe.round_trip(d, queries.tokenizer_path()), "op9": quality.op9_rows,
+           "op10": lambda d: tokentree.op10_rows(d, queries.tokenizer_path())}[name]
+    a, b = run(plain), run(wide)
+    assert a.columns == b.columns
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
