@@ -1,6 +1,6 @@
 """Size checks in front of every broadcast.
 
-A side is broadcast only when its row count is proven to be under a bound; beyond it
+A side is broadcast only when its rows and bytes are proven to be under a bound; beyond it
 the join falls back to a shuffle join (and AQE may still pick a broadcast at runtime).
 """
 
@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+#: Bytes (as JSON text, which is more than Spark's own rows take) that a broadcast side may have.
+MAX_BYTES = 64 << 20
 
-    The check runs ``limit(max_rows + 1).count()``, which stops reading once the bound
-    is exceeded, so it is cheap for both small and huge inputs.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows and ``max_bytes``, else ``df`` unchanged."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether ``df`` keeps both bounds. At most ``max_rows + 1`` rows are looked at, so the check is cheap
+    for both small and huge inputs."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    n, used = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= max_rows and used <= max_bytes
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

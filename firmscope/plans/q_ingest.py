@@ -225,7 +225,7 @@ def b3_aliases(spark, sf_dir):
     rows = part_as_company_rows(spark, sf_dir).drop("").withColumnsRenamed(
         {"year founded": "year_founded", "size range": "size_range"})
     path = shared_path(spark, "generator-layout-csv")
-    rows.coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)
+    rows.write.option("header", True).option("emptyValue", "").csv(path)
     return clean_companies(read_company_csv(spark, path), id_mode="natural", embed_dim=None).select(*DOC_COLS)
 
 

@@ -45,12 +45,12 @@ def part_as_company_rows(spark: SparkSession, sf_dir: str, where=None) -> DataFr
 
 
 def company_csv_path(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived CSV once per session into the shared folder (one file, so the
-    file order is the p_partkey order) and return its path."""
+    """Write the derived CSV once per session into the shared folder (sorted by range, so
+    the files' names are in p_partkey order) and return its path."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = shared_path(spark, "company-csv")
-        (part_as_company_rows(spark, sf_dir).coalesce(1).write.mode("overwrite")
+        (part_as_company_rows(spark, sf_dir).write.mode("overwrite")
          .option("header", True).option("emptyValue", "").csv(path))
         _written[key] = path
     return _written[key]
