@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import embed_text, first_nonempty, normalise_all_strings, tokens, tolerant_year
 
 from ..functions.shipping import ship_by_value
+from .knn import zero_vector_fallback
 
 ship_by_value(__name__)
 
@@ -107,20 +108,49 @@ def with_hashed_embedding(df: DataFrame, text: str | Column, out: str = "embeddi
     return d.withColumn(out, emb).drop("__slots", "__counts", "__norm")
 
 
-def embed_with(df: DataFrame, text_col: str, make_model, out: str = "embedding") -> DataFrame:
+def embed_with(df: DataFrame, text_col: str, make_model, out: str = "embedding", failures: str = "raise") -> DataFrame:
     """D10 hook for a real encoder: ``make_model()`` returns a function
     ``pd.Series[str] -> pd.Series[list[float]]``. It runs as an iterator pandas UDF, so the
-    model is built once per task and fed Arrow batches."""
+    model is built once per task and fed Arrow batches.
+
+    ``failures="null"``: where the encoder raises, the batch is encoded row by row and only the rows that
+    fail again have a NULL vector, to be set apart (``quarantined``) or replaced (``query_vectors``).
+    """
+    if failures not in ("raise", "null"):
+        raise ValueError("failures must be 'raise' or 'null'")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make_model()
+
+        def one(text):
+            try:
+                return encode(pd.Series([text])).iloc[0]
+            except Exception:
+                return None
+
         for s in it:
-            yield encode(s)
+            try:
+                yield encode(s)
+            except Exception:
+                if failures == "raise":
+                    raise
+                yield pd.Series([one(t) for t in s], dtype=object)
 
     return df.withColumn(out, _embed(F.col(text_col)))
 
 
+def quarantined(df: DataFrame, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Ingest after failures: the rows to write, and the rows without a vector, to be kept aside and tried again."""
+    return df.where(F.col(vec).isNotNull()), df.where(F.col(vec).isNull()).drop(vec)
+
+
+def query_vectors(queries: DataFrame, text_col: str, make_model, dim: int, out: str = "vector") -> DataFrame:
+    """Vectors of query texts; a query that can't be encoded has the zero vector (no kNN part)."""
+    found = embed_with(queries, text_col, make_model, out, failures="null")
+    return found.withColumn(out, zero_vector_fallback(out, dim))
+
+
 def clean_companies(raw: DataFrame, id_mode: str = "natural", missing_year: int | None = None,
                     limit: int | None = None, embed_dim: int | None = 64) -> DataFrame:
     """Raw CSV rows → canonical company rows (``COMPANY_SCHEMA``).
@@ -129,7 +159,10 @@ def clean_companies(raw: DataFrame, id_mode: str = "natural", missing_year: int
     with the same id replaces the earlier one. id_mode 'ordinal': id = running number.
     ``limit`` keeps exactly the first ``limit`` rows of the file (A3).
     """
-    df = with_ordinal(raw)
+    if id_mode == "natural" and limit is None:  # the place in the files orders versions; no running number needed
+        df = raw.withColumn("_ordinal", F.struct("_file", "_block", "_mid"))
+    else:
+        df = with_ordinal(raw)
     if limit is not None:
         df = df.where(F.col("_ordinal") < F.lit(limit))
     df = resolve_aliases(df.drop("_file", "_block", "_mid"))

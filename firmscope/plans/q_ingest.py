@@ -9,7 +9,8 @@ from ..functions.buckets import size_bucket
 from ..functions.text import (display_founded, display_location, display_tags, embed_text, highlight,
                               normalise_all_strings, query_cache_key, raw_cache_key, title_case)
 from ..operators.sizing import attach_scalars
-from ..operators.ingest import (clean_companies, delete, lookup, with_hashed_embedding, read_company_csv, upsert)
+from ..operators.ingest import (clean_companies, delete, embed_with, lookup, quarantined, query_vectors, read_company_csv, upsert,
+                                with_hashed_embedding)
 from ..sources.company_csv import company_csv_path
 from ..sources.tables import companies_from_customer, companies_from_part, read_table, user_queries
 from .registry import register
@@ -239,3 +240,24 @@ def a13_drop(spark, sf_dir):
     write_companies(companies_from_part(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")), path)
     drop_table(spark, path)
     return spark.read.parquet(path).select(*DOC_COLS)
+
+
+@register("d9_d10_embedding_failures", f"""SELECT 'company' AS kind, company_id AS id, contains(name, '7') AS failed FROM ({CUSTOMER_COMPANIES})
+UNION ALL SELECT 'query', CAST(item_id AS VARCHAR), contains(text, 'ing') FROM benchmark""")
+def d9_failures(spark, sf_dir):
+    """An encoder that raises on some texts: such companies are set apart, such queries get the zero vector."""
+    def make_model(word):
+        def make():
+            def encode(texts):
+                if texts.str.contains(word).any():
+                    raise RuntimeError("can't encode")
+                return texts.map(lambda t: [1.0, float(len(t))])
+            return encode
+        return make
+
+    co = embed_with(companies_from_customer(spark, sf_dir), "name", make_model("7"), failures="null")
+    good, bad = quarantined(co)
+    q = query_vectors(read_table(spark, sf_dir, "benchmark"), "text", make_model("ing"), 2)
+    rows = [d.select(F.lit("company").alias("kind"), F.col("company_id").alias("id"), F.lit(f).alias("failed")) for d, f in ((good, False), (bad, True))]
+    asked = q.select(F.lit("query").alias("kind"), F.col("item_id").cast("string").alias("id"), (F.col("vector")[0] == 0).alias("failed"))
+    return rows[0].unionByName(rows[1]).unionByName(asked)
