@@ -8,8 +8,9 @@ what remains, by the first documents in key order up to the remaining words.
 The sort is distributed: keys fall into ``BUCKETS`` ranges of the uniform ``1 - u**(1/weight)``,
 words are summed for each source and range (partial sums before the shuffle), and only the one or
 two ranges in which a source's remainder ends are sorted. What comes out is one cut for each
-source: a document gets its extra copy if its key lies below. So no source's documents meet in one
-task, and the plan is made without texts. Functions of DataFrames only.
+source: a document gets its extra copy if its key lies below, and every document of a source does
+if its remainder ends after the middle of the last one (no cut). So no source's documents meet in
+one task, and the plan is made without texts. Functions of DataFrames only.
 """
 
 from __future__ import annotations
@@ -100,7 +101,8 @@ def _weighted(rows: DataFrame, docs: DataFrame, labels: DataFrame | None) -> Dat
 
 
 def _copies() -> Column:
-    return F.col("__epochs") + F.when((F.col("__size") > 0) & (F.col("__order") < F.col("__cut")), 1).otherwise(0)
+    whole = F.col("__cut").isNull() & (F.col("rest") > 0)  # the remainder ends after the middle of the last document
+    return F.col("__epochs") + F.when((F.col("__size") > 0) & (whole | (F.col("__order") < F.col("__cut"))), 1).otherwise(0)
 
 
 def mixture(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -125,7 +127,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFra
     else:  # the weights by id, from the rows that were weighted above
         weights = rows.where(F.col("__weight") != UNKNOWN).select("__did", "__weight").distinct()
         out = out.join(weights, "__did", "left").withColumn("__weight", F.coalesce("__weight", F.lit(UNKNOWN)))
-    out = _with_keys(out).join(sources.select("skey", "__epochs", "__cut"), "skey")
+    out = _with_keys(out).join(sources.select("skey", "__epochs", "__cut", "rest"), "skey")
     return out.select("row", F.explode(F.array_repeat(F.lit(1), _copies()))).select("row.*")
 
 

@@ -138,6 +138,34 @@ def test_mixture_meets_its_targets(spark):
     assert mixing.mixture(docs, None).count() == len(rows)
 
 
+def test_remainder_that_reaches_into_the_last_document(spark):
+    """A remainder past the middle of a source's last document in key order takes the whole source."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(i, "w " * 100, "en", s, 1) for i, s in enumerate("abc")], DOCS)
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.op6_rows(one, labels).collect()) == [(0, 200), (1, 100), (2, 200)]
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(one, labels).collect()) == {0: 2, 1: 1, 2: 2}
+
+    ids = spark.createDataFrame([(i, 1.0, 10) for i in range(10)], "__did long, __weight double, __size long")
+    last = mixing._with_keys(ids).orderBy("__order").collect()[-1]["__did"]
+    rows = [(i, "w " * (1000 if i == last else 10), "en", "b", 1) for i in range(10)] + [(10, "w " * 1090, "en", "a", 1), (11, "w " * 1090, "en", "c", 1)]
+    long_last = spark.createDataFrame(rows, DOCS)
+    for r in mixing.mixture(long_last).collect():
+        assert r["target"] == pytest.approx({10: 2180, 11: 1816.667}.get(r["did"], 908.333), abs=0.01)
+        assert r["copies"] == (2 if r["did"] > 9 else 1)
+    assert mixing.mixed_documents(long_last).count() == 14
+
+    rnd = random.Random(3)
+    few = [(i, "w " * rnd.choice([1, 5, 40, 100]), "en", f"s{rnd.randint(0, 60)}", 1) for i in range(150)]
+    taken, largest, want = defaultdict(int), defaultdict(int), {}
+    source_of = {r[0]: r[3] for r in few}
+    for r in mixing.op6_rows(spark.createDataFrame(few, DOCS), labels).collect():
+        s = source_of[r["doc_id"]]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+        want[s] = r["target"]
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in want)
+
+
 def test_sampling_follows_the_weights(spark):
     """With a tenth of the words asked for, good documents come in well above their share."""
     rows = [(i, "w w w w", "en", "a" if i < 4000 else "b", 1) for i in range(4400)]
