@@ -11,7 +11,9 @@ where its source starts and ends. The chain:
    an address; a single "dot" also between numbers. "at" before a name with a real dot counts in capitals only.
 
 The same patterns run over the result; a span found there goes back to source code points through
-the arrays, and is added unless it overlaps a base span of its kind.
+the arrays, and is added unless it lies within a base span of its kind: where an identifier is disguised
+in part, its base span and the whole one are both given. A look-alike that stands alone (a column's "|",
+the word "I") doesn't lengthen a base span.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +60,11 @@ _ENTITY_CHAR = {"#64": "@", "#x40": "@", "commat": "@", "#46": ".", "#x2e": ".",
 _LOUD_AT = re.compile(r"(?<=[a-z0-9])\s+AT\s+(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
 _HYPHENED = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z0-9._%+]+(-at-)[A-Za-z0-9]+((?:-dot-[A-Za-z0-9]+)+)", re.I)
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+\.\s+(?=[A-Za-z]{2,24}(?![A-Za-z0-9]))")
+_DOT_BEFORE = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=(?:[A-Za-z0-9]{1,64}\s+dot\s+){0,3}[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-])", re.I)
+_LONE = re.compile(r"(?:^|(?<=\s))[OolI|](?=\s|$)")
+#: the end of an address that needs no further label, and the countries under which such an end goes on (co.uk)
+_FINISHED = re.compile(r"@.*\.(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz)$", re.I | re.S)
+_SECOND_LEVEL = re.compile(r"\.?(?:com?|net|org|edu|gov|ac)\s+\.\s+(?:uk|au|nz|jp|br|za|kr|tr|cn|sg|hk|tw)(?![a-z0-9])", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|point)\s+(?=[0-9])", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 #: an address in words: local "at" label ("dot" or "." label)+; the last label looks like a top domain
@@ -205,18 +212,31 @@ def _in_address(text: str, at: int) -> bool:
     return "@" in text[start:at]
 
 
+def _open_address(text: str, at: int) -> bool:
+    """Whether the word that ends at ``at`` is an address that a dot between spaces may lengthen: one
+    that ends like a complete address is followed by a full stop, unless a country comes after co or com."""
+    if not _in_address(text, at):
+        return False
+    start = at
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return not _FINISHED.search(text, start, at) or bool(_SECOND_LEVEL.match(text, text.rfind(".", start, at)))
+
+
 def _at_and_dot(r: Rewritten) -> None:
     if "&" in r.text or "%40" in r.text:
         r.apply([(m.start(), m.end(), _ENTITY_CHAR.get(m.group().lower()[1:-1], "@")) for m in _ENTITY.finditer(r.text)])
     if any(c in r.text for c in "[({<@_") and _HINT.search(r.text):
         r.apply([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
         r.apply([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
-        r.apply([(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(r.text) if _in_address(r.text, m.start())])
+        r.apply([(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(r.text) if _open_address(r.text, m.start())])
     if " AT " in r.text:
         r.apply([(m.start(), m.end(), "@") for m in _LOUD_AT.finditer(r.text)])
     low = r.text.lower()
     if "dot" not in low and "point" not in low:
         return
+    if "@" in r.text:
+        r.apply([(m.start(), m.end(), ".") for m in _DOT_BEFORE.finditer(r.text)])
     r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
     if "-at-" in low:
         r.apply([e for m in _HYPHENED.finditer(r.text) for e in [(m.start(1), m.end(1), "@"), *(
@@ -242,6 +262,17 @@ def normalise(text: str) -> Rewritten:
     return r
 
 
+def _without_lone(text: str, a: int, b: int, own: list[tuple[int, int]], starts: list[int]) -> tuple[int, int]:
+    """The span cut back to the base spans it overlaps, on a side where a look-alike stands alone beyond them."""
+    i, j = bisect_right(starts, a), bisect_left(starts, b)  # own[i:j] start inside; the one before may reach in
+    i -= i > 0 and own[i - 1][1] > a
+    if i < j:
+        first, last = own[i][0], own[j - 1][1]
+        a = first if a < first and _LONE.search(text[a:first]) else a
+        b = last if b > last and _LONE.search(text[last:b]) else b
+    return a, b
+
+
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans, and all spans (base ones and those found in the rewritten text), by kind, in order."""
     base = base_spans(text)
@@ -252,13 +283,13 @@ def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[t
     for kind, hits in base_spans(r.text).items():
         own = base[kind]
         starts = [a for a, _ in own]
-        out = list(own)
-        for a, b in sorted({r.source(a, b) for a, b in hits}):
+        added = []
+        for a, b in sorted({_without_lone(text, *r.source(a, b), own, starts) for a, b in hits}):
             i = bisect_right(starts, a)
-            free = (i == 0 or own[i - 1][1] <= a) and (i == len(own) or own[i][0] >= b)
-            if free and (len(out) == len(own) or a >= out[-1][1]):
-                out.append((a, b))
-        found[kind] = sorted(out)
+            within = i > 0 and own[i - 1][1] >= b
+            if not within and (not added or a >= added[-1][1]):
+                added.append((a, b))
+        found[kind] = sorted(own + added)
     return base, found
 
 

@@ -85,6 +85,35 @@ def test_disguises_map_back_to_source_characters(text, hidden):
     assert source not in pii.masked(text)
 
 
+@pytest.mark.parametrize("text, base, whole", [
+    ("j\u043ehn.smith@example.com", "hn.smith@example.com", "j\u043ehn.smith@example.com"),
+    ("to john[dot]smith@example.com now", "smith@example.com", "john[dot]smith@example.com"),
+    ("to john dot smith@example.com now", "smith@example.com", "john dot smith@example.com"),
+    ("to john.smith@mail.example[dot]com now", "john.smith@mail.example", "john.smith@mail.example[dot]com"),
+    ("to john.smith@mail.example dot com now", "john.smith@mail.example", "john.smith@mail.example dot com"),
+    ("jo\u200bhn@example.com", "hn@example.com", "jo\u200bhn@example.com"),
+    ("a@b.co, j\u043ehn@mail.example[dot]com, c@d.co", "hn@mail.example", "j\u043ehn@mail.example[dot]com"),
+])
+def test_identifiers_disguised_in_part_are_found_whole(text, base, whole):
+    plain, found = pii.spans(text)
+    assert base in [text[a:b] for a, b in plain["email"]]
+    assert {text[a:b] for a, b in found["email"]} - {text[a:b] for a, b in plain["email"]} == {whole}
+    assert set(plain["email"]) <= set(found["email"])
+    assert pii.masked(text) == re.sub(r"[ac]@[bd]\.co(?!m)", "<EMAIL>", text).replace(whole, "<EMAIL>")
+
+
+def test_partly_disguised_phone_and_lone_lookalikes():
+    text = "call +44 20794 6095 8O1 ok"
+    assert [text[a:b] for a, b in pii.spans(text)[1]["phone"]] == ["+44 20794 6095 8", "+44 20794 6095 8O1"]
+    for text in ("call +44 20 7946 0958 I am home", "| +44 20 7946 0958 | 12 |"):  # a word, a column's end
+        base, found = pii.spans(text)
+        assert found["phone"] == base["phone"] and len(base["phone"]) == 1
+    text = "ask a @ b.com or john@example.com . We answer"  # a full stop after a complete address
+    assert [text[a:b] for a, b in pii.spans(text)[1]["email"]] == ["a @ b.com", "john@example.com"]
+    text = "ask a @ b.com or john@example.co . uk"
+    assert text[17:] in [text[a:b] for a, b in pii.spans(text)[1]["email"]]
+
+
 @pytest.mark.parametrize("text", ["he was at home. dot was there", "one or two of them", "at the bank.com dot", "it is 4 o'clock", "", "no. 5 at seven", "AT&T at noon . then", "we met at 5 . he left",
                                   "the point is 3 and a dot", "50%40 & more", "a state-of-the-art dot"])
 def test_prose_is_left_alone(text):
