@@ -50,7 +50,8 @@ _ALIKE = dict(zip(ALIKE_FROM, ALIKE_TO, strict=True))
 _ODD = re.compile("[" + re.escape(ALIKE_FROM) + DROPPED + "  -  ①-⑨！-～\U0001d400-\U0001d7ff٠-٩۰-۹०-९]")
 _TWO_DIGITS = re.compile(r"[0-9][ ().-]{0,2}[0-9]")
 _DIGIT_RUN = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9OolI|](?:[ ().-]{0,2}[0-9OolI|]){6,}(?![A-Za-z0-9])")
-_SPELLED_PAIR = re.compile(rf"\b(?:{_NUMBER})[\s,.\-]+(?:{_NUMBER})\b")
+#: two spelled digits of one row, whatever the row has between them; for lower-case text
+_SPELLED_PAIR = re.compile(rf"\b(?:{_NUMBER})(?:[\s,\-]{{1,3}}(?:oh|plus|dot|point|[0-9]+))*[\s,\-]{{1,3}}(?:{_NUMBER})\b")
 _SPELLED_ROW = re.compile(rf"\b(?:{_NUMBER}|oh|plus|dot|point)\b|[0-9]+", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"\s*{_OPEN}\s*(?:at|arroba|@|a)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_at_\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9])", re.I)
@@ -229,8 +230,9 @@ def _at_and_dot(r: Rewritten) -> None:
     if any(c in r.text for c in "[({<@_") and _HINT.search(r.text):
         r.apply([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
         r.apply([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
+    if "@" in r.text:
         r.apply([(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(r.text) if _open_address(r.text, m.start())])
-    if " AT " in r.text:
+    if "AT" in r.text:
         r.apply([(m.start(), m.end(), "@") for m in _LOUD_AT.finditer(r.text)])
     low = r.text.lower()
     if "dot" not in low and "point" not in low:

@@ -114,6 +114,28 @@ def test_partly_disguised_phone_and_lone_lookalikes():
     assert text[17:] in [text[a:b] for a, b in pii.spans(text)[1]["email"]]
 
 
+@pytest.mark.parametrize("kind, source", [
+    ("ip", "eight dot eight dot eight dot eight"), ("ip", "192 dot 168 dot zero dot one"), ("phone", "+44 two 079 four 609 five 58"),
+    ("ip", "EIGHT dot 8 dot 8 dot Eight"), ("email", "john@example . com"), ("email", "ann\nAT\nexample.com"),
+])
+def test_disguises_do_not_depend_on_other_text(kind, source):
+    for text in (f"at {source} ok", f"at {source} ok. one two, x @ y, (a) AT b"):
+        assert [text[a:b] for a, b in pii.spans(text)[1][kind]] == [source]
+
+
+def test_gate_of_spelled_rows_misses_none(monkeypatch):
+    """The rows rewritten are those the rewriting finds without its gate."""
+    rnd = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rnd.choice(["one", "Two", "oh", "dot", "point", "plus", "7", "12", "x", "+", ".", "  "]) + rnd.choice([" ", " ", ", ", "-", "   ", "    ", "", "\n"]) for _ in range(rnd.randint(0, 9)))
+        with_gate, without = pii.Rewritten(text), pii.Rewritten(text)
+        pii._spelled_digits(with_gate)
+        with monkeypatch.context() as m:
+            m.setattr(pii, "_SPELLED_PAIR", re.compile(""))
+            pii._spelled_digits(without)
+        assert with_gate.text == without.text, repr(text)
+
+
 @pytest.mark.parametrize("text", ["he was at home. dot was there", "one or two of them", "at the bank.com dot", "it is 4 o'clock", "", "no. 5 at seven", "AT&T at noon . then", "we met at 5 . he left",
                                   "the point is 3 and a dot", "50%40 & more", "a state-of-the-art dot"])
 def test_prose_is_left_alone(text):
