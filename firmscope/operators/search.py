@@ -173,7 +173,7 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     # years alone: the first companies of each founding year, met year by year
     if stats["dated"]:
         years = companies.agg(F.min("year_founded"), F.max("year_founded")).first()
-        first, last = years[0] or 1, years[1] or 0
+        first, last = (1, 0) if years[0] is None else years  # the smallest may be 0, the ingester's unknown year
         wy = Window.partitionBy("year_founded").orderBy(F.col("company_id").asc())
         heads = companies.withColumn("_rk", F.row_number().over(wy)).where((F.col("_rk") <= F.lit(max_end)) & F.col("year_founded").isNotNull())
         lo = F.greatest(F.when(F.coalesce(F.col("r_from"), F.lit(0)) != 0, F.col("r_from")).otherwise(F.lit(first)), F.lit(first))

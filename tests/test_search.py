@@ -101,6 +101,23 @@ def test_batch_equals_single(spark, companies):
         assert got.get(rid, []) == ids(search(companies, req, idx)), rid
 
 
+def test_batch_equals_single_with_year_zero(spark):
+    """Data ingested with missing_year=0: year_to alone also returns the companies of year 0."""
+    zero = spark.createDataFrame([(*c[:5], c[5] or 0, c[6]) for c in COMPANIES] + [("6", "delta", "food", "11-50", "uk", None, None)], SCHEMA)
+    years = [(None, 1990), (0, 2010), (1950, None), (-3, 1920), (None, -1), (1, 1990)]
+    reqs = spark.createDataFrame([(i, None, None, None, None, a, b, None, 1, 10) for i, (a, b) in enumerate(years)],
+                                 "request_id long, name string, industry string, size_range string, country string, "
+                                 "year_from int, year_to int, tags array<string>, page int, size int")
+    got = {}
+    for r in batch_search(zero, reqs).orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append(r["company_id"])
+    for i, (a, b) in enumerate(years):
+        assert got.get(i, []) == ids(search(zero, SearchRequest(year_from=a, year_to=b))), years[i]
+    assert "4" in got[0]
+    no_year = zero.withColumn("year_founded", F.lit(None).cast("int"))
+    assert batch_search(no_year, reqs).count() == 0
+
+
 def test_filters_reach_the_parquet_scan(spark, tmp_path):
     from firmscope.sources.tables import companies_from_part
     co = companies_from_part(spark, "/root/testdata/sf0.001")
