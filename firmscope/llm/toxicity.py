@@ -31,7 +31,8 @@ from .common import Memo, id_and_text, plain_id
 
 #: Bounds of the training sample: documents of each label, and characters of all their texts.
 MAX_DOCS, MAX_CHARS = 3000, 24_000_000
-#: A feature is kept if so many toxic documents of the sample have it, and it stands out by so many standard errors.
+#: A feature is kept if so many toxic documents of the sample have it (a third of them if that is less),
+#: and it stands out by so many standard errors.
 MIN_DOCS, MIN_Z = 10, 5.0
 #: Tasks over the sample.
 TASKS = 12
@@ -80,7 +81,9 @@ def features(word: str) -> list[str]:
 
 def screened(sample: DataFrame, n_toxic: int, n_other: int) -> dict[str, int]:
     """The features that go with the label: by how many standard errors their share among toxic
-    documents exceeds that among the others (MIN_Z at least, and MIN_DOCS toxic documents)."""
+    documents exceeds that among the others (MIN_Z at least, and MIN_DOCS toxic documents, or a third of a small
+    sample's). In a sample of fewer than MIN_Z ** 2 documents no feature stands out so far: none is kept."""
+    least = min(MIN_DOCS, -(-n_toxic // 3))
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Memo(features)
         seen = (Counter(), Counter())
@@ -92,7 +95,7 @@ def screened(sample: DataFrame, n_toxic: int, n_other: int) -> dict[str, int]:
                                          ["feature", "k1", "k0"])
 
     found = sample.select("text", "y").mapInArrow(count, "feature string, k1 long, k0 long")
-    found = found.groupBy("feature").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).where(F.col("k1") >= MIN_DOCS)
+    found = found.groupBy("feature").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).where(F.col("k1") >= least)
     share = (F.col("k1") + F.col("k0")) / (n_toxic + n_other)
     excess = F.col("k1") / n_toxic - F.col("k0") / n_other
     error = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))

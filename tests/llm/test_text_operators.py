@@ -189,6 +189,15 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.op7_rows(none, labels).count() == 0 and toxicity.op7_rows(docs, labels.limit(0)).count() == len(got)
 
 
+def test_toxicity_learns_from_few_toxic_documents(spark):
+    """Fewer than MIN_DOCS labelled toxic documents still make a model."""
+    rows = [(i, "you are an idiot. fine day" if i % 12 == 0 else "a fine day. quite so", "en", "s", 1) for i in range(96)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 12 == 0)) for i in range(96)], "doc_id long, quality int, toxic int")
+    got = toxicity.op7_rows(docs, labels).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 12 == 0) for r in got)
+
+
 def test_automaton_equals_the_tokenizers_library(codec, library):
     rnd = random.Random(1)
     pieces = ["a", "aa", "the", "in", "ing", " ", "  ", "\n", "'ll", "'s", "==", "-", "é", "中", "<|endoftext|>", "<|endof", "0", "12", " ", "🙂", "x" * 40]
