@@ -157,9 +157,9 @@ def top_k(vectors: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     return answers.select("query_id", "rank", F.when(F.col("vec_id") != missing, F.col("vec_id")).alias("vec_id"), "score")
 
 
-def whole_numbers(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, v)`` with ``floor(256 * x)`` for each component; vectors null, empty, or holding a null or
-    non-finite component are left out."""
+def whole_numbers(embeddings: DataFrame, *also: str) -> DataFrame:
+    """``(vec_id, v)``, and the columns ``also``, with ``floor(256 * x)`` for each component; vectors null, empty, or
+    holding a null or non-finite component are left out."""
     x = F.col("embedding")
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     def floored(c):
@@ -167,7 +167,7 @@ def whole_numbers(embeddings: DataFrame) -> DataFrame:
         return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
 
     v = F.transform(x, floored)
-    return embeddings.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return embeddings.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), *also)
 
 
 def op4_rows(embeddings: DataFrame, k: int = 5) -> DataFrame:

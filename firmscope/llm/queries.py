@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import bpe, kdtree, mixing, pii, quality, recompress, simhash, tokentree, toxicity, urllist
+from . import bpe, divergence, hardneg, kdtree, maintext, mixing, pii, quality, recompress, simhash, tokentree, toxicity, urllist
 from .common import plain_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokentree.op10_rows(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.op12_rows(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.op13_rows(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -71,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_pii, op2_simhash, op3_recompression, op4_kdtree_topk, op5_url_filters, op6_mixing,
-                            op7_toxicity, op8_bpe, op9_quality, op10_token_counts, pipeline)}
+                            op7_toxicity, op8_bpe, op9_quality, op10_token_counts, op11_divergence, op12_hard_negatives, op13_main_text, pipeline)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -93,6 +105,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op5_url_filters": urllist.OP5_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op12_hard_negatives": hardneg.OP12_SQL,
     "op9_quality": f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n
