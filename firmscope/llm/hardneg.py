@@ -202,7 +202,8 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = POSITIVES, neg
     the positive (none where that is below zero). Higher scores come first, ties by smaller id, a null id last.
 
     Rows with the anchor's id are never its candidates, nor are vectors of another length. Repeated rows of
-    another id each count; a repeated anchor is answered once. Empty tables give no rows.
+    another id each count; a repeated anchor is answered once. Scores beyond a long's range stand at its ends,
+    a positive's before its window is taken. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     v = vectors.select("vec_id", F.col("label").cast("int").alias("label"), "v", F.size("v").alias("dim"))
