@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.blockindex import Clause, top_documents
 from ..operators.knn import knn
 from ..operators.retrieval import build_hybrid_index, diagnostics, first_stage, guarded_reranker, two_stage_retrieval
 from ..operators.sizing import attach_scalars
-from ..operators.textindex import bm25, top_k
 from ..sources.tables import benchmark_queries, read_table, search_corpus, search_texts
 from .registry import register
 from .sqlparts import bm25_ctes, bm25_terms_cte, qterms_cte, tokens
@@ -23,11 +23,10 @@ _cache: dict = {}
 
 def hybrid_index(spark, sf_dir):
     """The hybrid index of the documents corpus, written once per session to the shared
-    folder. The registered queries answer batches of queries, so postings are clustered
-    by document (layout "doc")."""
+    folder. The registered queries answer batches of queries: layout "blocks"."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cache:
-        _cache[key] = build_hybrid_index(search_corpus(spark, sf_dir), materialize=True, layout="doc", texts=search_texts(spark, sf_dir))
+        _cache[key] = build_hybrid_index(search_corpus(spark, sf_dir), materialize=True, layout="blocks", texts=search_texts(spark, sf_dir))
     return _cache[key]
 
 
@@ -44,9 +43,17 @@ AS rank FROM agg) WHERE rank <= 100"""
 @register("d1_bm25_match", D1_SQL)
 def d1_bm25_match(spark, sf_dir):
     """BM25 match of every benchmark item over the whole document texts, top 100."""
-    idx = hybrid_index(spark, sf_dir).name
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return top_k(bm25(idx, q), 100).select("query_id", "doc_id", "score", "rank")
+    return top_documents(hybrid_index(spark, sf_dir).blocks, q, [Clause("name", "query", 1.0)], 100).select("query_id", "doc_id", "score", "rank")
+
+
+@register("d1_scored_share", """SELECT item_id AS query_id, TRUE AS scored_under_a_fifth FROM benchmark""")
+def d1_scored_share(spark, sf_dir):
+    """D1's top 10 as above: of all (query, document) pairs, under a fifth are looked up in all terms of the query."""
+    q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    n = top_documents(hybrid_index(spark, sf_dir).blocks, q, [Clause("name", "query", 1.0)], 10, counted=True)
+    share = n.agg((F.sum("scored") < 0.2 * F.sum("size")).alias("scored_under_a_fifth"))
+    return attach_scalars(n.select("query_id").distinct(), share)
 
 
 # --- D3 / D13 / C12 -----------------------------------------------------------------
@@ -198,7 +205,7 @@ def d14_ingested(spark, sf_dir):
     from .q_ingest import _raw
     co = clean_companies(_raw(spark, sf_dir), id_mode="natural", embed_dim=64)
     corpus = co.select(F.col("company_id").alias("doc_id"), "name", "industry", "locality", "country", "embedding")
-    idx = build_hybrid_index(corpus, materialize=True, layout="doc")
+    idx = build_hybrid_index(corpus, materialize=True, layout="blocks")
     b = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
     q = with_hashed_embedding(b, "query", out="vector")
     return two_stage_retrieval(idx, q).select("query_id", "rank", "doc_id", "re_rank_score", "knn_score", "knn_only_score")
