@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .facets import FacetIndex, build_facet_index, facet_hits
 from .sizing import bounded_broadcast
 from .textindex import TextIndex, bm25, build_text_index
 
@@ -50,7 +51,7 @@ def search_predicate(req: SearchRequest) -> Column:
         if v:
             preds.append(F.col(f) == F.lit(v.lower()))
     for t in req.tags or []:
-        preds.append(F.array_contains(F.col("tags"), F.lit(t)))
+        preds.append(F.array_contains(F.col("tags"), F.lit(t).cast("string")))
     if req.year_from:
         preds.append(F.col("year_founded") >= F.lit(int(req.year_from)))
     if req.year_to:
@@ -108,7 +109,7 @@ def _company_key(pattern: int) -> Column:
 
 
 def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | None = None,
-                 max_broadcast_requests: int = 200_000) -> DataFrame:
+                 max_broadcast_requests: int = 200_000, facets: FacetIndex | None = None) -> DataFrame:
     """Many requests at once.
 
     ``requests``: request_id, name, industry, size_range, country, year_from, year_to,
@@ -118,10 +119,12 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     Identical filter sets are answered once (single flight) and joined back. Every kind of filter
     set meets the companies by an equi-join, none by a nested loop:
 
-    * equality criteria alone: each key's companies are cut to the largest page end before the join
-      (a partial WindowGroupLimit runs in every task ahead of the shuffle);
-    * equality criteria with years or tags: on the key, with residual predicates;
-    * tags without them: on the first tag;
+    * equality criteria alone: companies of the keys asked for, each key cut to the largest page end of
+      these requests before the join (a partial WindowGroupLimit runs in every task ahead of the shuffle);
+    * equality criteria with years: on the key, with residual predicates;
+    * tags, with or without equality criteria: by bitmaps (``facets``, built here if not given); years are
+      a residual predicate. A company without tags has none, NULL elements are no tags, and a request
+      for a NULL tag finds nothing;
     * years alone: on each founding year in the range, whose companies are cut as above;
     * names: from the hits of the text index to their companies.
     """
@@ -135,8 +138,11 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     dated = (F.coalesce(F.col("year_from"), F.lit(0)) != 0) | (F.coalesce(F.col("year_to"), F.lit(0)) != 0)
     tagged = F.coalesce(F.size("tags"), F.lit(0)) > 0
     # bounded scalars: the distinct patterns (at most 2^3 = 8 values), the largest page end, which kinds occur
-    stats = req.agg(F.collect_set("pattern").alias("p"), F.max(F.col("page") * F.col("size")).alias("k"),
-                    F.max(named).alias("named"), F.max(~named & (F.col("pattern") == 0) & dated & ~tagged).alias("dated")).first()
+    end, plain = F.col("page") * F.col("size"), ~named & ~dated & ~tagged
+    by_years = ~named & (F.col("pattern") == 0) & dated & ~tagged
+    stats = req.agg(F.collect_set("pattern").alias("p"), F.max(end).alias("k"), F.max(F.when(plain, end)).alias("plain_end"),
+                    F.max(F.when(by_years, end)).alias("years_end"), F.max(named).alias("named"), F.max(by_years).alias("dated"),
+                    F.max(~named & tagged).alias("tagged")).first()
     patterns, max_end = sorted(stats["p"] or []), int(stats["k"] or 0)
     if not patterns or max_end == 0:
         return companies.limit(0).withColumns({"request_id": F.lit(None).cast("long"), "rank": F.lit(0),
@@ -147,7 +153,7 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
                      named.alias("named"), dated.alias("dated"), tagged.alias("tagged"))
     fits = ((F.coalesce(F.col("r_from"), F.lit(0)) == 0) | (F.col("year_founded") >= F.col("r_from"))) & \
            ((F.coalesce(F.col("r_to"), F.lit(0)) == 0) | (F.col("year_founded") <= F.col("r_to"))) & \
-           F.coalesce(F.forall(F.col("r_tags"), lambda t: F.array_contains(F.col("tags"), t)), F.lit(True))
+           (F.col("r_tags").isNull() | F.forall(F.col("r_tags"), lambda t: F.coalesce(F.array_contains(F.col("tags"), t), F.lit(False))))
     own, none = companies.columns, F.lit(None).cast("double").alias("score")
     rest = r.where(~F.col("named"))
 
@@ -156,26 +162,34 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
                                                              for p in patterns]))).select(*own, "_k.*")
     simple = rest.where(~F.col("dated") & ~F.col("tagged")).select("fs_id", "r_pattern", "r_key", "need")
     wk = Window.partitionBy("r_pattern", "r_key").orderBy(F.col("company_id").asc())
-    heads = keyed.withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= F.lit(max_end))
+    wanted = keyed.join(bounded_broadcast(simple.select("r_pattern", "r_key").distinct(), max_broadcast_requests), ["r_pattern", "r_key"], "left_semi")
+    heads = wanted.withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= F.lit(int(stats["plain_end"] or 0)))
     parts = [heads.join(bounded_broadcast(simple, max_broadcast_requests), ["r_pattern", "r_key"])
              .where(F.col("_rk") <= F.col("need")).select("fs_id", *own, none)]
 
-    # equality criteria with years or tags: whole keys, residual predicates
-    whole = rest.where((F.col("r_pattern") != 0) & (F.col("dated") | F.col("tagged"))).drop("named", "dated", "tagged")
+    # equality criteria with years: whole keys, residual predicates
+    whole = rest.where((F.col("r_pattern") != 0) & F.col("dated") & ~F.col("tagged")).drop("named", "dated", "tagged")
     keyed = keyed.where(F.col("r_pattern") != 0)
     parts.append(keyed.join(bounded_broadcast(whole, max_broadcast_requests), ["r_pattern", "r_key"]).where(fits).select("fs_id", *own, none))
 
-    # tags without equality criteria: the first tag is the key
-    by_tag = rest.where((F.col("r_pattern") == 0) & F.col("tagged")).withColumn("_tag", F.col("r_tags")[0])
-    own_tags = companies.withColumn("_tag", F.explode(F.array_distinct("tags")))
-    parts.append(own_tags.join(bounded_broadcast(by_tag, max_broadcast_requests), "_tag").where(fits).select("fs_id", *own, none))
+    # tags: bitmaps of tags and equality criteria; without years only as many companies as the pages need
+    if stats["tagged"]:
+        facets = facets or build_facet_index(companies)
+        values = F.split("r_key", "\u0001")
+        equal = [F.when(F.col("r_pattern").bitwiseAND(F.lit(1 << i)) != 0, F.array(F.struct(F.lit(f).alias("facet"), values[i].alias("value"))))
+                 .otherwise(F.array().cast("array<struct<facet:string,value:string>>")) for i, f in enumerate(EQ_FIELDS)]
+        tags = F.transform(F.array_distinct("r_tags"), lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value")))
+        by_tag = rest.where(F.col("tagged") & ~F.exists("r_tags", lambda t: t.isNull())).withColumn("facets", F.concat(tags, *equal))
+        hits = facet_hits(facets, by_tag.select("fs_id", "facets", F.when(~F.col("dated"), F.col("need")).alias("need")), max_broadcast_requests)
+        found = facets.numbered.join(hits, "pos").join(bounded_broadcast(by_tag.select("fs_id", "r_from", "r_to", "r_tags"), max_broadcast_requests), "fs_id")
+        parts.append(found.where(fits).select("fs_id", *own, none))
 
     # years alone: the first companies of each founding year, met year by year
     if stats["dated"]:
         years = companies.agg(F.min("year_founded"), F.max("year_founded")).first()
         first, last = (1, 0) if years[0] is None else years  # the smallest may be 0, the ingester's unknown year
         wy = Window.partitionBy("year_founded").orderBy(F.col("company_id").asc())
-        heads = companies.withColumn("_rk", F.row_number().over(wy)).where((F.col("_rk") <= F.lit(max_end)) & F.col("year_founded").isNotNull())
+        heads = companies.withColumn("_rk", F.row_number().over(wy)).where((F.col("_rk") <= F.lit(int(stats["years_end"]))) & F.col("year_founded").isNotNull())
         lo = F.greatest(F.when(F.coalesce(F.col("r_from"), F.lit(0)) != 0, F.col("r_from")).otherwise(F.lit(first)), F.lit(first))
         hi = F.least(F.when(F.coalesce(F.col("r_to"), F.lit(0)) != 0, F.col("r_to")).otherwise(F.lit(last)), F.lit(last))
         by_year = (rest.where((F.col("r_pattern") == 0) & F.col("dated") & ~F.col("tagged")).where(lo <= hi)

@@ -27,7 +27,7 @@ def add_tags(companies: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     new = (firsts.groupBy("company_id")
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda s: s["tag"]).alias("_new")))
     old = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    merged = F.concat(old, F.filter(F.col("_new"), lambda t: ~F.array_contains(old, t)))
+    merged = F.concat(old, F.filter(F.col("_new"), lambda t: ~F.coalesce(F.array_contains(old, t), F.lit(False))))
     updated = (companies.join(new, "company_id", "left")
                .withColumn("tags", F.when(F.col("_new").isNull(), F.col("tags")).otherwise(merged))
                .drop("_new"))

@@ -251,3 +251,60 @@ def c9_customers(spark, sf_dir):
     co = companies_from_customer(spark, sf_dir)
     res = batch_search(co, customer_requests(spark, sf_dir), _name_index(spark, sf_dir, "customer", co))
     return res.select("request_id", "rank", "company_id", "score")
+
+
+#: customers as companies with up to three tags; none at all for every seventh, a NULL among them for every eleventh
+TAGGED_SQL = f"""SELECT co.*, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN ['nat' || c_nationkey % 5, NULL]
+  ELSE ['seg:' || lower(c_mktsegment), 'nat' || c_nationkey % 5, 'mod' || c_custkey % 3] END AS tags
+  FROM ({CUSTOMER_COMPANIES}) co JOIN customer ON co.company_id = CAST(c_custkey AS VARCHAR)"""
+
+
+def _tagged_companies(spark, sf_dir):
+    co = companies_from_customer(spark, sf_dir).drop("tags")
+    c = read_table(spark, sf_dir, "customer")
+    k, nat = F.col("c_custkey"), F.concat(F.lit("nat"), (F.col("c_nationkey") % 5).cast("string"))
+    full = F.array(F.concat(F.lit("seg:"), F.lower("c_mktsegment")), nat, F.concat(F.lit("mod"), (k % 3).cast("string")))
+    tags = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.array(nat, F.lit(None).cast("string"))).otherwise(full)
+    return co.join(c.select(k.cast("string").alias("company_id"), tags.alias("tags")), "company_id")
+
+
+def _tag_requests(spark, sf_dir):
+    """Two requests per nation, one per supplier: one, two or three tags, alone and with segment, country, years, a name, pages."""
+    n, s = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "supplier")
+    none_s, none_i, k, i = F.lit(None).cast("string"), F.lit(None).cast("int"), F.col("n_nationkey"), F.col("s_suppkey")
+    nat, mod = F.concat(F.lit("nat"), (k % 5).cast("string")), F.concat(F.lit("mod"), (k % 3).cast("string"))
+    a = n.select(k.cast("long").alias("request_id"), none_s.alias("name"), none_s.alias("industry"), none_s.alias("size_range"), none_s.alias("country"),
+                 none_i.alias("year_from"), none_i.alias("year_to"), F.when(k % 2 == 0, F.array(nat)).otherwise(F.array(nat, mod, nat)).alias("tags"),
+                 (k % 4 + 1).cast("int").alias("page"), F.lit(7).alias("size"))
+    b = n.select((k + 100).cast("long").alias("request_id"), F.when(k % 3 == 0, F.lit("customer 000000007")).alias("name"), F.when(k % 3 == 1, F.lit("BUILDING")).alias("industry"),
+                 none_s.alias("size_range"), F.when(k % 3 == 2, F.col("n_name")).alias("country"), F.when(k % 2 == 0, F.lit(1950)).alias("year_from"), none_i.alias("year_to"),
+                 F.array(mod).alias("tags"), F.lit(1).alias("page"), F.lit(5).alias("size"))
+    c = s.select((i + 1000).alias("request_id"), none_s.alias("name"), none_s.alias("industry"), none_s.alias("size_range"), none_s.alias("country"), none_i.alias("year_from"),
+                 none_i.alias("year_to"), F.array(F.concat(F.lit("nat"), (i % 6).cast("string")), F.when(i % 9 == 0, F.lit(None).cast("string")).otherwise(F.lit("seg:machinery"))).alias("tags"),
+                 F.lit(2).alias("page"), F.lit(3).alias("size"))
+    return a.unionByName(b).unionByName(c)
+
+
+C9_TAGS_SQL = f"""WITH co AS ({TAGGED_SQL}),
+req AS (SELECT CAST(n_nationkey AS BIGINT) AS request_id, NULL AS name, NULL AS industry, NULL AS country, NULL::INTEGER AS year_from,
+          CASE WHEN n_nationkey % 2 = 0 THEN ['nat' || n_nationkey % 5] ELSE ['nat' || n_nationkey % 5, 'mod' || n_nationkey % 3] END AS want, CAST(n_nationkey % 4 + 1 AS INTEGER) AS page, 7 AS size FROM nation
+        UNION ALL SELECT n_nationkey + 100, CASE WHEN n_nationkey % 3 = 0 THEN 'customer 000000007' END, CASE WHEN n_nationkey % 3 = 1 THEN 'building' END,
+          CASE WHEN n_nationkey % 3 = 2 THEN lower(n_name) END, CASE WHEN n_nationkey % 2 = 0 THEN 1950 END, ['mod' || n_nationkey % 3], 1, 5 FROM nation
+        UNION ALL SELECT s_suppkey + 1000, NULL, NULL, NULL, NULL, ['nat' || s_suppkey % 6, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'seg:machinery' END], 2, 3 FROM supplier),
+{bm25_ctes('nm', 'SELECT * FROM co', 'company_id', 'name')},
+{qterms_cte('qt', "SELECT * FROM req WHERE name IS NOT NULL", 'request_id', 'name')},
+{bm25_terms_cte('st', 'nm', 'qt', 1.0)},
+sc AS (SELECT query_id AS request_id, doc_id AS company_id, round(sum(score), 6) AS score FROM st GROUP BY ALL),
+j AS (SELECT r.request_id, r.page, r.size, co.company_id, sc.score FROM req r JOIN co
+      ON len(list_filter(r.want, lambda t: t IS NULL)) = 0 AND co.tags IS NOT NULL AND len(list_filter(r.want, lambda t: NOT list_contains(list_filter(co.tags, lambda x: x IS NOT NULL), t))) = 0
+        AND (r.industry IS NULL OR co.industry = r.industry) AND (r.country IS NULL OR co.country = r.country) AND (r.year_from IS NULL OR co.year_founded >= r.year_from)
+      LEFT JOIN sc ON sc.request_id = r.request_id AND sc.company_id = co.company_id WHERE r.name IS NULL OR sc.score IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, company_id) AS rn FROM j)
+SELECT request_id, CAST(rn - (page - 1) * size AS INTEGER) AS rank, company_id, score FROM rk WHERE rn > (page - 1) * size AND rn <= page * size"""
+
+
+@register("c9_batch_search_tags", C9_TAGS_SQL)
+def c9_tags(spark, sf_dir):
+    """Requests for one to three tags, alone and with names, fields, years and pages, over companies some of which
+    have no tags or a NULL among them."""
+    return batch_search(_tagged_companies(spark, sf_dir), _tag_requests(spark, sf_dir)).select("request_id", "rank", "company_id", "score")
