@@ -1,4 +1,4 @@
-"""Exact and approximate nearest-neighbour search over vector columns.
+"""Exact nearest-neighbour search over vector columns (approximate: ``ivfpq``).
 
 Exact kNN is a scan of the corpus vectors. The queries (ids + vectors) are shipped to
 every task as a broadcast numpy matrix whose size is checked (blocks of at most
@@ -88,7 +88,7 @@ def _block_scores(corpus: DataFrame, ids: np.ndarray, mat: np.ndarray, k: int, c
         norms = np.linalg.norm(mat, axis=1)
         keep = norms > 0  # zero query vector: no kNN contribution (D9)
         ids, mat = ids[keep], mat[keep] / norms[keep][:, None]
-    bc = spark.sparkContext.broadcast((ids, mat))
+    bc, dim = spark.sparkContext.broadcast((ids, mat)), mat.shape[1]
     doc_type = _carried(corpus.schema[cid].dataType)
     out_schema = T.StructType([T.StructField("query_id", T.LongType() if ids.dtype.kind == "i" else T.StringType()),
                                T.StructField("doc_id", doc_type),
@@ -102,8 +102,12 @@ def _block_scores(corpus: DataFrame, ids: np.ndarray, mat: np.ndarray, k: int, c
             pdf = pdf[pdf[cvec].notna()]
             if len(pdf) == 0 or len(qids) == 0:
                 continue
-            xall = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[cvec].to_numpy()])
-            dall = _id_array(pdf[cid].to_numpy())
+            pdf = pdf[[len(v) == dim for v in pdf[cvec]]]
+            xall = np.array([np.asarray(v, dtype=np.float64) for v in pdf[cvec]]).reshape(len(pdf), dim)
+            fine = np.isfinite(xall).all(axis=1)  # NULL components are not finite here
+            if not fine.any():
+                continue
+            xall, dall = xall[fine], _id_array(pdf[cid].to_numpy()[fine])
             if best_ids is None:
                 best_ids = np.zeros((len(qids), 0), dtype=dall.dtype)
             step = max(1, _MAX_CELLS // max(1, len(qids)))  # bounds the queries x rows matrix
@@ -127,15 +131,18 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, cid: str = "doc_id"
 
     Returns (query_id, doc_id, sim, knn_score, knn_rank); ``sim`` is the cosine (or
     squared L2 distance), rounded to 9 decimals. Ids keep their types; whole numbers break
-    ties as numbers, all others as text. Rows with a NULL id or vector take no part. ``corpus`` may be pre-filtered (C12):
+    ties as numbers, all others as text. Rows with a NULL id or vector take no part, nor do vectors with NULL or
+    non-finite components; a query meets vectors of its own length. ``corpus`` may be pre-filtered (C12):
     filters on it are pushed into its scan by Catalyst.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be 'cosine' or 'l2'")
     q_type, d_type = queries.schema[qid].dataType, corpus.schema[cid].dataType
     asked = (queries.select(F.col(qid).cast(_carried(q_type)).alias("id"), F.col(qvec).alias("vec"))
-             .where("id is not null and vec is not null").distinct())
-    parts = [_block_scores(corpus, ids, mat, k, cid, cvec, metric) for ids, mat in _blocks(asked, max_block_queries)]
+             .where("id is not null and size(vec) > 0").where(F.forall("vec", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))).distinct())
+    lengths = [r[0] for r in asked.select(F.size("vec")).distinct().limit(1000).collect()]
+    parts = [_block_scores(corpus, ids, mat, k, cid, cvec, metric) for n in sorted(lengths)
+             for ids, mat in _blocks(asked.where(F.size("vec") == n), max_block_queries)]
     if not parts:
         empty = T.StructType([T.StructField("query_id", q_type), T.StructField("doc_id", d_type), T.StructField("sim", T.DoubleType()),
                               T.StructField("knn_score", T.DoubleType()), T.StructField("knn_rank", T.IntegerType())])
@@ -147,53 +154,3 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, cid: str = "doc_id"
     order = F.col("sim").desc() if metric == "cosine" else F.col("sim").asc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("doc_id").asc())
     return scored.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)
-
-
-def approx_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, tables: int = 16,
-               cid: str = "doc_id", cvec: str = "embedding", qid: str = "query_id", qvec: str = "vector", seed: int = 7) -> DataFrame:
-    """Approximate top-k by cosine, the distributed stand-in for a graph index.
-
-    Signed random projections: in each of ``tables`` tables a vector's key is the signs of its products
-    with ``bits`` random directions; the corpus has one key a table, a query also asks the keys that differ
-    in one sign. Keys meet by an equi-join, candidates are scored exactly, the best k stay. ``bits``
-    defaults to log2 of the corpus size, less 3, so a key has some eight vectors at any size and the
-    candidates for a query stay about ``tables * bits * 8``. Returns (query_id, doc_id, sim, knn_rank).
-    """
-    c = corpus.where(F.col(cid).isNotNull() & F.col(cvec).isNotNull()).select(F.col(cid).alias("doc_id"), F.col(cvec).alias("dv"))
-    q = queries.where(F.col(qid).isNotNull() & F.col(qvec).isNotNull()).select(F.col(qid).alias("query_id"), F.col(qvec).alias("qv"))
-    if bits is None:
-        bits = min(48, max(2, int(np.log2(max(1, c.count()))) - 3))
-
-    def keys(probe: bool):
-        @F.pandas_udf("array<bigint>")
-        def of(v: pd.Series) -> pd.Series:
-            """Keys of all tables, table after table: table * 2**48 + signs."""
-            if not len(v):
-                return pd.Series([], dtype=object)
-            x = np.stack([np.asarray(y, dtype=np.float64) for y in v])
-            directions = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-            signs = ((x @ directions) > 0).reshape(len(x), tables, bits)
-            own = signs @ (1 << np.arange(bits)) + (np.arange(tables, dtype=np.int64) << 48)
-            if probe:
-                flips = np.concatenate(([0], 1 << np.arange(bits)))
-                own = (own[:, :, None] ^ flips).reshape(len(x), -1)
-            return pd.Series(list(own))
-
-        return of
-
-    ck = c.select("doc_id", F.explode(keys(False)("dv")).alias("key"))
-    qk = q.select("query_id", F.explode(keys(True)("qv")).alias("key"))
-    pairs = qk.join(ck, "key").select("query_id", "doc_id").distinct()
-
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
-            n = np.sqrt((x @ x) * (y @ y))
-            out.append(round(float(x @ y / n), DIGITS) if n > 0 else None)
-        return pd.Series(out, dtype="float64")
-
-    scored = pairs.join(c, "doc_id").join(q, "query_id").select("query_id", "doc_id", cosine("qv", "dv").alias("sim")).where("sim is not null")
-    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("doc_id").asc())
-    return scored.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)

@@ -220,7 +220,7 @@ D12_SQL = """SELECT item_id AS query_id, 10::BIGINT AS n_found, TRUE AS recall_o
 def d12_lsh(spark, sf_dir):
     """Approximate top 10 of every benchmark vector: each query gets ten, and at least nine of ten exact
     neighbours over all queries are among them (the recall floor)."""
-    from ..operators.knn import approx_knn
+    from ..operators.ivfpq import approx_knn
     e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = benchmark_queries(spark, sf_dir)
     found = approx_knn(e, q, k=10).select("query_id", "doc_id", F.lit(1).alias("hit"))
