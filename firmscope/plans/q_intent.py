@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_cache_key
 from ..operators.cache import cache_fill, cache_lookup, label_ttl_hits, single_flight
 from ..operators.intent import (FAST_PATH_RULES, INTENT_FIELDS, dictionary_intents, keyword_intent, parse_intent,
-                                resolve_intents, rule_intent, rule_matches, with_rule_intents)
+                                resolve_intents, rule_intent, with_rule_intents)
 from ..sources.tables import events_utc, read_table, user_queries
 from .registry import register
 from .sqlparts import py_strip, sql_type_ok, sql_whole, tokens
@@ -63,35 +63,32 @@ def e1_rules(spark, sf_dir):
         q.select("query_id", hit.alias("rule_hit")), "query_id")
 
 
-RULES_SQL = f"""SELECT p_partkey AS rule_id, p_partkey % 97 AS priority, lower(p_name) AS phrase, p_type AS industry FROM part
-  UNION ALL SELECT 10000000 + conv_id, 50 + conv_id % 13, upper(array_to_string(w[1:2], ' ')), 'opening ' || conv_id % 7 FROM
-    (SELECT conv_id, {tokens('text')} AS w FROM conversations WHERE turn = 0) WHERE len(w) >= 2"""
+RULES_SQL = f"""SELECT p_partkey AS rule_id, p_partkey % 97 AS priority, p_name AS phrase, p_type AS industry FROM part
+  UNION ALL SELECT 10000000 + conv_id, 50 + conv_id % 13, array_to_string(w[1:2], ' '), 'opening ' || conv_id % 7 FROM
+    (SELECT conv_id, {tokens('min(text)')} AS w FROM conversations WHERE turn = 0 GROUP BY conv_id) WHERE len(w) >= 2"""
 
 
 def _rule_table(spark, sf_dir):
     """Rules: the parts' names, and the first two words of each conversation."""
     from ..functions.text import tokens as text_tokens
-    p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 97).alias("priority"), F.lower("p_name").alias("phrase"),
+    p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 97).alias("priority"), F.col("p_name").alias("phrase"),
                                                  F.col("p_type").alias("industry"))
     w = text_tokens("text")
-    c = read_table(spark, sf_dir, "conversations").where((F.col("turn") == 0) & (F.size(w) >= 2)).select(
-        (F.col("conv_id") + 10_000_000).alias("rule_id"), (F.col("conv_id") % 13 + 50).alias("priority"), F.upper(F.array_join(F.slice(w, 1, 2), " ")).alias("phrase"),
+    c = read_table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text")).where(F.size(w) >= 2).select(
+        (F.col("conv_id") + 10_000_000).alias("rule_id"), (F.col("conv_id") % 13 + 50).alias("priority"), F.array_join(F.slice(w, 1, 2), " ").alias("phrase"),
         F.concat(F.lit("opening "), (F.col("conv_id") % 7).cast("string")).alias("industry"))
     return p.unionByName(c)
 
 
-@register("e1_rules_table", f"""WITH q AS (SELECT query_id, qn FROM ({UQ}) UNION ALL SELECT -p_partkey, 'looking for a ' || lower(p_name) || ' today' FROM part),
+@register("e1_rules_table", f"""WITH q AS (SELECT query_id, qn FROM ({UQ}) UNION ALL SELECT -p_partkey - 1, 'looking for a ' || lower(p_name) || ' today' FROM part),
 m AS (SELECT q.query_id, arg_min(r.rule_id, (r.priority, r.rule_id)) AS rule_id FROM q JOIN ({RULES_SQL}) r ON contains(q.qn, lower(r.phrase)) GROUP BY q.query_id)
 SELECT q.query_id, m.rule_id, r.industry, coalesce(m.rule_id IS NOT NULL, false) AS rule_hit FROM q LEFT JOIN m USING (query_id) LEFT JOIN ({RULES_SQL}) r ON r.rule_id = m.rule_id""")
 def e1_rules_table(spark, sf_dir):
     """E1 over a table of rules (one for each part and conversation), one pass over the queries."""
     q = user_queries(spark, sf_dir)
-    p = read_table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("query_id"), F.concat(F.lit("  Looking for a "), "p_name", F.lit(" today ")).alias("query"))
-    rules = _rule_table(spark, sf_dir)
-    hit = rule_matches(q.unionByName(p), rules)
-    with_intent = with_rule_intents(q.unionByName(p), rules)
-    return hit.join(with_intent.select("query_id", "intent"), "query_id").select("query_id", "rule_id", F.col("intent.industry").alias("industry"),
-                                                                                  F.col("rule_id").isNotNull().alias("rule_hit"))
+    p = read_table(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("query_id"), F.concat(F.lit("  Looking for a "), "p_name", F.lit(" today ")).alias("query"))
+    found = with_rule_intents(q.unionByName(p), _rule_table(spark, sf_dir), rule="rule_id")
+    return found.select("query_id", "rule_id", F.col("intent.industry").alias("industry"), F.col("rule_id").isNotNull().alias("rule_hit"))
 
 
 @register("e2_keyword_rule", f"""SELECT query_id, 'Software' AS industry,
