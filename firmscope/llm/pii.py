@@ -8,12 +8,13 @@ where its source starts and ends. The chain:
 2. digit look-alikes (O, o, l, I, |) inside runs that are mostly digits;
 3. spelled digits in a row (two and more), "plus" before and "dot" or "point" between digits;
 4. "at" and "dot" in brackets, between underscores or hyphens, as entities, or as words between labels of
-   an address; a single "dot" also between numbers. "at" before a name with a real dot counts in capitals only.
+   an address, however many it has; a single "dot" also between numbers. "at" before a name with a real dot
+   counts in capitals, after a local part with a dot or underscore between letters, or after a word like "mail".
 
 The same patterns run over the result; a span found there goes back to source code points through
 the arrays, and is added unless it lies within a base span of its kind: where an identifier is disguised
 in part, its base span and the whole one are both given. A look-alike that stands alone (a column's "|",
-the word "I") doesn't lengthen a base span.
+the word "I") doesn't lengthen a base span. Time is in proportion to a text's length, however long it is.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from .common import id_and_text, plain_id
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: a match ends where its last digits end, so the first digit of a run is the only place to start
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -54,22 +56,25 @@ _DIGIT_RUN = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9OolI|](?:[ ().-]{0,2}[0-9OolI
 _SPELLED_PAIR = re.compile(rf"\b(?:{_NUMBER})(?:[\s,\-]{{1,3}}(?:oh|plus|dot|point|[0-9]+))*[\s,\-]{{1,3}}(?:{_NUMBER})\b")
 _SPELLED_ROW = re.compile(rf"\b(?:{_NUMBER}|oh|plus|dot|point)\b|[0-9]+", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"\s*{_OPEN}\s*(?:at|arroba|@|a)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_at_\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9])", re.I)
-_DOT = re.compile(rf"\s*{_OPEN}\s*(?:dot|punto|punkt|point|\.)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_dot_\s*(?=[A-Za-z0-9])", re.I)
+_AT = re.compile(rf"(?:(?<!\s)\s+)?{_OPEN}\s*(?:at|arroba|@|a)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_at_\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9])", re.I)
+_DOT = re.compile(rf"(?:(?<!\s)\s+)?{_OPEN}\s*(?:dot|punto|punkt|point|\.)\s*{_CLOSE}\s*|(?<=[A-Za-z0-9])\s*_dot_\s*(?=[A-Za-z0-9])", re.I)
 _ENTITY = re.compile(r"&(?:#64|#x40|commat|#46|#x2e|period|#43|#x2b|plus);|(?<=[A-Za-z0-9])%40(?=[A-Za-z0-9-]+\.)", re.I)
 _ENTITY_CHAR = {"#64": "@", "#x40": "@", "commat": "@", "#46": ".", "#x2e": ".", "period": ".", "#43": "+", "#x2b": "+", "plus": "+"}
 _LOUD_AT = re.compile(r"(?<=[a-z0-9])\s+AT\s+(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
-_HYPHENED = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z0-9._%+]+(-at-)[A-Za-z0-9]+((?:-dot-[A-Za-z0-9]+)+)", re.I)
+_HYPHENED = re.compile(r"(?:(?<![A-Za-z0-9._%+-])|(?<=-)(?=[._%+][A-Za-z0-9._%+]))[A-Za-z0-9._%+]+(-at-)[A-Za-z0-9]+((?:-dot-[A-Za-z0-9]+)+)", re.I)
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+\.\s+(?=[A-Za-z]{2,24}(?![A-Za-z0-9]))")
-_DOT_BEFORE = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=(?:[A-Za-z0-9]{1,64}\s+dot\s+){0,3}[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-])", re.I)
 _LONE = re.compile(r"(?:^|(?<=\s))[OolI|](?=\s|$)")
 #: the end of an address that needs no further label, and the countries under which such an end goes on (co.uk)
-_FINISHED = re.compile(r"@.*\.(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz)$", re.I | re.S)
+_FINISHED = re.compile(r"[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz", re.I)
 _SECOND_LEVEL = re.compile(r"\.?(?:com?|net|org|edu|gov|ac)\s+\.\s+(?:uk|au|nz|jp|br|za|kr|tr|cn|sg|hk|tw)(?![a-z0-9])", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|point)\s+(?=[0-9])", re.I)
-_WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-#: an address in words: local "at" label ("dot" or "." label)+; the last label looks like a top domain
-_WORD_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+((?:\s+dot\s+[A-Za-z0-9._%+-]+){0,4})(\s+at\s+)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*)(\s+dot\s+|\.)[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
+_DOT_AFTER = re.compile(r"\s+dot\s+(?=[A-Za-z0-9])", re.I)
+_LABELS = re.compile(r"[A-Za-z0-9.-]+")
+#: an address in words: local part, "at", label, ("dot" or "." label)+; the last label looks like a top domain
+_WORD_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(\s+at\s+)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*)(\s+dot\s+|\.)[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
+_LOCAL_SHAPE = re.compile(r"[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*)+")
+# Words before an address.
+CUES = frozenset("mail email e-mail contact address write reach".split())
 _HINT = re.compile(rf"{_OPEN}\s*(?:at|arroba|@|a|dot|punto|punkt|point|\.)\s*{_CLOSE}|_at_|_dot_|\s@|@\s", re.I)
 ship_by_value(__name__)
 
@@ -83,7 +88,7 @@ def _luhn(digits: str) -> bool:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return re.sub("[^0-9]+", "", s)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -205,23 +210,87 @@ def _spelled_digits(r: Rewritten) -> None:
     r.apply(edits)
 
 
-def _in_address(text: str, at: int) -> bool:
-    """Whether the word that ends at ``at`` has an @ inside."""
-    start = at
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    return "@" in text[start:at]
+def _word_start(text: str, at: int) -> int:
+    """Where the word that ends at ``at`` starts."""
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return at
 
 
 def _open_address(text: str, at: int) -> bool:
     """Whether the word that ends at ``at`` is an address that a dot between spaces may lengthen: one
     that ends like a complete address is followed by a full stop, unless a country comes after co or com."""
-    if not _in_address(text, at):
+    start = _word_start(text, at)
+    sign, dot = text.find("@", start, at), text.rfind(".", start, at)
+    if sign < 0:
         return False
-    start = at
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    return not _FINISHED.search(text, start, at) or bool(_SECOND_LEVEL.match(text, text.rfind(".", start, at)))
+    return not (sign < dot and _FINISHED.fullmatch(text, dot + 1, at)) or bool(_SECOND_LEVEL.match(text, dot))
+
+
+def _dot_before(text: str, at: int, least: int) -> tuple[int, int] | None:
+    """The word "dot" with the spaces around it that ends at ``at``, after a letter or digit."""
+    b = at
+    while b > least and text[b - 1].isspace():
+        b -= 1
+    a = b - 3
+    if b == at or a <= least or text[a:b].lower() != "dot":
+        return None
+    while a > least and text[a - 1].isspace():
+        a -= 1
+    return (a, at) if a < b - 3 and a > least and text[a - 1] in LOCAL and text[a - 1].isalnum() else None
+
+
+def _local_start(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1] in LOCAL:
+        at -= 1
+    return at
+
+
+def _local_dots(text: str, at: int, least: int) -> tuple[int, list[tuple[int, int]]]:
+    """For a local part that ends at ``at``: where its first label starts, and its "dot" words from left to right."""
+    dots, start = [], _local_start(text, at, least)
+    while start < at and (dot := _dot_before(text, start, least)):
+        dots.append(dot)
+        at, start = dot[0], _local_start(text, dot[0], least)
+    return start, dots[::-1]
+
+
+def _dots_at_signs(text: str) -> list[tuple[int, int, str]]:
+    """"dot" words between the labels on both sides of each @."""
+    edits, done, sign = [], 0, text.find("@")
+    while sign >= 0:
+        left = _local_dots(text, sign, done)[1] if _LABELS.match(text, sign + 1) else []
+        edits += [(a, b, ".") for a, b in left]
+        end = sign + 1
+        while (m := _LABELS.match(text, end)) and (dot := _DOT_AFTER.match(text, m.end())) and m.group()[-1].isalnum():
+            edits.append((*dot.span(), "."))
+            end = dot.end()
+        done = end
+        sign = text.find("@", end)
+    return edits
+
+
+def _word_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Addresses with the word "at": with a "dot" among their labels, or with a local part that looks like one."""
+    edits, done, m = [], 0, _WORD_AT.search(text)
+    while m:
+        start, dots = _local_dots(text, m.start(1), done)
+        if start < m.start(1):
+            right = [x.span() for x in re.finditer(r"\s+dot\s+", text[m.start(2):m.end(3)], re.I)]
+            if dots or right or _LOCAL_SHAPE.fullmatch(text, start, m.start(1)) or _cued(text, start):
+                edits += [(a, b, ".") for a, b in dots]
+                edits.append((m.start(1), m.end(1), "@"))
+                edits += [(a + m.start(2), b + m.start(2), ".") for a, b in right]
+                done = m.end()
+        m = _WORD_AT.search(text, max(done, m.end(1)))
+    return edits
+
+
+def _cued(text: str, at: int) -> bool:
+    """Whether the word before ``at`` announces an address."""
+    while at > 0 and (text[at - 1].isspace() or text[at - 1] in ":("):
+        at -= 1
+    return text[max(_word_start(text, at), at - 10):at].lower().lstrip("(") in CUES
 
 
 def _at_and_dot(r: Rewritten) -> None:
@@ -235,23 +304,18 @@ def _at_and_dot(r: Rewritten) -> None:
     if "AT" in r.text:
         r.apply([(m.start(), m.end(), "@") for m in _LOUD_AT.finditer(r.text)])
     low = r.text.lower()
-    if "dot" not in low and "point" not in low:
-        return
-    if "@" in r.text:
-        r.apply([(m.start(), m.end(), ".") for m in _DOT_BEFORE.finditer(r.text)])
-    r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
-    if "-at-" in low:
+    dots = "dot" in low
+    if dots and "@" in r.text:
+        r.apply(_dots_at_signs(r.text))
+    if dots or "point" in low:
+        r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
+    if dots and "-at-" in low:
         r.apply([e for m in _HYPHENED.finditer(r.text) for e in [(m.start(1), m.end(1), "@"), *(
             (m.start(2) + x.start(), m.start(2) + x.end(), ".") for x in re.finditer("-dot-", m.group(2), re.I))]])
-    edits = []
-    for m in _WORD_ADDRESS.finditer(r.text):
-        if "dot" in m.group().lower().split():  # "at" and a full stop in prose are no address
-            edits += [(a + m.start(1), b + m.start(1), ".") for a, b in (x.span() for x in re.finditer(r"\s+dot\s+", m.group(1), re.I))]
-            edits.append((m.start(2), m.end(2), "@"))
-            edits += [(a + m.start(3), b + m.start(3), ".") for a, b in (x.span() for x in re.finditer(r"\s+dot\s+", m.group(3), re.I))]
-            edits.append((m.start(4), m.end(4), "."))
-    r.apply(edits)
-    r.apply([(m.start(), m.end(), ".") for m in _WORD_DOT.finditer(r.text) if _in_address(r.text, m.start())])
+    if "at" in low:
+        r.apply(_word_addresses(r.text))
+    if dots and "@" in r.text:
+        r.apply(_dots_at_signs(r.text))
 
 
 def normalise(text: str) -> Rewritten:

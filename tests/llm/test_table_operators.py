@@ -48,10 +48,10 @@ def test_top_k_odd_vectors(spark):
 
 def test_url_lists_against_brute_force(spark):
     entries = [("ads.com", 100, "add"), ("ads.com", 500, "remove"), ("ads.com", 500, "add"), ("ads.com", 900, "add"), ("x.ads.com", 200, "add"),
-               ("news.org/live", 50, "add"), ("gone.net", 10, "remove"), ("late.io", 10_000_000, "add"), (None, 1, "add"), ("ads.com", None, "add"), ("ads.com", 300, None)]
+               ("news.org/live", 50, "add"), ("gone.net", 10, "remove"), ("late.io", 10_000_000, "add"), ("far.org", 9_000_000_000, "add"), ("1.2.3.4", 5, "add"), ("2.3.4", 5, "add"), (None, 1, "add"), ("ads.com", None, "add"), ("ads.com", 300, None)]
     urls = ["http://ads.com/a", "https://u@X.Ads.com:8080/b?q", "http://badads.com/", "http://news.org/live/1", "http://news.org/other", "http://gone.net", "late.io",
-            "http://late.io./z", None, "", "http://localhost/x", "http://x.ads.com/live"]
-    times = [99, 100, 250, 499, 500, 899, 900, 5_000_000, 10_000_000, None]
+            "http://late.io./z", None, "", "http://localhost/x", "http://x.ads.com/live", "http://far.org/", "http://1.2.3.4/a", "http://9.2.3.4/"]
+    times = [99, 100, 250, 499, 500, 899, 900, 5_000_000, 10_000_000, 8_999_999_999, 9_000_000_001, None]
     captures = [(i * 100 + j, u, t) for i, u in enumerate(urls) for j, t in enumerate(times)]
     captures += [captures[0]] * 2 + [(None, "http://ads.com/a", 100)]
     c = spark.createDataFrame([(*r, "z") for r in captures], "page_id long, url string, fetched long, pattern string")
@@ -70,7 +70,7 @@ def test_url_lists_against_brute_force(spark):
             return None
         host = m[1].lower().rstrip(".")
         parts = host.split(".")
-        domains = [".".join(parts[i:]) for i in range(max(1, len(parts) - 1))]
+        domains = [host] if all(p.isdigit() for p in parts) else [".".join(parts[i:]) for i in range(max(1, len(parts) - 1))]
         hits = [p for d in domains for p in ([d, f"{d}/{m[2]}"] if m[2] else [d]) if listed(p, t)]
         return max(hits, key=lambda p: (len(p), p), default=None)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 import regex
@@ -290,3 +291,26 @@ def test_edits_of_documents_and_odd_rows(spark, codec):
     steps = tokentree.apply_edits(tokentree.build_trees(odd, path), path)
     assert sorted((r["did"], r["n_before"], r["n_after"]) for r in steps.collect()) == rows
     assert tokentree.op10_rows(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["1", " ", "[", "a dot ", "a at ", "x@", ".", "|", "+1 ", "a@b dot ", "one ", "1.", "a . ", "_at_ ", "- "])
+def test_personal_data_in_time_with_length(piece):
+    n = 1_000_000 // len(piece) if piece in ("1", " ") else 300_000 // len(piece)
+    for text in (piece * n, piece * n + "[at]", "john@" + piece * n + " . com"):
+        t = time.time()
+        pii.spans(text)
+        assert time.time() - t < 2 + 8 * (len(text) / 1e6 > 0.9) * (piece not in ("1", " "))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a dot b dot c dot d dot e dot f at example dot com", (0, 50)), ("a1 dot b2 dot c3 dot d4 dot e5 dot f6@example.com", (0, 49)),
+    ("mail x@mail dot eu dot example dot com now", (5, 38)), ("write to john.smith at example.com today", (9, 34)), ("mail: bob at example.org", (6, 24)),
+    ("a_b at x.y.example.net.", (0, 22)), ("john [dot] [dot] smith [at] x.com", None)])
+def test_addresses_of_any_number_of_labels(text, want):
+    found = pii.spans(text)[1]["email"]
+    assert (want in found) if want else found
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "meet me at home.Then go", "version 2.0 at example.com", "at example dot", "dot dot dot", "x at y"])
+def test_prose_is_no_address(text):
+    assert pii.spans(text)[1]["email"] == []
