@@ -107,6 +107,35 @@ def endpoint_stats(log: DataFrame, exact: bool = True, elapsed: float | None = N
         *[z(r9(F.col(n))).alias(n) for n in names])
 
 
+SKETCH_K = 800  # KLL parameter: ranks within 0.5 % or so, some kilobytes a sketch
+
+
+def latency_sketches(log: DataFrame, ok_only: bool = True) -> DataFrame:
+    """One mergeable row for each endpoint and minute, ``(endpoint, minute, request_count, failure_count, total, min_latency,
+    max_latency, sketch)``: counts, sums and a KLL sketch of latencies. Stored, they answer for any window of
+    minutes without the log, and minutes may be added as they come."""
+    lat = F.when(F.col("ok"), F.col("latency")) if ok_only else F.col("latency")
+    return (log.withColumn("minute", F.date_trunc("minute", "ts")).groupBy("endpoint", "minute")
+            .agg(F.count(F.lit(1)).alias("request_count"), F.count_if(~F.col("ok")).alias("failure_count"), F.sum(lat).alias("total"),
+                 F.min(lat).alias("min_latency"), F.max(lat).alias("max_latency"), F.kll_sketch_agg_double(lat.cast("double"), SKETCH_K).alias("sketch")))
+
+
+def window_stats(sketches: DataFrame, start=None, end=None, ps=PERCENTILES, names=("p50", "p95", "p99", "p999")) -> DataFrame:
+    """I1/I2 from stored minutes, ``start`` (inclusive) to ``end`` (exclusive): per endpoint counts, average, extremes and
+    approximate percentiles (NULL without a successful request). Only the window's minutes are read and merged."""
+    s = sketches
+    if start is not None:
+        s = s.where(F.col("minute") >= F.lit(start))
+    if end is not None:
+        s = s.where(F.col("minute") < F.lit(end))
+    g = s.groupBy("endpoint").agg(F.sum("request_count").alias("request_count"), F.sum("failure_count").alias("failure_count"), F.sum("total").alias("_total"),
+                                  F.min("min_latency").alias("min_latency"), F.max("max_latency").alias("max_latency"), F.kll_merge_agg_double("sketch").alias("_s"))
+    some = F.col("_n") > 0
+    return (g.withColumn("_n", F.kll_sketch_get_n_double("_s"))
+            .select("endpoint", "request_count", "failure_count", F.round(F.try_divide(F.col("_total"), F.col("_n")), 9).alias("avg_latency"), "min_latency", "max_latency",
+                    *[F.when(some, F.kll_sketch_get_quantile_double("_s", F.lit(p))).alias(n) for p, n in zip(ps, names)]))
+
+
 def to_stats_csv_frame(stats: DataFrame, method: str = "POST") -> DataFrame:
     """The 14-column perf-stats layout (median column = p50)."""
     return stats.select(F.lit(method).alias("Type"), F.col("endpoint").alias("Name"),

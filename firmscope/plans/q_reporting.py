@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.metrics import (canonical_endpoints, compare_runs, endpoint_stats, read_stats_csv, report_lines,
-                                 to_stats_csv_frame, write_stats_csv)
+from ..operators.metrics import (canonical_endpoints, compare_runs, endpoint_stats, latency_sketches, read_stats_csv, report_lines,
+                                 to_stats_csv_frame, window_stats, write_stats_csv)
 from ..operators.search import SearchRequest, search
 from ..operators.tags import add_tags, all_tags
-from ..session import shared_path
+from ..operators.sizing import bounded_broadcast
+from ..session import materialize, shared_path
 from ..sources.tables import events_utc, read_table
 from .registry import register
 
@@ -112,6 +113,28 @@ def i1_stats(spark, sf_dir):
     return endpoint_stats(_log(spark, sf_dir))
 
 
+WINDOW = ("2024-01-05 06:30:00", "2024-01-21 18:00:00")
+
+
+@register("i1_sketch_windows", f"""SELECT event_type AS endpoint, count(*) AS request_count, count(*) FILTER (WHERE event_type = 'error') AS failure_count,
+  round(avg(value) FILTER (WHERE event_type <> 'error'), 9) AS avg_latency, min(value) FILTER (WHERE event_type <> 'error') AS min_latency,
+  max(value) FILTER (WHERE event_type <> 'error') AS max_latency, CASE WHEN event_type <> 'error' THEN TRUE END AS ranks_within_1_percent
+FROM events WHERE ts >= TIMESTAMP '{WINDOW[0]}' AND ts < TIMESTAMP '{WINDOW[1]}' GROUP BY event_type""")
+def i1_sketches(spark, sf_dir):
+    """I1/I2 of a window from stored per-minute sketches: exact counts, averages and extremes, and percentiles whose
+    ranks among the window's latencies are at most 1 % off."""
+    log = _log(spark, sf_dir)
+    start, end = (F.to_timestamp(F.lit(t)) for t in WINDOW)
+    stats = materialize(window_stats(materialize(latency_sketches(log), "sketches"), start, end), "window-stats")
+    some = log.where((F.col("ts") >= start) & (F.col("ts") < end) & F.col("ok")).join(bounded_broadcast(stats.select("endpoint", "p50", "p95", "p99", "p999"), 100_000), "endpoint")
+    ok = F.lit(True)
+    for p, c in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999")):
+        n = F.count(F.lit(1))
+        ok = ok & (F.count_if(F.col("latency") <= F.col(c)) >= (p - 0.01) * n) & (F.count_if(F.col("latency") < F.col(c)) <= (p + 0.01) * n)
+    ranks = some.groupBy("endpoint").agg(ok.alias("ranks_within_1_percent"))
+    return stats.drop("p50", "p95", "p99", "p999").join(ranks, "endpoint", "left")
+
+
 SPLIT = "2024-01-16 00:00:00"
 
 

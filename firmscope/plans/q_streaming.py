@@ -11,6 +11,7 @@ from ..session import shared_path
 from ..sources.company_csv import CSV_COLUMNS, part_as_company_rows
 from ..sources.tables import events_utc, read_table
 from ..streaming.cache_stream import collapse_stream, ttl_hits_stream
+from ..streaming.flight_stream import flights_stream, keep_state_in_rocksdb
 from ..streaming.ingest_stream import current_companies, start_ingest_stream
 from .q_ingest import CLEAN
 from .q_intent import _ttl_sql
@@ -89,3 +90,31 @@ def f5_stream(spark, sf_dir):
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_first"))
+
+
+FLIGHT, ENTRY = 6 * 3600, 86400
+
+FLIGHTS_SQL = f"""WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+chain(user_id, rn, off, outcome) AS (
+  SELECT user_id, rn, ts, 'compute' FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, CASE WHEN e.ts < c.off + INTERVAL {FLIGHT + ENTRY} SECOND THEN c.off ELSE e.ts END,
+    CASE WHEN e.ts >= c.off + INTERVAL {FLIGHT + ENTRY} SECOND THEN 'compute' WHEN e.ts < c.off + INTERVAL {FLIGHT} SECOND THEN 'wait' ELSE 'hit' END
+  FROM chain c JOIN ev e ON e.user_id = c.user_id AND e.rn = c.rn + 1)
+SELECT ev.event_id, chain.outcome FROM ev JOIN chain USING (user_id, rn)"""
+
+
+@register("f5_flights_stream", FLIGHTS_SQL)
+def f5_flights(spark, sf_dir):
+    """F1-F3 and F5 on a stream: each user's requests are computed, wait for a flight of six hours under way, or are
+    served for a day after it; events arrive week by week."""
+    src, schema = _events_by_week(spark, sf_dir)
+    keep_state_in_rocksdb(spark)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/w*")
+    out, ckpt = shared_path(spark, "flights-out"), shared_path(spark, "flights-ckpt")
+    done = flights_stream(s, "user_id", "ts", "event_id", FLIGHT, ENTRY, "1 day")
+    q = (done.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "outcome")

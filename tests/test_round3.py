@@ -162,3 +162,67 @@ def test_ttl_labels_over_any_slices(spark, slices):
         assert got.columns == [*log.columns, "cache_hit"]
         assert {r["id"]: r["cache_hit"] for r in got.collect()} == want
     assert cache.label_ttl_hits(log.limit(0), "k", "ts", "id", 5).count() == 0
+
+
+# ---- flights on a stream; sketches
+
+def brute_outcomes(times, flight, ttl):
+    off, out = None, []
+    for t in times:
+        if off is None or t >= off + flight + ttl:
+            off = t
+            out.append("compute")
+        else:
+            out.append("wait" if t < off + flight else "hit")
+    return out
+
+
+@pytest.mark.parametrize("flight, ttl", [(0, 5), (3, 0), (4, 9), (1000, 1)])
+def test_outcomes_of_one_key(flight, ttl):
+    from firmscope.streaming.flight_stream import outcomes
+
+    rnd = random.Random(flight)
+    times = sorted(rnd.randrange(300) for _ in range(200))
+    got, off = outcomes(np.array(times), None, flight, ttl)
+    want = brute_outcomes(times, flight, ttl)
+    assert got.tolist() == want
+    cut = 77  # the state carries over
+    first, off = outcomes(np.array(times[:cut]), None, flight, ttl)
+    assert first.tolist() + outcomes(np.array(times[cut:]), off, flight, ttl)[0].tolist() == want
+
+
+def test_flights_go_on_after_a_restart(spark):
+    from firmscope.session import shared_path
+    from firmscope.streaming.flight_stream import flights_stream, keep_state_in_rocksdb
+
+    keep_state_in_rocksdb(spark)
+    rnd = random.Random(4)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = sorted(((rnd.choice("abc"), t0 + datetime.timedelta(seconds=rnd.randrange(4000))) for _ in range(120)), key=lambda r: r[1])
+    rows = [(i, k, t) for i, (k, t) in enumerate(rows)]
+    src, out, ckpt = (shared_path(spark, f"flights-{x}") for x in ("src", "out", "ckpt"))
+    schema = "event_id long, k string, ts timestamp"
+    for part in (rows[:50], rows[50:]):  # the second run starts from the checkpoint of the first
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema(schema).parquet(src)
+        q = (flights_stream(s, "k", "ts", "event_id", 120, 600, "1 hour").writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = {r["event_id"]: r["outcome"] for r in spark.read.parquet(out).collect()}
+    for key in "abc":
+        mine = [(i, (t - t0).total_seconds()) for i, k, t in rows if k == key]
+        assert [got[i] for i, _ in mine] == brute_outcomes([t for _, t in mine], 120, 600)
+
+
+def test_window_stats_without_successes_and_outside_the_log(spark):
+    from firmscope.operators.metrics import latency_sketches, window_stats
+
+    t = datetime.datetime(2024, 1, 1)
+    rows = [("a", t + datetime.timedelta(seconds=i), float(i), True) for i in range(600)] + [("b", t, 1.0, False), ("c", t, None, True)]
+    s = latency_sketches(spark.createDataFrame(rows, "endpoint string, ts timestamp, latency double, ok boolean"))
+    got = {r["endpoint"]: r for r in window_stats(s, t + datetime.timedelta(minutes=2), t + datetime.timedelta(minutes=7)).collect()}
+    assert set(got) == {"a"} and got["a"]["request_count"] == 300 and (got["a"]["min_latency"], got["a"]["max_latency"]) == (120.0, 419.0)
+    assert got["a"]["avg_latency"] == 269.5 and abs(got["a"]["p50"] - 269.5) <= 3
+    whole = {r["endpoint"]: r for r in window_stats(s).collect()}
+    assert whole["b"]["failure_count"] == 1 and whole["b"]["p50"] is None and whole["c"]["p99"] is None and whole["a"]["request_count"] == 600
+    assert window_stats(s.limit(0)).count() == 0
