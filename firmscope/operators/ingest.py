@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import embed_text, first_nonempty, normalise_all_strings, tokens, tolerant_year
 
 from ..functions.shipping import ship_by_value
+from ..sources.quoted_csv import read_quoted_csv
 from .knn import zero_vector_fallback
 
 ship_by_value(__name__)
@@ -47,10 +48,11 @@ SYNTH_YEAR_MIN, SYNTH_YEAR_MAX = 1900, 2024
 def read_company_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A1: header CSV, every cell a string, malformed rows tolerated (short rows → NULLs).
     A blank header cell becomes ``_c0``. Adds the file position columns used for ordering.
-    ``multi_line`` accepts line breaks inside quoted cells; such files can't be split, so each is
-    one task: many files of moderate size keep the read parallel."""
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", multi_line)
-          .option("escape", '"').csv(path))
+    ``multi_line`` accepts line breaks inside quoted cells; such files are read in splits, too
+    (``sources.quoted_csv``)."""
+    if multi_line:
+        return read_quoted_csv(spark, path)
+    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path))
     return df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))

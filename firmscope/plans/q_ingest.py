@@ -9,8 +9,9 @@ from ..functions.buckets import size_bucket
 from ..functions.text import (display_founded, display_location, display_tags, embed_text, highlight,
                               normalise_all_strings, query_cache_key, raw_cache_key, title_case)
 from ..operators.sizing import attach_scalars
-from ..operators.ingest import (clean_companies, delete, embed_with, lookup, quarantined, query_vectors, read_company_csv, upsert,
+from ..operators.ingest import (clean_companies, delete, embed_with, lookup, quarantined, query_vectors, read_company_csv, upsert, with_ordinal,
                                 with_hashed_embedding)
+from ..session import materialize, shared_path
 from ..sources.company_csv import company_csv_path
 from ..sources.tables import companies_from_customer, companies_from_part, read_table, user_queries
 from .registry import register
@@ -45,6 +46,27 @@ def a1_csv_scan(spark, sf_dir):
     return _raw(spark, sf_dir).drop("_file", "_block", "_mid")
 
 
+@register("a1_quoted_line_breaks", """SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS ordinal, CAST(p_partkey AS VARCHAR) AS id,
+  CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || chr(10) || chr(10) || 'said "two", of ' || p_brand ELSE '"' || chr(10) || repeat(p_name || ',' || chr(10), 1 + CAST(p_partkey % 40 AS INTEGER)) END AS name,
+  p_type AS industry FROM part""")
+def a1_line_breaks(spark, sf_dir):
+    """A1/A5: quoted cells with line breaks, quotes and commas, each file read in many splits; records and their numbers."""
+    p, k = read_table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = (F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat("p_name", F.lit('\n\nsaid "two", of '), "p_brand"))
+            .otherwise(F.concat(F.lit('"\n'), F.expr("repeat(concat(p_name, ',\n'), cast(1 + p_partkey % 40 as int))"))))
+    path = shared_path(spark, "quoted-csv")
+    p.orderBy("p_partkey").select(k.cast("string").alias("id"), name.alias("name"), F.col("p_type").alias("industry")).write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    conf, key = spark.conf, "spark.sql.files.maxPartitionBytes"
+    before = conf.get(key)
+    conf.set(key, "16384")
+    try:
+        rows = materialize(with_ordinal(read_company_csv(spark, path, multi_line=True), "ordinal").select("ordinal", "id", "name", "industry"), "quoted-rows")
+    finally:
+        conf.set(key, before)
+    return rows
+
+
 @register("a3_ingest_row_limit", f"""SELECT CAST(ordinal AS VARCHAR) AS company_id, name, domain, industry, locality,
   country, size_range, year_founded FROM ({CLEAN}) WHERE ordinal < 1000""")
 def a3_limit(spark, sf_dir):

@@ -226,3 +226,37 @@ def test_window_stats_without_successes_and_outside_the_log(spark):
     whole = {r["endpoint"]: r for r in window_stats(s).collect()}
     assert whole["b"]["failure_count"] == 1 and whole["b"]["p50"] is None and whole["c"]["p99"] is None and whole["a"]["request_count"] == 600
     assert window_stats(s.limit(0)).count() == 0
+
+
+# ---- A1: line breaks in quoted cells
+
+def test_quoted_line_breaks_in_any_splits(spark, tmp_path):
+    import csv
+    import io
+
+    from firmscope.operators import ingest
+    from firmscope.sources.quoted_csv import ends_inside
+
+    cases = {"a,b": (False, True), 'a,"b': (True, False), 'a","b': (True, True), '5" pipe,x': (False, False), '"a""': (True, False), '"a"""': (False, False),
+             'x"': (False, False), '""': (False, True), "": (False, True)}
+    assert {x: (ends_inside(x, False), ends_inside(x, True)) for x in cases} == cases
+    rnd = random.Random(9)
+    rows = [["id", "name", "note"]]
+    for i in range(400):
+        cell = rnd.choice(["plain", "a\nb", '"\n"', "\n" * 30, "x," * 40 + "\n", 'say "hi"', "é\n\n日本", "long " * 60])
+        rows.append([str(i), f"n{i}", cell] if i % 5 else [str(i), cell, "end"])
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    for name, part in (("a.csv", text.getvalue()), ("b.csv", 'id,name,note\n900,5" pipe,x\n\n901,short\n902,"open\ncell')):
+        (tmp_path / name).write_text(part, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            raw = ingest.with_ordinal(ingest.read_company_csv(spark, str(tmp_path), multi_line=True))
+            got = [(r["id"], r["name"], r["note"]) for r in raw.orderBy("_ordinal").collect()]
+            assert got[:400] == [tuple(r) for r in rows[1:]]
+            assert got[400:] == [("900", '5" pipe', "x"), ("901", "short", None), ("902", "open\ncell", None)]
+            assert [r["_ordinal"] for r in raw.select("_ordinal").orderBy("_ordinal").collect()] == list(range(403))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
