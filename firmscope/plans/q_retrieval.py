@@ -9,6 +9,7 @@ from ..operators.blockindex import Clause, top_documents
 from ..operators.knn import knn
 from ..operators.retrieval import build_hybrid_index, diagnostics, first_stage, guarded_reranker, two_stage_retrieval
 from ..operators.sizing import attach_scalars
+from ..session import materialize
 from ..sources.tables import benchmark_queries, read_table, search_corpus, search_texts
 from .registry import register
 from .sqlparts import bm25_ctes, bm25_terms_cte, qterms_cte, tokens
@@ -204,10 +205,11 @@ def d14_ingested(spark, sf_dir):
     from ..operators.ingest import clean_companies, with_hashed_embedding
     from .q_ingest import _raw
     co = clean_companies(_raw(spark, sf_dir), id_mode="natural", embed_dim=64)
-    corpus = co.select(F.col("company_id").alias("doc_id"), "name", "industry", "locality", "country", "embedding")
+    # companies and query vectors are read several times: written once
+    corpus = materialize(co.select(F.col("company_id").alias("doc_id"), "name", "industry", "locality", "country", "embedding"), "ingested")
     idx = build_hybrid_index(corpus, materialize=True, layout="blocks")
     b = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
-    q = with_hashed_embedding(b, "query", out="vector")
+    q = materialize(with_hashed_embedding(b, "query", out="vector"), "ingested-queries")
     return two_stage_retrieval(idx, q).select("query_id", "rank", "doc_id", "re_rank_score", "knn_score", "knn_only_score")
 
 
