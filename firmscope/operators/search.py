@@ -214,3 +214,20 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     page = out.where((F.col("_rn") > off) & (F.col("_rn") <= off + F.col("size")))
     return page.withColumn("rank", (F.col("_rn") - off).cast("int")).drop(
         "_rn", "page", "size", "fs_id")
+
+
+def deterministic_responses(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """The whole responses of structured searches: ``(request_id, results, diagnostics)``, one for every request.
+
+    ``found`` is ``batch_search``'s answer. ``results`` holds the page in rank order (the company's columns but its vector,
+    no score; empty where nothing matched), at most a page's size a request; ``diagnostics`` the route, an
+    empty intent and no scores."""
+    fields = [c for c in found.columns if c not in ("request_id", "rank", "score", "embedding")]
+    item = F.struct("rank", *[F.col(f"`{c}`") for c in fields])
+    pages = (found.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+             .select("request_id", F.transform("c", lambda x: x.dropFields("rank")).alias("results")))
+    empty = F.array().cast(pages.schema["results"].dataType)
+    diagnostics = F.struct(F.lit("Deterministic").alias("route"), F.create_map().cast("map<string,string>").alias("intent"),
+                           F.array().cast("array<struct<company_id:string,name:string,re_rank_score:double,knn_score:double>>").alias("scores"))
+    return (requests.select("request_id").join(pages, "request_id", "left")
+            .select("request_id", F.coalesce("results", empty).alias("results"), diagnostics.alias("diagnostics")))

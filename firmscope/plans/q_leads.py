@@ -9,7 +9,7 @@ from ..functions.text import raw_cache_key
 from ..operators.cache import CACHE_SCHEMA, EVIDENCE_TTL_SECONDS, cache_fill, cache_lookup
 from ..operators.leads import (NO_NEWS, PROMPT_HEAD, PROMPT_QUERY, PROMPT_TAIL, SEARCH_UNAVAILABLE, TASK_NAME,
                                context_with_fallback, dead_letters, dispatch_records, evidence_context,
-                               explode_leads, parse_leads, prompt, task_status)
+                               explode_leads, parse_leads, prompt, synthesize, task_status)
 from ..sources.tables import read_table
 from .q_intent import E5_SQL, _resolved
 from .registry import register
@@ -217,3 +217,43 @@ def f3_evidence(spark, sf_dir):
     table = cache_fill(spark.createDataFrame([], CACHE_SCHEMA), e, EVIDENCE_TTL_SECONDS)
     got = cache_lookup(q, table, raw_cache_key("news_cache:", "query"), now, json_values=False)
     return got.select("query_id", "cached_value", "cache_hit")
+
+
+# the agentic queries' tasks; evidence: page p is a source for the turns of conversation p / 4; the search fails for
+# every 13th conversation; answers by the query's id: one lead, two, none at all, cut off, a lead without industry
+JOB_SQL = f"""WITH t AS ({G9_SQL}),
+e AS (SELECT t.query_id, page_id AS rank, url, html AS content FROM pages JOIN t ON page_id // 4 = t.query_id // 1000),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS rn FROM e),
+c AS (SELECT query_id, string_agg('Source: ' || coalesce(url, '') || chr(10) || 'Snippet: ' || coalesce(content, ''), chr(10) || chr(10) ORDER BY rn) AS context
+      FROM r WHERE rn <= 3 GROUP BY query_id),
+x AS (SELECT t.*, CASE WHEN (t.query_id // 1000) % 13 = 5 THEN {_sq(SEARCH_UNAVAILABLE)} ELSE coalesce(c.context, {_sq(NO_NEWS)}) END AS context FROM t LEFT JOIN c USING (query_id)),
+n AS (SELECT *, length({_sq(PROMPT_HEAD)} || context || {_sq(PROMPT_QUERY)} || query || {_sq(PROMPT_TAIL)}) AS n FROM x),
+l AS (SELECT *, {{'name': 'company ' || n, 'industry': 'web', 'domain': NULL::VARCHAR, 'locality': '', 'country': '', 'year_founded': NULL::INTEGER, 'size_range': 'Unknown', 'id': md5(task_id || ':0')}} AS one,
+             {{'name': 'second', 'industry': 'news', 'domain': 'b.example', 'locality': '', 'country': '', 'year_founded': 1990, 'size_range': 'Unknown', 'id': md5(task_id || ':1')}} AS two FROM n)
+SELECT task_id, CASE WHEN n % 5 IN (2, 3, 4) THEN 'failed' ELSE 'SUCCESS' END AS status,
+  CASE n % 5 WHEN 2 THEN 'empty model response' WHEN 3 THEN 'invalid JSON' WHEN 4 THEN 'validation error: a field is missing or of another type'
+    ELSE CAST(to_json({{'summary': n || ' characters read', 'raw_markdown': context, 'leads': CASE n % 5 WHEN 0 THEN [one] ELSE [one, two] END}}) AS VARCHAR) END AS result,
+  CASE n % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n_leads, n % 5 IN (2, 3, 4) AS dead FROM l"""
+
+
+@register("g1_g7_synthesis_job", JOB_SQL)
+def synthesis_job(spark, sf_dir):
+    """G1–G7 chained over the dispatched tasks: evidence, context, prompt, answers, leads or dead letters, task results."""
+    tasks = dispatch_records(_resolved(spark, sf_dir))
+    conv = tasks.select("query_id", F.expr("query_id div 1000").alias("conv"))
+    pages = read_table(spark, sf_dir, "pages").select(F.expr("page_id div 4").alias("conv"), F.col("page_id").alias("rank"), "url", F.col("html").alias("content"))
+    failed = conv.where(F.col("conv") % 13 == 5).select("query_id")
+
+    def complete(asked):
+        n = F.length("prompt")
+        first = F.concat(F.lit('{"summary": "'), n, F.lit(' characters read", "leads": [{"name": "company '), n)
+        one, two = F.lit('", "industry": "web"}'), F.lit(', {"name": "second", "industry": "news", "domain": "b.example", "year_founded": 1990}')
+        answer = (F.when(n % 5 == 0, F.concat(first, one, F.lit("]}"))).when(n % 5 == 1, F.concat(first, one, two, F.lit("]}")))
+                  .when(n % 5 == 3, first).when(n % 5 == 4, F.concat(first, F.lit('"}]}'))))
+        return asked.withColumn("payload", answer)
+
+    job = synthesize(tasks, conv.join(pages, "conv").drop("conv"), complete, failed)
+    leads = job.leads.groupBy("task_id").agg(F.count(F.lit(1)).cast("int").alias("n_leads"))
+    dead = job.dead.select("task_id", F.lit(True).alias("dead"))
+    out = task_status(job.results).join(leads, "task_id", "left").join(dead, "task_id", "left")
+    return out.select("task_id", "status", "result", F.coalesce("n_leads", F.lit(0)).alias("n_leads"), F.coalesce("dead", F.lit(False)).alias("dead"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.search import SearchRequest, batch_search, name_index, search
+from ..operators.search import SearchRequest, batch_search, deterministic_responses, name_index, search
 from ..sources.tables import companies_from_customer, companies_from_part, read_table
 from .registry import register
 from .sqlparts import CUSTOMER_COMPANIES, PART_COMPANIES, bm25_ctes, bm25_terms_cte, qterms_cte
@@ -308,3 +308,14 @@ def c9_tags(spark, sf_dir):
     """Requests for one to three tags, alone and with names, fields, years and pages, over companies some of which
     have no tags or a NULL among them."""
     return batch_search(_tagged_companies(spark, sf_dir), _tag_requests(spark, sf_dir)).select("request_id", "rank", "company_id", "score")
+
+
+@register("c9_responses", f"""WITH p AS ({C9_TAGS_SQL}), r AS (SELECT n_nationkey AS request_id FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation UNION ALL SELECT s_suppkey + 1000 FROM supplier)
+SELECT r.request_id, coalesce(string_agg(p.company_id || ':' || co.industry, ',' ORDER BY p.rank), '') AS results, 'Deterministic' AS route, 0 AS n_scores
+FROM r LEFT JOIN p USING (request_id) LEFT JOIN ({CUSTOMER_COMPANIES}) co USING (company_id) GROUP BY r.request_id""")
+def c9_responses(spark, sf_dir):
+    """The responses of the tagged requests, with results and deterministic diagnostics, requests that find nothing included."""
+    requests = _tag_requests(spark, sf_dir)
+    out = deterministic_responses(requests, batch_search(_tagged_companies(spark, sf_dir), requests))
+    line = F.transform("results", lambda c: F.concat_ws(":", c["company_id"], c["industry"]))
+    return out.select("request_id", F.array_join(line, ",").alias("results"), "diagnostics.route", F.size("diagnostics.scores").alias("n_scores"))

@@ -1,6 +1,7 @@
 """Facets, rules as a table, whole responses, approximate search, TTL passes and values that are NULL, ragged or odd."""
 
 import datetime
+import json
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firmscope.operators import cache, facets, intent, ivfpq, knn, search, tags
+from firmscope.operators import cache, facets, intent, ivfpq, knn, leads, search, tags
 
 
 # ---- C5/C9: tags
@@ -260,3 +261,44 @@ def test_quoted_line_breaks_in_any_splits(spark, tmp_path):
             assert [r["_ordinal"] for r in raw.select("_ordinal").orderBy("_ordinal").collect()] == list(range(403))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_synthesis_as_one_job(spark):
+    """Tasks to results: evidence cut at three, failed and empty searches, answers that are missing or broken, and a model called once."""
+    tasks = spark.createDataFrame([(f"t{i}", i, None if i == 4 else f"q{i}", "processing") for i in range(6)], "task_id string, query_id long, query string, status string")
+    evidence = spark.createDataFrame([(0, r, f"u{r}", f"c{r}") for r in range(5)] + [(1, 1, None, None), (2, 1, "u", "c"), (99, 1, "u", "c")],
+                                     "query_id long, rank int, url string, content string")
+    failed = spark.createDataFrame([(2,), (2,), (77,)], "query_id long")
+    good = '{"summary": "s", "leads": [{"name": "A", "industry": "x"}, {"name": "B", "industry": "y", "year_founded": 2000}]}'
+    calls = spark.sparkContext.accumulator(0)
+
+    def complete(df):
+        @F.udf("string")
+        def answer(task):
+            calls.add(1)
+            return {"t0": good, "t1": '{"summary": "none", "leads": []}', "t2": good, "t3": "{", "t4": None}.get(task, good)
+        return df.withColumn("payload", answer.asNondeterministic()("task_id"))
+
+    job = leads.synthesize(tasks, evidence, complete, failed)
+    got = {r["task_id"]: (r["state"], r["result"]) for r in job.results.collect()}
+    first = json.loads(got["t0"][1])
+    assert first["raw_markdown"] == "\n\n".join(f"Source: u{r}\nSnippet: c{r}" for r in range(3))
+    assert [(x["name"], x["domain"], x["year_founded"], x["size_range"]) for x in first["leads"]] == [("A", None, None, "Unknown"), ("B", None, 2000, "Unknown")]
+    assert json.loads(got["t1"][1]) == {"summary": "none", "raw_markdown": "Source: \nSnippet: ", "leads": []}
+    assert json.loads(got["t2"][1])["raw_markdown"] == leads.SEARCH_UNAVAILABLE and json.loads(got["t5"][1])["raw_markdown"] == leads.NO_NEWS
+    assert got["t3"] == ("FAILURE", "invalid JSON") and got["t4"] == ("FAILURE", "empty model response")
+    exploded = {(r["task_id"], r["pos"]): r["lead_id"] for r in job.leads.collect()}
+    assert sorted(exploded) == [(t, p) for t in ("t0", "t2", "t5") for p in (0, 1)]
+    assert [x["id"] for x in first["leads"]] == [exploded["t0", 0], exploded["t0", 1]]
+    assert {r["task_id"]: r["exception"] for r in job.dead.collect()} == {t: got[t][1] for t in ("t3", "t4")}
+    assert calls.value == 6
+    none = leads.synthesize(tasks.limit(0), evidence, complete)
+    assert none.results.count() == none.leads.count() == none.dead.count() == 0
+
+
+def test_deterministic_responses_cover_every_request(spark):
+    requests = spark.createDataFrame([(1,), (2,)], "request_id long")
+    found = spark.createDataFrame([(1, 2, "b", "B", 0.5), (1, 1, "a", "A", None)], "request_id long, rank int, company_id string, name string, score double")
+    got = {r["request_id"]: r for r in search.deterministic_responses(requests, found).collect()}
+    assert [(x["company_id"], x["name"]) for x in got[1]["results"]] == [("a", "A"), ("b", "B")]
+    assert got[2]["results"] == [] and got[2]["diagnostics"].asDict() == {"route": "Deterministic", "intent": {}, "scores": []}
