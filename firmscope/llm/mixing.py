@@ -5,10 +5,12 @@ agree; weight from its quality); sorted by it, the first documents are a weighte
 replacement. A source's target is met by complete epochs (every document so often) and then, for
 what remains, by the first documents in key order up to the remaining words.
 
-The sort is distributed: keys fall into ``BUCKETS`` ranges of the uniform ``1 - u**(1/weight)``,
-words are summed for each source and range (partial sums before the shuffle), and only the one or
-two ranges in which a source's remainder ends are sorted. What comes out is one cut for each
-source: a document gets its extra copy if its key lies below, and every document of a source does
+The sort is distributed: keys fall into ``BUCKETS`` ranges, and each range into as many finer ones,
+cut evenly by the mean of the keys' distributions at the three quality weights, so that a range holds
+at most 3 in ``BUCKETS`` of the documents of any of these weights. Words are summed for each source and range
+(partial sums before the shuffle), then for each finer range of the one or two ranges in which a source's
+remainder ends, and only one or two finer ranges are sorted. The sources themselves are put in order by
+ranges, too. What comes out is one cut for each source: a document gets its extra copy if its key lies below, and every document of a source does
 if its remainder ends after the middle of the last one (no cut). So no source's documents meet in
 one task, and the plan is made without texts. Functions of DataFrames only.
 """
@@ -38,12 +40,25 @@ def _source_key(source: Column) -> Column:
 
 
 def _with_keys(df: DataFrame) -> DataFrame:
-    """Adds the sampling key, the range it falls into, and the order (ties end with the id)."""
+    """Adds the sampling key, the finer range it falls into, and the order (ties end with the id)."""
     u = (F.shiftrightunsigned(F.xxhash64("__did", F.lit(SEED)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     weight = F.col("__weight")
     out = df.withColumn("__key", -F.log(u) / weight)
-    out = out.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    return out.withColumn("__order", F.struct("__bucket", "__key", "__did", "__size"))
+    beyond = sum((F.exp(-F.col("__key") * w) for w in (GOOD, UNKNOWN, BAD)), F.lit(0.0)) / 3
+    out = out.withColumn("__fine", F.least(F.floor((1 - beyond) * BUCKETS * BUCKETS), F.lit(BUCKETS * BUCKETS - 1)).cast("int"))
+    return out.withColumn("__order", F.struct("__fine", "__key", "__did", "__size"))
+
+
+def _with_running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """Adds to each row the sums over the rows before it. Rows are dealt to ranges of ``order`` (which must not
+    tie) and summed inside each; one row a range, as many as there are tasks, carries the sums on."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), name)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    carried = carried.select("__range", *[F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in sums])
+    out = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()]).join(carried, "__range")
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,17 +72,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     in code point order (null last) share 150 % of all words; a target stops at twice its source's size and
     the excess goes to the others by weight until none is above. Solved at once: sources in order of
     cap by weight, and the common level at the first source that stays below its cap. One row a source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    s = sizes.withColumn("w", weight).withColumn("cap", F.col("source_size") * MOST).withColumn("r", F.col("cap") / F.col("w"))
-    s = s.withColumn("all", F.sum("source_size").over(everything) * SHARE)
-    before = everything.orderBy("r", "skey").rowsBetween(Window.unboundedPreceding, -1)
-    onward = everything.orderBy("r", "skey").rowsBetween(0, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward))
-    s = s.withColumn("found", F.max(F.when(F.col("r") > F.col("level"), F.col("level"))).over(everything))
+    placed = _with_running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, "mix-places")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    s = placed.withColumn("w", weight).withColumn("cap", F.col("source_size") * MOST).withColumn("r", F.col("cap") / F.col("w"))
+    s = _with_running(s, [F.col("r").asc(), F.col("skey").asc()], {"caps": F.col("cap"), "weights": F.col("w")}, "mix-levels")
+    whole = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    s = s.withColumn("level", (whole["size"] * F.lit(SHARE) - F.col("caps")) / (F.lit(whole["w"]) - F.col("weights")))
+    found = s.where("r > level").agg(F.max("level")).first()[0]
     return s.select("skey", "source", "source_size",
-                    F.when(F.col("r") <= F.col("level"), F.col("cap")).otherwise(F.col("found") * F.col("w")).alias("target"))
+                    F.when(F.col("r") <= F.col("level"), F.col("cap")).otherwise(F.lit(found).cast("double") * F.col("w")).alias("target"))
 
 
 def _plan(docs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -80,19 +93,30 @@ def _plan(docs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFra
     s = s.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     s = s.withColumn("rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
 
-    ranges = rows.groupBy("skey", F.col("__bucket").alias("b")).agg(F.sum("__size").alias("n")).where("n > 0")
-    running = Window.partitionBy("skey").orderBy("b")
-    ranges = ranges.withColumn("upto", F.sum("n").over(running)).join(s.select("skey", "rest"), "skey")
-    last = (ranges.where("upto > rest").withColumn("i", F.row_number().over(running)).where("i <= 2")
-            .select("skey", F.col("b").alias("__bucket"), (F.col("upto") - F.col("n")).alias("below"), "rest"))
-    inside = Window.partitionBy("skey", "__bucket").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (rows.join(last, ["skey", "__bucket"])
+    bucket = F.shiftright("__fine", BUCKETS.bit_length() - 1)
+    ranges = rows.groupBy("skey", bucket.alias("b")).agg(F.sum("__size").alias("n")).where("n > 0")
+    ranges = ranges.join(s.select("skey", "rest"), "skey").withColumn("start", F.lit(0).cast("long"))
+    near = materialize(_where_it_ends(ranges), "mix-ranges")
+    finer = (rows.withColumn("b", bucket).join(near.select("skey", "b"), ["skey", "b"]).groupBy("skey", F.col("__fine").alias("b"))
+             .agg(F.sum("__size").alias("n")).where("n > 0"))
+    last = _where_it_ends(finer.join(near.groupBy("skey").agg(F.min("below").alias("start"), F.first("rest").alias("rest")), "skey"))
+    inside = Window.partitionBy("skey", "__fine").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (rows.join(last.withColumnRenamed("b", "__fine"), ["skey", "__fine"])
             .withColumn("ahead", F.col("below") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
             .where((F.col("__size") > 0) & (F.col("ahead") + F.col("__size") / 2 > F.col("rest"))))
     cut = ends.groupBy("skey").agg(F.min("__order").alias("__cut"))
     return rows, materialize(s.join(cut, "skey", "left"), "mix-sources")
 
 
+def _where_it_ends(ranges: DataFrame) -> DataFrame:
+    """``(skey, b, below, rest)``: of the ranges ``(skey, b, n, start, rest)`` of each source, at most ``BUCKETS`` twice,
+    the two from the one on in which the remainder ends, and the words below each."""
+    running = Window.partitionBy("skey").orderBy("b")
+    upto = ranges.withColumn("upto", F.col("start") + F.sum("n").over(running)).where("upto > rest")
+    return (upto.withColumn("i", F.row_number().over(running)).where("i <= 2")
+            .select("skey", "b", (F.col("upto") - F.col("n")).alias("below"), "rest"))
+
+
 def _weighted(rows: DataFrame, docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("__weight", F.lit(1.0))

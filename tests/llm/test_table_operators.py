@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from firmscope.llm import kdtree, mixing, quality, queries, simhash, urllist
 
@@ -166,6 +167,29 @@ def test_remainder_that_reaches_into_the_last_document(spark):
     assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in want)
 
 
+def test_no_range_of_keys_holds_many_rows(spark):
+    """Rows of the least weight, one source: no range holds one in a hundred, no finer range more than a few."""
+    for weight in (mixing.BAD, mixing.UNKNOWN, mixing.GOOD):
+        rows = mixing._with_keys(spark.range(40_000).select(F.col("id").alias("__did"), F.lit(weight).alias("__weight"), F.lit(10).alias("__size")))
+        largest = [rows.groupBy((F.col("__fine") / n).cast("int")).count().agg(F.max("count")).first()[0] for n in (mixing.BUCKETS, 1)]
+        assert largest[0] <= 400 and largest[1] <= 8
+        by_key = [r["__did"] for r in rows.orderBy("__key", "__did").collect()]
+        assert by_key == [r["__did"] for r in rows.orderBy("__order").collect()]
+
+
+def test_targets_of_very_many_sources(spark):
+    """Sources dealt to ranges: places in code point order, and the common level, as worked out one by one."""
+    rnd = random.Random(5)
+    names = [chr(rnd.choice([0x41, 0xE9, 0xFFFD, 0x1F600])) + str(i) for i in range(700)] + [None, ""]
+    sizes = {s: rnd.choice([0, 1, 7, 100, 10_000]) for s in names}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = mixing.targets(df.withColumn("skey", mixing._source_key(F.col("source")))).collect()
+    want = brute_targets(sizes)
+    assert len(got) == len(want)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]], abs=1e-6)
+
+
 def test_sampling_follows_the_weights(spark):
     """With a tenth of the words asked for, good documents come in well above their share."""
     rows = [(i, "w w w w", "en", "a" if i < 4000 else "b", 1) for i in range(4400)]
@@ -288,3 +312,12 @@ def test_operators_on_clashing_columns(spark, name):
     a, b = run(plain), run(wide)
     assert a.columns == b.columns
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_topk_ignores_other_columns(spark):
+    """Columns named like the operator's own, and repeated rows, change nothing."""
+    rnd = random.Random(2)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)], 1, "x", None) for i in range(300)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score string, query_id long")
+    got = sorted(map(tuple, kdtree.op4_rows(plain).collect()))
+    assert got == sorted(map(tuple, kdtree.op4_rows(plain.select("vec_id", "embedding")).collect())) and len(got) == 30

@@ -1,6 +1,7 @@
 """Personal data, toxicity, BPE and token trees: brute force, round trips, held-out accuracy, odd cases."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -172,6 +173,39 @@ def test_toxicity_on_held_out_labels(spark):
             assert texts[i][a:b].strip() and "\n" not in texts[i][a:b]
 
 
+def test_toxicity_scores_and_sentences_equal_a_plain_recount(spark):
+    """The noisy-or of every document, and the sentences it points at, worked out again from the weights, letter by letter."""
+    docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "..!?\n \n"), (-4, "a_b ÉÉ. İx! " * 30)], "doc_id long, text string"))
+    model = toxicity.fit(toxicity.training_sample(docs, labels))
+    weights = model["weights"]
+    assert weights
+
+    def plain(text):
+        clean, spans, at = 1.0, [], 0
+        for piece in "".join("\0" if c in ".!?\n" else c for c in text or "").split("\0"):
+            words = set("".join(c if c.isalnum() else " " for c in piece.lower().replace("_", " ").replace("\u0307", " ")).split())
+            if words:
+                z = model["bias"]
+                for w in words:
+                    marked = "^" + w + "$"
+                    z += sum(weights.get(f, 0.0) for f in {marked} | {marked[i:i + k] for k in (4, 5) for i in range(len(marked)) if i + k <= len(marked)})
+                p = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+                clean *= 1 - p
+                if p >= 0.5:
+                    spans.append(f"{at}:{at + len(piece)}")
+            at += len(piece) + 1
+        return 1 - clean, ",".join(spans)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    pointed = 0
+    for r in toxicity.score_documents(docs, labels).collect():
+        score, spans = plain(texts[r["did"]])
+        assert abs(r["score"] - score) < 1e-9 and r["offending"] == spans, r["did"]
+        pointed += bool(spans)
+    assert pointed
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(i, "you are an idiot. fine day" if i % 3 == 0 else "a fine day. quite so", "en", "s", 1) for i in range(120)]
     odd = [(None, "an idiot here", "en", "s", 1), (500, None, None, None, None), (501, "", "en", "s", 0), (501, "", "en", "s", 0)]
