@@ -3,8 +3,12 @@ stand-ins (part; customer ⋈ nation)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cluster import search_clustered, write_clustered
 from ..operators.search import SearchRequest, batch_search, deterministic_responses, name_index, search
 from ..sources.tables import companies_from_customer, companies_from_part, read_table
 from .registry import register
@@ -319,3 +323,24 @@ def c9_responses(spark, sf_dir):
     out = deterministic_responses(requests, batch_search(_tagged_companies(spark, sf_dir), requests))
     line = F.transform("results", lambda c: F.concat_ws(":", c["company_id"], c["industry"]))
     return out.select("request_id", F.array_join(line, ",").alias("results"), "diagnostics.route", F.size("diagnostics.scores").alias("n_scores"))
+
+
+CLUSTERED = {0: (dict(country="Nation_3", industry="Building"), "country = 'nation_3' AND industry = 'building'"),
+             1: (dict(country="NATION_11", year_from=1960, year_to=1999, page=2, size=5), "country = 'nation_11' AND year_founded >= 1960 AND year_founded <= 1999"),
+             2: (dict(industry="machinery", size_range="5001-10000", year_from=1990, size=20), "industry = 'machinery' AND size_range = '5001-10000' AND year_founded >= 1990"),
+             3: (dict(industry="no such"), "industry = 'no such'")}
+
+
+@register("c10_clustered_table", f"WITH co AS ({CUSTOMER_COMPANIES})" + " UNION ALL ".join(
+    f"""SELECT {k} AS request, company_id, name, rank, TRUE AS few_files FROM ({_filter_sql('SELECT * FROM co', where, (r.get('page', 1) - 1) * r.get('size', 10), r.get('size', 10))})"""
+    for k, (r, where) in CLUSTERED.items()))
+def c10_clustered(spark, sf_dir):
+    """C2–C4/C6/C7/C10 over the table clustered on a space-filling curve; ``few_files``: at most 30 % of the files were read."""
+    table = write_clustered(companies_from_customer(spark, sf_dir), 64)
+    n = table.years.count()
+    parts = []
+    for k, (r, _) in CLUSTERED.items():
+        req = SearchRequest(**r)
+        few = table.files(req).count() <= 0.3 * n
+        parts.append(search_clustered(table, req).select(F.lit(k).alias("request"), "company_id", "name", "rank", F.lit(few).alias("few_files")))
+    return reduce(DataFrame.unionByName, parts)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firmscope.operators import cache, facets, intent, ivfpq, knn, leads, search, tags
+from firmscope.operators import cache, cluster, facets, intent, ivfpq, knn, leads, search, tags
 
 
 # ---- C5/C9: tags
@@ -302,3 +302,37 @@ def test_deterministic_responses_cover_every_request(spark):
     got = {r["request_id"]: r for r in search.deterministic_responses(requests, found).collect()}
     assert [(x["company_id"], x["name"]) for x in got[1]["results"]] == [("a", "A"), ("b", "B")]
     assert got[2]["results"] == [] and got[2]["diagnostics"].asDict() == {"route": "Deterministic", "intent": {}, "scores": []}
+
+
+def test_clustered_table_answers_like_the_plain_one(spark, tmp_path):
+    """A third of the rows in one industry, NULL fields and years: same pages, and the files that hold the matches are among those read."""
+    rnd = random.Random(4)
+    rows = [(f"c{i:05d}", f"n{i}", "hot" if i % 3 == 0 else rnd.choice([None, "", *(f"ind{j}" for j in range(40))]), rnd.choice(["1-10", "11-50", "51-200", None]),
+             rnd.choice([f"country {j}" for j in range(30)]), rnd.choice([None, 0, *range(1900, 2024)]), ["t"] if i % 5 else None) for i in range(6000)]
+    co = spark.createDataFrame(rows, COMPANY).repartition(4)
+    table = cluster.write_clustered(co, 48, str(tmp_path / "clustered"))
+    assert table.rows.count() == 6000 and sorted(table.rows.columns) == sorted(co.columns)
+    n = table.years.count()
+    sizes = [r["count"] for r in table.rows.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert n >= 40 and max(sizes) < 6000 / 48 * 2  # the hot industry fills several files
+    reqs = [search.SearchRequest(industry="Hot"), search.SearchRequest(industry="ind7", country="Country 4"), search.SearchRequest(country="country 9", year_from=1950, year_to=1970, page=2, size=7),
+            search.SearchRequest(size_range="1-10", industry="ind3", year_to=1990, tags=["t"]), search.SearchRequest(year_to=1900), search.SearchRequest(industry="none such"), search.SearchRequest()]
+    shares = []
+    for r in reqs:
+        assert [x["company_id"] for x in cluster.search_clustered(table, r).collect()] == [x["company_id"] for x in search.search(co, r).collect()], r
+        shares.append(table.files(r).count() / n)
+    # 48 files: five to six cuts in all, so two of industry and country each, one of years (these lie around the middle cut)
+    assert shares[1] < 0.25 and shares[2] < 0.6 and shares[3] < 0.3 and shares[5] == 0 and shares[6] == 1
+    with pytest.raises(ValueError):
+        cluster.search_clustered(table, search.SearchRequest(name="n1"))
+    none = cluster.write_clustered(co.limit(0), 3, str(tmp_path / "none"))
+    assert cluster.search_clustered(none, search.SearchRequest(industry="hot")).count() == 0
+
+
+def test_one_field_of_a_large_clustered_table(spark, tmp_path):
+    """With more files a single field rules out more of them: below a quarter."""
+    co = spark.range(30_000).select(F.concat(F.lit("c"), "id").alias("company_id"), F.concat(F.lit("ind"), F.xxhash64("id") % 50).alias("industry"), F.lit("1-10").alias("size_range"),
+                                    F.concat(F.lit("land"), F.xxhash64("id", F.lit(1)) % 30).alias("country"), (F.lit(1900) + F.col("id") % 120).cast("int").alias("year_founded"))
+    table = cluster.write_clustered(co, 200, str(tmp_path / "large"))
+    for r in (search.SearchRequest(industry="ind7"), search.SearchRequest(country="land3"), search.SearchRequest(industry="ind9", country="land5")):
+        assert 0 < table.files(r).count() < 50, r
