@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ class ClusteredCompanies:
 
     def read(self, req: SearchRequest) -> DataFrame:
         """The rows of these files. Only their names pass through the driver, which lists files for a scan anyway."""
-        names = [r["file"] for r in self.files(req).collect()]
+        names = [unquote(r["file"]) for r in self.files(req).collect()]
         if not names:
             return self.rows.where(F.lit(False))
         return self.rows.sparkSession.read.schema(self.rows.schema).parquet(*names)

@@ -9,6 +9,7 @@ No row passes through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +20,9 @@ from ..functions.text import embed_text, first_nonempty, normalise_all_strings,
 
 from ..functions.shipping import ship_by_value
 from ..sources.quoted_csv import read_quoted_csv
+from ..session import materialize
 from .knn import zero_vector_fallback
+from .sizing import bounded_broadcast
 
 ship_by_value(__name__)
 
@@ -45,33 +48,60 @@ SYNTH_SIZE_MAX = 20000
 SYNTH_YEAR_MIN, SYNTH_YEAR_MAX = 1900, 2024
 
 
-def read_company_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_company_csv(spark: SparkSession, path: str, multi_line: bool = False, rows: int | None = None) -> DataFrame:
     """A1: header CSV, every cell a string, malformed rows tolerated (short rows → NULLs).
     A blank header cell becomes ``_c0``. Adds the file position columns used for ordering.
     ``multi_line`` accepts line breaks inside quoted cells; such files are read in splits, too
-    (``sources.quoted_csv``)."""
+    (``sources.quoted_csv``).
+    ``rows`` (A3): so many are wanted, so only the leading files, in path order, that hold them are read, each of
+    them whole (all files with ``multi_line``)."""
     if multi_line:
         return read_quoted_csv(spark, path)
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+    df = reader.csv(path)
+    if rows is not None:
+        df = reader.schema(df.schema).csv(_leading_files(spark, path, df.schema, rows))
     return df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
 
 
+def _leading_files(spark: SparkSession, path: str, schema: T.StructType, rows: int) -> list[str]:
+    """The first of the files of ``path``, in the order of ordinals, that hold ``rows`` rows (at least one file). They are
+    counted in groups that double in size, without parsing a cell, and no further than to the group that suffices."""
+    file = F.col("_metadata.file_path").alias("file")
+    names = sorted(r["file"] for r in spark.read.format("binaryFile").load(path).select(file).collect())  # no content is read
+    have, taken, step = 0, 0, 1
+    while taken < len(names) and (have < rows or not taken):
+        group = names[taken:taken + step]
+        read = spark.read.schema(schema).option("header", True).option("escape", '"').csv([unquote(n) for n in group])
+        found = {r["file"]: r["count"] for r in read.groupBy(file).count().collect()}  # a row a file
+        for name in group:
+            taken += 1
+            have += found.get(name, 0)
+            if have >= rows:
+                break
+        step *= 2
+    return [unquote(n) for n in names[:taken]]
+
+
 def with_ordinal(df: DataFrame, name: str = "_ordinal") -> DataFrame:
     """A5: dense 0..n-1 ordinal in file order (file, block, row), computed distributed.
 
-    Per file split only (count, first row id) is aggregated — one small row per split —
-    and turned into offsets by a window over that small table; rows then add their
-    offset after a join with it (broadcast by Spark while it is small).
+    Per file split only (count, first row id) is aggregated — one small row per split, by a pass that parses no
+    cell — turned into offsets by a window over that small table and written. Rows add their offset after a
+    join with it, broadcast up to a million splits, so the rows themselves are not moved. The files are to be
+    read under the settings for splits that hold now; a row whose split isn't known then fails the job.
     """
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     d = df.withColumn("_local", local)
     splits = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_lo"))
     w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(offsets.select("_file", "_block", "_off", "_lo"), ["_file", "_block"])
-    return j.withColumn(name, F.col("_off") + F.col("_local") - F.col("_lo")).drop("_off", "_lo", "_local")
+    offsets = materialize(offsets.select("_file", "_block", "_off", "_lo"), "csv-splits")
+    j = d.join(bounded_broadcast(offsets, 1_000_000), ["_file", "_block"], "left")
+    start = F.coalesce(F.col("_off"), F.raise_error(F.lit("the files were split anew since their rows were counted")).cast("long"))
+    return j.withColumn(name, start + F.col("_local") - F.col("_lo")).drop("_off", "_lo", "_local")
 
 
 def resolve_aliases(df: DataFrame) -> DataFrame:

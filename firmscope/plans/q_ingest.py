@@ -70,8 +70,9 @@ def a1_line_breaks(spark, sf_dir):
 @register("a3_ingest_row_limit", f"""SELECT CAST(ordinal AS VARCHAR) AS company_id, name, domain, industry, locality,
   country, size_range, year_founded FROM ({CLEAN}) WHERE ordinal < 1000""")
 def a3_limit(spark, sf_dir):
-    """Ordinal ids in file order, exactly the first 1,000 rows."""
-    return clean_companies(_raw(spark, sf_dir), id_mode="ordinal", limit=1000, embed_dim=None).select(*DOC_COLS)
+    """Ordinal ids in file order, exactly the first 1,000 rows, from the leading files that hold them."""
+    raw = read_company_csv(spark, company_csv_path(spark, sf_dir), rows=1000)
+    return clean_companies(raw, id_mode="ordinal", limit=1000, embed_dim=None).select(*DOC_COLS)
 
 
 @register("a5_ordinal_ids", f"""SELECT CAST(ordinal AS VARCHAR) AS company_id, name, domain, industry, locality,

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firmscope.operators import cache, cluster, facets, intent, ivfpq, knn, leads, search, tags
+from firmscope.operators import cache, cluster, facets, ingest, intent, ivfpq, knn, leads, search, tags
 
 
 # ---- C5/C9: tags
@@ -310,7 +310,7 @@ def test_clustered_table_answers_like_the_plain_one(spark, tmp_path):
     rows = [(f"c{i:05d}", f"n{i}", "hot" if i % 3 == 0 else rnd.choice([None, "", *(f"ind{j}" for j in range(40))]), rnd.choice(["1-10", "11-50", "51-200", None]),
              rnd.choice([f"country {j}" for j in range(30)]), rnd.choice([None, 0, *range(1900, 2024)]), ["t"] if i % 5 else None) for i in range(6000)]
     co = spark.createDataFrame(rows, COMPANY).repartition(4)
-    table = cluster.write_clustered(co, 48, str(tmp_path / "clustered"))
+    table = cluster.write_clustered(co, 48, str(tmp_path / "cluster ed"))
     assert table.rows.count() == 6000 and sorted(table.rows.columns) == sorted(co.columns)
     n = table.years.count()
     sizes = [r["count"] for r in table.rows.groupBy(F.col("_metadata.file_path")).count().collect()]
@@ -336,3 +336,20 @@ def test_one_field_of_a_large_clustered_table(spark, tmp_path):
     table = cluster.write_clustered(co, 200, str(tmp_path / "large"))
     for r in (search.SearchRequest(industry="ind7"), search.SearchRequest(country="land3"), search.SearchRequest(industry="ind9", country="land5")):
         assert 0 < table.files(r).count() < 50, r
+
+
+def test_row_limit_reads_the_leading_files_only(spark, tmp_path):
+    """Thirty files of uneven size, one of them empty: rows up to a limit come from the first files, and are numbered without being moved."""
+    n = 0
+    for i in range(30):
+        size = 0 if i == 2 else 5 + i % 7
+        (tmp_path / f"f {i:02d}.csv").write_text("name,industry\n" + "".join(f"n{n + j},x\n" for j in range(size)))
+        n += size
+    for limit, files in ((1, 1), (5, 1), (6, 2), (12, 4), (23, 5), (n, 30), (n + 5, 30)):
+        raw = ingest.read_company_csv(spark, str(tmp_path), rows=limit)
+        assert len(raw.inputFiles()) == files, limit
+        out = ingest.clean_companies(raw, "ordinal", limit=limit, embed_dim=None)
+        assert sorted((int(r["company_id"]), r["name"]) for r in out.collect()) == [(j, f"n{j}") for j in range(min(limit, n))]
+    plan = ingest.with_ordinal(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan and "BroadcastHashJoin" in plan
+    assert ingest.read_company_csv(spark, str(tmp_path), rows=0).count() == 5
