@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import size_bucket
 from ..functions.text import (display_founded, display_location, display_tags, embed_text, highlight,
                               normalise_all_strings, query_cache_key, raw_cache_key, title_case)
+from ..operators.keyed import create_keyed
 from ..operators.sizing import attach_scalars
 from ..operators.ingest import (clean_companies, delete, embed_with, lookup, quarantined, query_vectors, read_company_csv, upsert, with_ordinal,
                                 with_hashed_embedding)
@@ -109,11 +110,14 @@ def a10_lookup(spark, sf_dir):
     return lookup(companies_from_part(spark, sf_dir), ids).select("company_id", "name", "industry")
 
 
-@register("a12_put_and_delete", f"""WITH co AS ({PART_COMPANIES}),
+A12_SQL = f"""WITH co AS ({PART_COMPANIES}),
 upd AS (SELECT CAST(p_partkey AS VARCHAR) AS company_id, upper(p_name) AS name FROM part WHERE p_size = 50),
 del AS (SELECT CAST(p_partkey AS VARCHAR) AS company_id FROM part WHERE p_size = 1)
 SELECT co.company_id, coalesce(upd.name, co.name) AS name FROM co LEFT JOIN upd USING (company_id)
-WHERE co.company_id NOT IN (SELECT company_id FROM del)""")
+WHERE co.company_id NOT IN (SELECT company_id FROM del)"""
+
+
+@register("a12_put_and_delete", A12_SQL)
 def a12_put_delete(spark, sf_dir):
     """Upsert changed documents (size 50 renamed) and delete others (size 1) by id."""
     p = read_table(spark, sf_dir, "part")
@@ -124,6 +128,17 @@ def a12_put_delete(spark, sf_dir):
     return delete(upsert(co, upd), dels)
 
 
+@register("a12_keyed_table", A12_SQL)
+def a12_keyed(spark, sf_dir):
+    """A4/A12 on the stored table in buckets of the key: three changes, each of which writes the buckets of its keys only."""
+    p = read_table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string").alias("company_id")
+    table = create_keyed(companies_from_part(spark, sf_dir).select("company_id", "name"), 32)
+    table = table.upsert(p.where("p_size = 50 and p_partkey % 2 = 0").select(key, F.upper("p_name").alias("name")))
+    table = table.upsert(p.where("p_size = 50 and p_partkey % 2 = 1").select(key, F.upper("p_name").alias("name")))
+    return table.delete(p.where("p_size = 1").select(key)).rows()
+
+
 @register("b1_normalise_strings", """SELECT c_custkey, coalesce(lower(c_name), '') AS c_name, c_nationkey, c_acctbal,
   coalesce(lower(c_mktsegment), '') AS c_mktsegment FROM customer""")
 def b1_normalise(spark, sf_dir):

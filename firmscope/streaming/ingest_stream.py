@@ -53,7 +53,8 @@ def current_companies(spark: SparkSession, target: str) -> DataFrame:
 
 
 def compact_changes(spark: SparkSession, target: str, dst: str, files: int) -> DataFrame:
-    """A14 for the change log: one row per key, range-partitioned by key into ``files`` files."""
-    cur = current_companies(spark, target).withColumn("_epoch", F.lit(0).cast("long"))
+    """A14 for the change log: one row per key, range-partitioned by key into ``files`` files. They are older than any
+    epoch, so a stream that goes on in ``dst`` (a new one, too) has the last word."""
+    cur = current_companies(spark, target).withColumn("_epoch", F.lit(-1).cast("long"))
     cur.repartitionByRange(files, "company_id").sortWithinPartitions("company_id").write.mode("overwrite").parquet(dst)
     return spark.read.parquet(dst)

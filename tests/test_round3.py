@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firmscope.operators import cache, cluster, facets, ingest, intent, ivfpq, knn, leads, search, tags
+from firmscope.operators import cache, cluster, facets, ingest, intent, ivfpq, keyed, knn, leads, search, tags
 
 
 # ---- C5/C9: tags
@@ -353,3 +354,57 @@ def test_row_limit_reads_the_leading_files_only(spark, tmp_path):
     plan = ingest.with_ordinal(raw)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan and "BroadcastHashJoin" in plan
     assert ingest.read_company_csv(spark, str(tmp_path), rows=0).count() == 5
+
+
+def test_keyed_table_writes_only_touched_buckets(spark, tmp_path):
+    """Changes against a dictionary; a small one reads and writes the buckets of its keys; readers of before keep what they had."""
+    path = str(tmp_path / "keyed")
+    held = {f"k{i}": i for i in range(500)}
+    schema = "v int, company_id string"
+    table = first = keyed.create_keyed(spark.createDataFrame([(v, k) for k, v in held.items()], schema), 16, path=path)
+
+    def check(t, want):
+        assert sorted((r["company_id"], r["v"]) for r in t.rows().collect()) == sorted(want.items())
+
+    check(table, held)
+    new = {"k3": -1, "new": 7}
+    table = table.upsert(spark.createDataFrame([(v, k) for k, v in new.items()], schema))
+    touched = [d for d in os.listdir(f"{path}/v=1") if d.startswith("kb=")]
+    assert 1 <= len(touched) <= 2 and sum(v == 1 for v in table.live.values()) == len(touched)
+    check(first, held)
+    held |= new
+    check(table, held)
+    one = spark.createDataFrame([("k3",), ("k3",), ("absent",), (None,)], "company_id string")
+    assert [(r["company_id"], r["v"]) for r in table.lookup(one).collect()] == [("k3", -1)]
+    assert len(table.lookup(one.limit(1)).inputFiles()) == 1
+    gone = [k for k in held if hash_bucket(spark, k, 16) == hash_bucket(spark, "k3", 16)]
+    table = table.delete(spark.createDataFrame([(k,) for k in gone], "company_id string"))  # a bucket left empty
+    held = {k: v for k, v in held.items() if k not in gone}
+    check(table, held)
+    again = keyed.open_keyed(spark, path, table.schema, 16)
+    assert again.live == table.live and again.version == table.version
+    back = again.upsert(spark.createDataFrame([(5, "k3")], schema))
+    check(back, held | {"k3": 5})
+    assert back.upsert(spark.createDataFrame([], schema)) is back
+    none = keyed.create_keyed(spark.createDataFrame([], schema), 4, path=str(tmp_path / "none"))
+    assert none.rows().count() == 0
+    check(none.upsert(spark.createDataFrame([(1, "a")], schema)), {"a": 1})
+
+
+def hash_bucket(spark, key, n):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(key)), F.lit(n))).first()[0]
+
+
+def test_compacted_change_log_gives_way_to_later_epochs(spark, tmp_path):
+    from firmscope.streaming.ingest_stream import DOC_COLS, compact_changes, current_companies
+    log, dst = str(tmp_path / "log"), str(tmp_path / "compacted")
+    cols = [F.lit(None).cast("string").alias(c) for c in DOC_COLS if c not in ("company_id", "name")]
+
+    def append(where, rows):
+        spark.createDataFrame(rows, "company_id string, name string, _epoch long").select("company_id", "name", *cols, "_epoch").write.mode("append").parquet(where)
+
+    append(log, [("a", "a0", 0), ("b", "b0", 0), ("a", "a2", 2), ("c", "c1", 1)])
+    out = compact_changes(spark, log, dst, 2)
+    assert sorted((r["company_id"], r["name"]) for r in out.collect()) == [("a", "a2"), ("b", "b0"), ("c", "c1")]
+    append(dst, [("b", "b9", 0)])
+    assert {r["company_id"]: r["name"] for r in current_companies(spark, dst).collect()} == {"a": "a2", "b": "b9", "c": "c1"}
