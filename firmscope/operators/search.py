@@ -12,6 +12,7 @@ applied partially before the shuffle).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -121,11 +122,11 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
 
     * equality criteria alone: companies of the keys asked for, each key cut to the largest page end of
       these requests before the join (a partial WindowGroupLimit runs in every task ahead of the shuffle);
-    * equality criteria with years: on the key, with residual predicates;
     * tags, with or without equality criteria: by bitmaps (``facets``, built here if not given); years are
       a residual predicate. A company without tags has none, NULL elements are no tags, and a request
       for a NULL tag finds nothing;
-    * years alone: on each founding year in the range, whose companies are cut as above;
+    * years, alone or with equality criteria: on the key and each founding year in the range, whose companies
+      are cut as above;
     * names: from the hits of the text index to their companies.
     """
     req = _norm_requests(requests)
@@ -139,7 +140,7 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     tagged = F.coalesce(F.size("tags"), F.lit(0)) > 0
     # bounded scalars: the distinct patterns (at most 2^3 = 8 values), the largest page end, which kinds occur
     end, plain = F.col("page") * F.col("size"), ~named & ~dated & ~tagged
-    by_years = ~named & (F.col("pattern") == 0) & dated & ~tagged
+    by_years = ~named & dated & ~tagged
     stats = req.agg(F.collect_set("pattern").alias("p"), F.max(end).alias("k"), F.max(F.when(plain, end)).alias("plain_end"),
                     F.max(F.when(by_years, end)).alias("years_end"), F.max(named).alias("named"), F.max(by_years).alias("dated"),
                     F.max(~named & tagged).alias("tagged")).first()
@@ -167,11 +168,6 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
     parts = [heads.join(bounded_broadcast(simple, max_broadcast_requests), ["r_pattern", "r_key"])
              .where(F.col("_rk") <= F.col("need")).select("fs_id", *own, none)]
 
-    # equality criteria with years: whole keys, residual predicates
-    whole = rest.where((F.col("r_pattern") != 0) & F.col("dated") & ~F.col("tagged")).drop("named", "dated", "tagged")
-    keyed = keyed.where(F.col("r_pattern") != 0)
-    parts.append(keyed.join(bounded_broadcast(whole, max_broadcast_requests), ["r_pattern", "r_key"]).where(fits).select("fs_id", *own, none))
-
     # tags: bitmaps of tags and equality criteria; without years only as many companies as the pages need
     if stats["tagged"]:
         facets = facets or build_facet_index(companies)
@@ -184,17 +180,18 @@ def batch_search(companies: DataFrame, requests: DataFrame, index: TextIndex | N
         found = facets.numbered.join(hits, "pos").join(bounded_broadcast(by_tag.select("fs_id", "r_from", "r_to", "r_tags"), max_broadcast_requests), "fs_id")
         parts.append(found.where(fits).select("fs_id", *own, none))
 
-    # years alone: the first companies of each founding year, met year by year
+    # years, alone or with equality criteria: the first companies of each founding year of each key, met year by year
     if stats["dated"]:
-        years = companies.agg(F.min("year_founded"), F.max("year_founded")).first()
-        first, last = (1, 0) if years[0] is None else years  # the smallest may be 0, the ingester's unknown year
-        wy = Window.partitionBy("year_founded").orderBy(F.col("company_id").asc())
-        heads = companies.withColumn("_rk", F.row_number().over(wy)).where((F.col("_rk") <= F.lit(int(stats["years_end"]))) & F.col("year_founded").isNotNull())
-        lo = F.greatest(F.when(F.coalesce(F.col("r_from"), F.lit(0)) != 0, F.col("r_from")).otherwise(F.lit(first)), F.lit(first))
-        hi = F.least(F.when(F.coalesce(F.col("r_to"), F.lit(0)) != 0, F.col("r_to")).otherwise(F.lit(last)), F.lit(last))
-        by_year = (rest.where((F.col("r_pattern") == 0) & F.col("dated") & ~F.col("tagged")).where(lo <= hi)
-                   .select("fs_id", "need", F.explode(F.sequence(lo, hi)).alias("year_founded")))
-        parts.append(by_year.join(heads, "year_founded").where(F.col("_rk") <= F.col("need")).select("fs_id", *own, none))
+        by_year = rest.where(F.col("dated") & ~F.col("tagged")).select("fs_id", "r_pattern", "r_key", "r_from", "r_to", "need")
+        wanted = keyed.join(bounded_broadcast(by_year.select("r_pattern", "r_key").distinct(), max_broadcast_requests), ["r_pattern", "r_key"], "left_semi")
+        years = companies.agg(F.sort_array(F.collect_set("year_founded"))).first()[0]  # the years that occur; the smallest may be 0, the ingester's unknown year
+        occurring = F.from_json(F.lit(json.dumps(years)), "array<int>")
+        wy = Window.partitionBy("r_pattern", "r_key", "year_founded").orderBy(F.col("company_id").asc())
+        heads = wanted.where(F.col("year_founded").isNotNull()).withColumn("_rk", F.row_number().over(wy)).where(F.col("_rk") <= F.lit(int(stats["years_end"])))
+        lo, hi = (F.nullif(F.col(c), F.lit(0)) for c in ("r_from", "r_to"))
+        inside = F.filter(occurring, lambda y: F.coalesce(y >= lo, F.lit(True)) & F.coalesce(y <= hi, F.lit(True)))
+        by_year = by_year.select("fs_id", "r_pattern", "r_key", "need", F.explode(inside).alias("year_founded"))
+        parts.append(by_year.join(heads, ["r_pattern", "r_key", "year_founded"]).where(F.col("_rk") <= F.col("need")).select("fs_id", *own, none))
 
     # names: from the hits of the index to their companies
     if stats["named"]:
