@@ -57,7 +57,7 @@ def _events_by_week(spark, sf_dir):
     ev = ev.withColumn("_week", week)
     n = ev.agg(F.max("_week")).first()[0]
     chunks = [ev.where(F.col("_week") == i).drop("_week") for i in range(n + 1)]
-    _write_in_order(chunks, lambda i: f"{src}/w{i:03d}", lambda df, p: df.coalesce(1).write.parquet(p))
+    _write_in_order(chunks, lambda i: f"{src}/w{i:03d}", lambda df, p: df.repartition(1).write.parquet(p))
     return src, ev.drop("_week").schema
 
 

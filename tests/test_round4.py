@@ -1,10 +1,13 @@
 """Bounded work of joins, streams, indexes, encoders and rules."""
 
 import contextlib
+import datetime
 import io
 import random
 import re
 
+import numpy as np
+
 from firmscope.operators import search
 
 REQUESTS = ("request_id long, name string, industry string, size_range string, country string, year_from int, year_to int, tags array<string>, "
@@ -35,3 +38,44 @@ def test_years_with_fields_meet_year_by_year(spark):
     for a in asked:
         one = search.search(co, search.SearchRequest(*a[1:]))
         assert sorted(got.get(a[0], [])) == sorted((r["rank"], r["company_id"]) for r in one.collect()), a
+
+
+def run_stream(spark, make, rows):
+    from firmscope.session import shared_path
+
+    src, out, ckpt = (shared_path(spark, f"buckets-{x}") for x in ("src", "out", "ckpt"))
+    schema = "event_id long, k string, ts timestamp"
+    for i, part in enumerate((rows[:len(rows) // 2], rows[len(rows) // 2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/{i}")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = make(s).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 8  # buckets, however many keys
+    return {r["event_id"]: r[3] for r in spark.read.parquet(out).collect()}
+
+
+def stream_rows():
+    rnd, t0 = random.Random(2), datetime.datetime(2024, 1, 1)
+    times = sorted(rnd.randrange(6000) for _ in range(1500))
+    return [(i, rnd.choice([None, *map(str, range(300))]), t0 + datetime.timedelta(seconds=t)) for i, t in enumerate(times)], times
+
+
+def test_ttl_stream_keeps_state_in_buckets(spark):
+    from firmscope.streaming.cache_stream import ttl_hits_stream
+
+    rows, times = stream_rows()
+    got = run_stream(spark, lambda s: ttl_hits_stream(s, "k", "ts", "event_id", 700, "1 hour", buckets=4), rows)
+    filled, want = {}, {}
+    for (i, k, _), t in zip(rows, times):
+        want[i] = k in filled and t < filled[k] + 700
+        if not want[i]:
+            filled[k] = t
+    assert got == want
+
+
+def test_zero_ttl_fills_every_row():
+    from firmscope.operators.cache import fills_of_keys
+
+    key, t = np.array([0, 0, 0, 1]), np.array([5, 5, 6, 1])
+    filled, in_force, last = fills_of_keys(key, t, np.zeros(2, np.int64), np.zeros(2, bool), 0)
+    assert filled.all() and in_force.tolist() == t.tolist() and last.tolist() == [6, 1]
