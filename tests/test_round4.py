@@ -79,3 +79,16 @@ def test_zero_ttl_fills_every_row():
     key, t = np.array([0, 0, 0, 1]), np.array([5, 5, 6, 1])
     filled, in_force, last = fills_of_keys(key, t, np.zeros(2, np.int64), np.zeros(2, bool), 0)
     assert filled.all() and in_force.tolist() == t.tolist() and last.tolist() == [6, 1]
+
+
+def test_flights_keep_state_in_buckets(spark):
+    from firmscope.streaming.flight_stream import flights_stream, keep_state_in_rocksdb, outcomes
+
+    keep_state_in_rocksdb(spark)
+    rows, times = stream_rows()
+    got = run_stream(spark, lambda s: flights_stream(s, "k", "ts", "event_id", 200, 500, "1 hour", buckets=2), rows)
+    want = {}
+    for key in {k for _, k, _ in rows}:
+        mine = [(i, t) for (i, k, _), t in zip(rows, times) if k == key]
+        want |= dict(zip((i for i, _ in mine), outcomes(np.array([t for _, t in mine]), None, 200, 500)[0]))
+    assert got == want
