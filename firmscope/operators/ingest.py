@@ -126,18 +126,23 @@ def with_hashed_embedding(df: DataFrame, text: str | Column, out: str = "embeddi
     (slot = first 8 hex digits of md5(token) mod dim), L2-normalised; all zeros when the
     text has no token. A real encoder plugs in through ``embed_with`` instead.
 
-    Computed in three projections (slots → counts → normalised) so that no array
-    expression is re-evaluated per element.
+    Slots, counts and norm are each bound to a lambda's argument, so none is worked out again for every element
+    (projections of their own would be merged into one).
     """
+    def bound(x: Column, f) -> Column:
+        return F.transform(F.array(x), f)[0]
+
     slots = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"),
                                                        F.lit(dim)).cast("int"))
-    d = df.withColumn("__slots", slots)
-    d = d.withColumn("__counts", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                             lambda i: F.size(F.filter("__slots", lambda x: x == i)).cast("double")))
-    d = d.withColumn("__norm", F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda acc, x: acc + x * x)))
-    emb = F.transform("__counts", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm"))
-                      .otherwise(F.lit(0.0)).cast("float"))
-    return d.withColumn(out, emb).drop("__slots", "__counts", "__norm")
+
+    def normalised(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
+        return bound(norm, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
+
+    def counted(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda x: x == i)).cast("double"))
+
+    return df.withColumn(out, bound(slots, lambda s: bound(counted(s), normalised)))
 
 
 def embed_with(df: DataFrame, text_col: str, make_model, out: str = "embedding", failures: str = "raise") -> DataFrame:

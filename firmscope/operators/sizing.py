@@ -36,3 +36,10 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
         raise ValueError(f"expected exactly one row, got {len(rows)}")
     r = rows[0]
     return df.withColumns({c: F.lit(r[c]).cast(t) for c, t in one_row.dtypes})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for costly steps on each row: when the input has fewer partitions than the cluster has cores
+    (e.g. one file of few row groups) its rows are dealt out; a large, well-split input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

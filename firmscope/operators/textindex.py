@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import materialize as _materialize
 from ..session import shared_path
-from .sizing import attach_scalars, bounded_broadcast
+from .sizing import attach_scalars, bounded_broadcast, spread
 
 K1 = 1.2
 B = 0.75
@@ -81,7 +81,8 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
         # inside each task (the term-count aggregation is already clustered by doc_id)
         src = src.repartition("doc_id")
     else:
-        src = _spread(src)
+        # tokenising is the costly step of an index build
+        src = spread(src)
     docs = src.select("doc_id", tokens("_text").alias("toks"))
     postings = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -116,14 +117,6 @@ def build_text_index(corpus: DataFrame, id_col: str, text_col: str | Column,
                      avgdl=(total / n_docs) if n_docs else None)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Tokenising is the costly step of an index build: when the input has fewer
-    partitions than the cluster has cores (e.g. one file of few row groups), spread its
-    rows over all cores first; a large, well-split input is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str | Column = "query") -> DataFrame:
     """(query_id, term, qtf, slot): analysed query tokens; repeated tokens count repeatedly."""
     t = F.col(text) if isinstance(text, str) else text

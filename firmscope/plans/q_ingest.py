@@ -9,7 +9,7 @@ from ..functions.buckets import size_bucket
 from ..functions.text import (display_founded, display_location, display_tags, embed_text, highlight,
                               normalise_all_strings, query_cache_key, raw_cache_key, title_case)
 from ..operators.keyed import create_keyed
-from ..operators.sizing import attach_scalars
+from ..operators.sizing import attach_scalars, spread
 from ..operators.ingest import (clean_companies, delete, embed_with, lookup, quarantined, query_vectors, read_company_csv, upsert, with_ordinal,
                                 with_hashed_embedding)
 from ..session import materialize, shared_path
@@ -221,7 +221,7 @@ SELECT id AS {key}, list_transform(counts, lambda x: CAST(CASE WHEN norm > 0 THE
                                               CUSTOMER_COMPANIES))
 def d10_embed(spark, sf_dir):
     """Built-in hashed bag-of-tokens encoder on the company embed text (64 dims)."""
-    co = companies_from_customer(spark, sf_dir)
+    co = spread(companies_from_customer(spark, sf_dir))
     return with_hashed_embedding(co, embed_text(), "embedding", 64).select("company_id", "embedding")
 
 

@@ -92,3 +92,14 @@ def test_flights_keep_state_in_buckets(spark):
         mine = [(i, t) for (i, k, _), t in zip(rows, times) if k == key]
         want |= dict(zip((i for i, _ in mine), outcomes(np.array([t for _, t in mine]), None, 200, 500)[0]))
     assert got == want
+
+
+def test_hashed_embedding_works_its_slots_out_once(spark):
+    from firmscope.operators.ingest import with_hashed_embedding
+
+    df = with_hashed_embedding(spark.createDataFrame([("a b a",), ("",), (None,), ("c",)], "t string"), "t", "v", 8)
+    plan = plan_of(df)
+    assert plan.count("md5(") == 1 and plan.index("md5(") < plan.index("filter(")  # not inside the loop over the slots
+    got = {r["t"]: r["v"] for r in df.collect()}
+    assert got[""] == [0.0] * 8 and sorted(got["c"]) == [0.0] * 7 + [1.0]
+    assert abs(sum(x * x for x in got["a b a"]) - 1) < 1e-6
