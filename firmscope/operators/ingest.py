@@ -178,7 +178,9 @@ def embed_with(df: DataFrame, text_col: str, make_model, out: str = "embedding",
 
 
 def quarantined(df: DataFrame, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Ingest after failures: the rows to write, and the rows without a vector, to be kept aside and tried again."""
+    """Ingest after failures: the rows to write, and the rows without a vector, to be kept aside and tried again. The
+    rows are written first: both answers come from one run of the encoder."""
+    df = materialize(df, "encoded")
     return df.where(F.col(vec).isNotNull()), df.where(F.col(vec).isNull()).drop(vec)
 
 

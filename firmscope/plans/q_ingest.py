@@ -293,7 +293,7 @@ def d9_failures(spark, sf_dir):
             return encode
         return make
 
-    co = embed_with(companies_from_customer(spark, sf_dir), "name", make_model("7"), failures="null")
+    co = embed_with(spread(companies_from_customer(spark, sf_dir)), "name", make_model("7"), failures="null")
     good, bad = quarantined(co)
     q = query_vectors(read_table(spark, sf_dir, "benchmark"), "text", make_model("ing"), 2)
     rows = [d.select(F.lit("company").alias("kind"), F.col("company_id").alias("id"), F.lit(f).alias("failed")) for d, f in ((good, False), (bad, True))]

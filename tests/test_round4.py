@@ -103,3 +103,21 @@ def test_hashed_embedding_works_its_slots_out_once(spark):
     got = {r["t"]: r["v"] for r in df.collect()}
     assert got[""] == [0.0] * 8 and sorted(got["c"]) == [0.0] * 7 + [1.0]
     assert abs(sum(x * x for x in got["a b a"]) - 1) < 1e-6
+
+
+def test_both_answers_of_a_quarantine_come_from_one_run_of_the_encoder(spark, tmp_path):
+    from firmscope.operators.ingest import embed_with, quarantined
+
+    log = str(tmp_path / "calls")
+
+    def make():
+        def encode(texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return texts.map(lambda t: [float(len(t))])
+        return encode
+
+    df = spark.createDataFrame([(f"t{i}",) for i in range(20)], "t string")
+    good, bad = quarantined(embed_with(df, "t", make))
+    assert (good.count(), bad.count()) == (20, 0) and good.columns == ["t", "embedding"] and bad.columns == ["t"]
+    assert len(open(log).read().split()) == 20
