@@ -121,3 +121,37 @@ def test_both_answers_of_a_quarantine_come_from_one_run_of_the_encoder(spark, tm
     good, bad = quarantined(embed_with(df, "t", make))
     assert (good.count(), bad.count()) == (20, 0) and good.columns == ["t", "embedding"] and bad.columns == ["t"]
     assert len(open(log).read().split()) == 20
+
+
+def test_shards_are_bounded_by_their_texts(spark, monkeypatch):
+    from firmscope.operators import blockindex
+
+    rows = [(i, " ".join(f"w{(i * j) % 91}" for j in range(200)) if i % 10 else None) for i in range(60)]
+    c, q = spark.createDataFrame(rows, "doc_id long, t string"), spark.createDataFrame([(1, "w7 w8 w13")], "query_id long, query string")
+
+    def best():
+        index = blockindex.build_block_index(c, "doc_id", {"t": "t"})
+        found = blockindex.top_documents(index, q, [blockindex.Clause("t", "query", 1.0)], 15).collect()
+        return len(index.labels), sorted((r["rank"], r["doc_id"], r["score"]) for r in found)
+
+    few, want = best()
+    monkeypatch.setattr(blockindex, "SHARD_CHARS", 1000)
+    many, got = best()
+    assert few < many and many >= 40 and got == want
+
+
+def test_knn_merges_what_reaches_the_kth_best():
+    from firmscope.operators.knn import _Best
+
+    rnd = np.random.default_rng(5)
+    sim, ids = np.round(rnd.random((7, 400)), 2), np.array([f"d{i}" for i in rnd.permutation(400)])
+    best, merges = _Best(7, 6), []
+    merge = best.merge
+    best.merge = lambda: merges.append(1) or merge()
+    for lo in range(0, 400, 20):
+        best.add(ids[lo:lo + 20], sim[:, lo:lo + 20])
+    q, s, i = best.merge()
+    for n in range(7):
+        want = sorted(zip(-sim[n], ids))[:6]
+        assert [(-a, b) for a, b in zip(s[q == n], i[q == n])] == want
+    assert len(merges) < 12
