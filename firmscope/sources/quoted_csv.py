@@ -2,13 +2,14 @@
 
 A split can't tell whether it starts inside a quoted cell. So each split is read for both cases at once: a line
 takes "outside" and "inside" to what holds at its end, and a split's lines compose to one such pair. The
-pairs of a file's splits (one row a split) give every split its starting state; a second pass then cuts the
-lines into records. A record that goes over the end of a split leaves a piece there, and pieces (at most two
+pairs of a file's splits (one row a split, written once) give every split its starting state; a second pass then
+cuts the lines into records, which are written once, too. A task takes many small splits, one after another. A record that goes over the end of a split leaves a piece there, and pieces (at most two
 a split, or a split that is all one cell) are put together by file.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_by_value
-from ..operators.sizing import bounded_broadcast, is_small
+from ..operators.sizing import is_small
+from ..session import materialize
 
 ship_by_value(__name__)
 
+TASK_BYTES = 32 << 20  # of small splits that a task takes
+
 
 def ends_inside(line: str, inside: bool) -> bool:
     """Whether a quoted cell is open at the end of ``line``. A quote opens a cell at its start only; two in a quoted cell
@@ -103,20 +107,37 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows of files with many small splits to a task, still split by split: as many tasks as make ``TASK_BYTES`` each, but a few
+    for every core at least. Splits of that size stay as they are."""
+    spark, n = rows.sparkSession, rows.rdd.getNumPartitions()
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    split = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-n * split // TASK_BYTES))
+    return rows.coalesce(tasks) if tasks < n else rows
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """``(_file, _block, _mid, _text)``: the records of CSV files, line breaks in quoted cells kept (as line feeds), with the
     place where they start (``_mid``: from 0 in each split). A file that ends inside a quoted cell ends with that record."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                                          F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("_line"))
-    ends = lines.mapInArrow(_outcomes, "_file string, _block long, from_outside boolean, from_inside boolean")
-    of_file = ends.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("_block", "from_outside", "from_inside"))).alias("s"))  # a row a split
-    starts = F.expr("aggregate(s, cast(array() as array<boolean>), (a, x) -> array_append(a, if(coalesce(try_element_at(a, -1), false), x.from_inside, x.from_outside)))")
-    begin = (of_file.withColumn("e", starts).select("_file", F.posexplode("s").alias("i", "x"), "e")
-             .select("_file", "x._block", F.when(F.col("i") > 0, F.get("e", F.col("i") - 1)).otherwise(False).alias("_start")))
+    lines = _gathered(lines)
+    ends = materialize(lines.mapInArrow(_outcomes, "_file string, _block long, from_outside boolean, from_inside boolean"), "csv-split-ends")
+    # the state before a split: that after the last split which ends in one state from both, turned by every later one that swaps them
+    of_file = Window.partitionBy("_file").orderBy("_block")
+    swaps = F.sum(F.when(F.col("from_outside") & ~F.col("from_inside"), 1).otherwise(0)).over(of_file)
+    fixed = F.when(F.col("from_outside") == F.col("from_inside"), F.struct(F.col("from_outside").alias("inside"), F.col("_swaps").alias("swaps")))
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    begin = (ends.withColumn("_swaps", swaps).withColumn("_fixed", fixed)
+             .withColumns({"_last": F.last("_fixed", ignorenulls=True).over(before), "_turned": F.coalesce(F.max("_swaps").over(before), F.lit(0))})
+             .select("_file", "_block", (F.coalesce(F.col("_last.inside"), F.lit(False))
+                                         != ((F.col("_turned") - F.coalesce(F.col("_last.swaps"), F.lit(0))) % 2 == 1)).alias("_start")))
     few = is_small(begin, 1_000_000)  # a row for each split; a join by shuffle would lose the lines' order
     known = lines.join(F.broadcast(begin) if few else begin, ["_file", "_block"]).select("_file", "_block", "_mid", "_line", "_start")
     known = known if few else known.sortWithinPartitions("_file", "_block", "_mid")
-    cut = (known.mapInArrow(_records, "_file string, _block long, _mid long, _part int, _text string"))
+    cut = materialize(known.mapInArrow(_records, "_file string, _block long, _mid long, _part int, _text string"), "csv-records")
+    cut = _gathered(cut)
     pieces = cut.where("_part > 0")
     w = Window.partitionBy("_file").orderBy("_block", "_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = (pieces.withColumn("_record", F.sum(F.when(F.col("_part") == 2, 1).otherwise(0)).over(w)).groupBy("_file", "_record")

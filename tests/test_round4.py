@@ -155,3 +155,22 @@ def test_knn_merges_what_reaches_the_kth_best():
         want = sorted(zip(-sim[n], ids))[:6]
         assert [(-a, b) for a, b in zip(s[q == n], i[q == n])] == want
     assert len(merges) < 12
+
+
+def test_many_small_splits_share_tasks(spark, tmp_path):
+    from firmscope.sources.quoted_csv import read_quoted_csv
+
+    want = [(str(i), f'a\n"{i}", b\n\n' * (i % 7) + "z") for i in range(6000)]
+    path = tmp_path / "q.csv"
+    path.write_text("id,name\n" + "".join('{},"{}"\n'.format(i, t.replace('"', '""')) for i, t in want))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1024")
+    try:
+        splits = spark.read.text(str(path)).rdd.getNumPartitions()
+        r = read_quoted_csv(spark, str(path))
+        assert r.rdd.getNumPartitions() < splits / 2
+        got = r.orderBy("_file", "_block", "_mid").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(x["id"], x["name"]) for x in got] == want
