@@ -174,3 +174,19 @@ def test_many_small_splits_share_tasks(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert [(x["id"], x["name"]) for x in got] == want
+
+
+def test_a_task_holds_one_automaton(spark, monkeypatch):
+    from firmscope.operators import intent
+
+    rules = [(i, i % 5, f"Word{i % 40}x") for i in range(90)] + [(200, 0, None)]
+    asked = [(1, "a word3x word4x"), (1, "a word3x word4x"), (2, None), (None, "word39x"), (4, "nothing")]
+    r = spark.createDataFrame(rules, "rule_id long, priority long, phrase string")
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    monkeypatch.setattr(intent, "MAX_RULES", 8)
+    df = intent.rule_matches(q, r)
+    nodes = [x for x in plan_of(df).splitlines() if "ArrowEvalPython" in x]
+    assert len(nodes) > 4 and all(x.count("first(") == 1 for x in nodes)
+    best = lambda t: min(((p, i) for i, p, w in rules if w and t and w.lower() in t), default=(0, None))[1]
+    assert sorted(map(str, df.select("query_id", "query", "rule_id").collect())) == sorted(str(x) for x in spark.createDataFrame(
+        [(a, t, best(t)) for a, t in asked], "query_id long, query string, rule_id long").collect())
